@@ -15,24 +15,48 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .scratch import written
 
-SEGMENTS = "doc_id long, tkey long, a long, s1 long, s2 long, lo long, n int"
+#: Of each segment: its document, the anchor's hash, a digest of the segment, and the first window, number of windows and the
+#: document's tkey in one number, which halves what is shuffled.
+SEGMENTS = "doc_id long, a long, s long, at long"
+COUNT_BITS, KEY_BITS = 9, 22
+MOST_WINDOWS = (1 << COUNT_BITS) - 1
 #: Different segments that one shard of an anchor takes; more are dealt over several shards, which are then merged.
 SHARD_SEGMENTS = 2048
+#: Items (bytes or words) of a row that are handled at once.
+STRETCH = 1 << 21
+
+
+def lo(at: str = "at") -> Column:
+    return F.expr(f"shiftrightunsigned({at}, {COUNT_BITS + KEY_BITS})")
+
+
+def count(at: str = "at") -> Column:
+    return F.expr(f"shiftrightunsigned({at}, {KEY_BITS}) & {MOST_WINDOWS}L")
+
+
+def tkey(at: str = "at") -> Column:
+    return F.expr(f"{at} & {(1 << KEY_BITS) - 1}L")
+
+
+#: tkey of a row without an id, at least.
+NO_ID = 1 << (KEY_BITS - 1)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tkey, text. tkey tells apart rows that share an id; rows with equal id and text are alike in all results."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+    """doc_id (0 for null), tkey, text. tkey tells apart rows that share an id, and rows without one; rows with equal id and text are alike in all results."""
+    text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    tkey = F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.when(doc.isNull(), NO_ID).otherwise(0)
+    return docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), tkey.cast("long").alias("tkey"), text.alias("text"))
 
 
 def runs_of(column: pa.Array, unit: str, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Items, offsets and row numbers of stretches short enough for one pass; a long row comes in pieces that overlap by a window less one."""
+    """Items, offsets, row numbers and first item of stretches short enough for one pass; a long row comes in pieces that overlap by a window less one."""
     data, offsets = K.buffer(column)
     if unit == "word":
         starts, stops, row = K.spans(data, offsets)
@@ -40,44 +64,51 @@ def runs_of(column: pa.Array, unit: str, window: int) -> Iterator[tuple[np.ndarr
         offsets = np.searchsorted(row, np.arange(len(column) + 1)).astype(np.int64)
     else:
         items = data
-    most = 1 << 21
-    if len(items) <= most:
+    if len(items) <= STRETCH:
         yield items, offsets, np.arange(len(column)), 0
         return
     for r in range(len(column)):
-        lo, hi = int(offsets[r]), int(offsets[r + 1])
-        for at in range(lo, max(lo + 1, hi - window + 1), most):
-            part = items[at : min(hi, at + most + window - 1)]
-            yield part, np.array([0, len(part)]), np.array([r]), at - lo
+        begin, end = int(offsets[r]), int(offsets[r + 1])
+        for at in range(begin, max(begin + 1, end - window + 1), STRETCH):
+            part = items[at : min(end, at + STRETCH + window - 1)]
+            yield part, np.array([0, len(part)]), np.array([r]), at - begin
 
 
 def segment_rows(unit: str, k: int, window: int) -> Callable:
+    assert window - k + 1 <= MOST_WINDOWS
+
     def run(batches):
         for batch in K.slices(batches):
             column = K.texts(batch)
+            keys = batch.column(1).to_numpy()
             for items, offsets, rows, base in runs_of(column, unit, window):
                 row, start, n, gram = K.segments(items.astype(np.uint64) if unit == "byte" else items, offsets, k, window)
                 if not len(row):
                     continue
                 digest = K.digests(items, start, start + n + window - 1)
-                take = pa.array(rows[row])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(gram.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(start - offsets[row] + base), pa.array(n.astype(np.int32))],
-                    names=["doc_id", "tkey", "a", "s1", "s2", "lo", "n"],
-                )
+                at = ((start - offsets[row] + base) << (COUNT_BITS + KEY_BITS)) | (n << KEY_BITS) | keys[rows[row]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[row])), pa.array(gram.view(np.int64)), pa.array(digest), pa.array(at)], names=["doc_id", "a", "s", "at"])
 
     return run
 
 
+def recurring(docs: DataFrame, unit: str, k: int, window: int, label: str) -> DataFrame:
+    """SEGMENTS of the anchors that occur more than once."""
+    found = written(docs.mapInArrow(segment_rows(unit, k, window), SEGMENTS), f"{label}-segments")
+    again = found.groupBy("a").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a")
+    return written(found.join(again, "a").select("doc_id", "a", "s", "at"), f"{label}-recurring")
+
+
 def with_shards(kinds: DataFrame, shard_segments: int) -> DataFrame:
-    """Adds ``parts`` (shards of the anchor) and ``part`` to one row for each anchor and segment."""
-    per_anchor = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("segments"))
-    parts = F.ceil(F.col("segments") / shard_segments).cast("int")
-    return kinds.join(per_anchor, "a").withColumn("parts", parts).withColumn("part", F.pmod(F.col("s1"), F.col("parts")).cast("int"))
+    """Adds ``kinds`` (different segments of the anchor), ``parts`` (its shards) and ``part`` to one row for each anchor and segment."""
+    per_anchor = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
+    parts = F.ceil(F.col("kinds") / shard_segments).cast("int")
+    return kinds.join(per_anchor, "a").withColumn("parts", parts).withColumn("part", F.pmod(F.col("s"), F.col("parts")).cast("int"))
 
 
 def cut_out(unit: str, window: int) -> Callable:
-    """From rows (text, wanted: array of a, part, parts, sid, first, lo, n) to a row for each wanted segment, with its content."""
+    """From rows (text, wanted) to a row for each wanted segment, with its bytes (words: parted by a space)."""
+    schema = pa.schema([("a", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("s", pa.int64()), ("first", pa.int64()), ("content", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -85,37 +116,32 @@ def cut_out(unit: str, window: int) -> Callable:
             for text, asked in zip(K.texts(batch), wanted, strict=True):
                 raw = text.as_buffer().to_pybytes()
                 if unit == "word":
-                    data = np.frombuffer(raw, np.uint8)
-                    starts, stops, _ = K.spans(data, np.array([0, len(data)]))
-                    raw, step = K.hashes(K.as_binary(data, starts, stops)).tobytes(), 8
+                    words = raw.split()
+                    content = [b" ".join(words[w["lo"] : w["lo"] + w["n"] + window - 1]) for w in asked]
                 else:
-                    step = 1
-                yield pa.RecordBatch.from_pydict(
-                    {x: [w[x] for w in asked] for x in ("a", "part", "parts", "s1", "s2", "first")} | {"content": [raw[w["lo"] * step : (w["lo"] + w["n"] + window - 1) * step] for w in asked]},
-                    schema=pa.schema([("a", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("first", pa.int64()), ("content", pa.binary())]),
-                )
+                    content = [raw[w["lo"] : w["lo"] + w["n"] + window - 1] for w in asked]
+                yield pa.RecordBatch.from_pydict({x: [w[x] for w in asked] for x in ("a", "part", "parts", "s", "first")} | {"content": content}, schema=schema)
 
     return run
 
 
-CONTENT = "a long, part int, parts int, s1 long, s2 long, first long, content binary"
+CONTENT = "a long, part int, parts int, s long, first long, content binary"
 
 
 def contents(docs: DataFrame, kinds: DataFrame, unit: str, window: int) -> DataFrame:
-    """One copy of each segment in ``kinds`` (a, part, parts, s1, s2, first, at: struct of doc_id, tkey, lo, n), read from its document."""
-    wanted = kinds.select(F.col("at.doc_id").alias("doc_id"), F.col("at.tkey").alias("tkey"), F.struct("a", "part", "parts", "s1", "s2", "first", "at.lo", "at.n").alias("w")).groupBy("doc_id", "tkey").agg(F.collect_list("w").alias("wanted"))
-    right = wanted.withColumnsRenamed({"doc_id": "r_id", "tkey": "r_key"})
+    """One copy of each segment in ``kinds`` (a, part, parts, s, doc_id, at), read from its document."""
+    wanted = kinds.select(F.col("doc_id").alias("r_id"), tkey().alias("r_key"), F.struct("a", "part", "parts", "s", F.col("doc_id").alias("first"), lo().alias("lo"), count().alias("n")).alias("w")).groupBy("r_id", "r_key").agg(F.collect_list("w").alias("wanted"))
     # rows with equal id and text give the same content twice; the shard drops repeats
-    return docs.join(right, docs.doc_id.eqNullSafe(right.r_id) & (docs.tkey == right.r_key)).select("text", "wanted").mapInArrow(cut_out(unit, window), CONTENT)
+    return docs.join(wanted, (docs.doc_id == wanted.r_id) & (docs.tkey == wanted.r_key)).select("text", "wanted").mapInArrow(cut_out(unit, window), CONTENT)
 
 
 def gathered(batches, most: int) -> Iterator[list[tuple]]:
-    """Rows sorted by shard, in lists that hold whole shards and, but for a larger shard, at most ``most`` bytes of content."""
+    """Rows sorted by shard and segment, in lists that hold whole shards and, but for a larger shard, about ``most`` bytes of content."""
     held: list[tuple] = []
     size = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:2] == held[-1][:2] and row[3:5] == held[-1][3:5]:
+            if held and row[:4] == held[-1][:4]:
                 continue
             if held and size > most and row[:2] != held[-1][:2]:
                 yield held
@@ -129,4 +155,5 @@ def gathered(batches, most: int) -> Iterator[list[tuple]]:
 def attach(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """doc_id, text, marks: array of (lo, hi) or null. marks: doc_id, tkey, lo, hi."""
     per_doc = marks.groupBy(F.col("doc_id").alias("r_id"), F.col("tkey").alias("r_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    return docs.join(per_doc, docs.doc_id.eqNullSafe(per_doc.r_id) & (docs.tkey == per_doc.r_key), "left").select("doc_id", "text", "marks")
+    joined = docs.join(per_doc, (docs.doc_id == per_doc.r_id) & (docs.tkey == per_doc.r_key), "left")
+    return joined.select(F.when(F.col("tkey") < NO_ID, F.col("doc_id")).alias("doc_id"), "text", "marks")

@@ -24,7 +24,7 @@ from . import anchors as A
 from . import textkit as K
 from .scratch import written
 
-FOUND = "a long, s1 long, s2 long, lo int, hi int, f1 long, f2 long, first long"
+FOUND = "a long, s long, lo int, hi int, f1 long, f2 long, first long"
 
 
 def parse(block: np.ndarray, own: np.ndarray, doc: int, index: dict, docs: dict, words: np.ndarray, at: int, window: int) -> list[tuple[int, int]]:
@@ -46,6 +46,14 @@ def parse(block: np.ndarray, own: np.ndarray, doc: int, index: dict, docs: dict,
     return factors
 
 
+def hashed(contents: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Word hashes of all contents end to end, and how many each has."""
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in contents])])
+    starts, stops, row = K.spans(data, offsets)
+    return K.hashes(K.as_binary(data, starts, stops)), np.bincount(row, minlength=len(contents)).tolist()
+
+
 def shard_parser(window: int, most: int = 8 << 20):
     def run(batches):
         for rows in A.gathered(batches, most):
@@ -55,18 +63,17 @@ def shard_parser(window: int, most: int = 8 << 20):
                 end = at
                 while end < len(rows) and rows[end][:2] == rows[at][:2]:
                     end += 1
-                group = sorted(rows[at:end], key=lambda r: (r[5], r[3], r[4]))
+                group = sorted(rows[at:end], key=lambda r: (r[4], r[3]))
                 at = end
-                words = np.concatenate([np.frombuffer(r[6], np.uint64) for r in group])
+                words, sizes = hashed([r[5] for r in group])
                 gram = K.grams(words, window).tolist()
                 place = 0
                 index: dict[int, int] = {}
                 docs: dict[int, int] = {}
-                for a, _, parts, s1, s2, doc, raw in group:
-                    n = len(raw) // 8
+                for (a, _, parts, s, doc, _), n in zip(group, sizes, strict=True):
                     block, own = words[place : place + n], gram[place : place + n - window + 1]
                     done = parse(block, own, doc, index, docs, words, place, window)
-                    out += [(a, s1, s2, lo, hi, None, None, doc) for lo, hi in done]
+                    out += [(a, s, lo, hi, None, None, doc) for lo, hi in done]
                     hit = {i for lo, hi in done for i in range(lo, hi)} if parts > 1 else ()
                     for i, g in enumerate(own):
                         if g not in index:
@@ -74,11 +81,11 @@ def shard_parser(window: int, most: int = 8 << 20):
                             docs[place + i] = doc
                         if parts > 1 and i not in hit:
                             f1, f2 = np.frombuffer(hashlib.blake2b(block[i : i + window].tobytes(), digest_size=16).digest(), np.int64).tolist()
-                            out.append((a, s1, s2, i, i + 1, f1, f2, doc))
+                            out.append((a, s, i, i + 1, f1, f2, doc))
                     place += n
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["a", "s1", "s2", "lo", "hi", "f1", "f2", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["a", "s", "lo", "hi", "f1", "f2", "first"])
 
     return run
 
@@ -112,26 +119,25 @@ def _without_text(batches):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 16, shard_segments: int = A.SHARD_SEGMENTS, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (words joined by a space)."""
     docs = A.keyed(docs, id_col, text_col)
-    found = docs.where("doc_id is not null").mapInArrow(A.segment_rows("word", k, window), A.SEGMENTS)
-    found = written(found, "lz-segments")
-    anchors = found.groupBy("a").agg(F.count(F.lit(1)).alias("n_all"), F.min("doc_id").alias("first_doc"), F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("s2").alias("z"), F.max("s2").alias("u")).where("n_all > 1").select("a", "first_doc", F.expr("x != y or z != u").alias("differ"))
-    again = found.join(anchors, "a")
-    plain = again.where(~F.col("differ") & (F.col("doc_id") > F.col("first_doc"))).select("doc_id", "tkey", "lo", "n")
-    several = again.where("differ").drop("first_doc", "differ")
-    kinds = several.groupBy("a", "s1", "s2").agg(F.min(F.struct("doc_id", "tkey", "lo", "n")).alias("at"))
-    kinds = A.with_shards(kinds.withColumn("first", F.col("at.doc_id")), shard_segments)
-    content = A.contents(docs, kinds, "word", window).repartition("a", "part").sortWithinPartitions("a", "part", "s1", "s2")
+    segments = A.recurring(docs.where(F.col("tkey") < A.NO_ID), "word", k, window, "lz")
+    kinds = segments.groupBy("a", "s").agg(F.min(F.struct("doc_id", "at")).alias("m")).select("a", "s", "m.doc_id", "m.at")
+    kinds = written(A.with_shards(kinds, shard_segments), "lz-blocks")
+    content = A.contents(docs, kinds.where("kinds > 1"), "word", window).repartition("a", "part").sortWithinPartitions("a", "part", "s")
     parsed = content.mapInArrow(shard_parser(window), FOUND)
-    # blocks of one anchor that lie in different shards: the smallest document of each window, wherever it is
-    lone = parsed.where("f1 is not null")
-    smallest = lone.groupBy("f1", "f2").agg(F.min("first").alias("least"))
-    late = lone.join(smallest, ["f1", "f2"]).where("first > least").select("a", "s1", "s2", "lo", "hi")
-    factors = parsed.where("f1 is null").select("a", "s1", "s2", "lo", "hi").unionByName(late)
-    per_block = factors.groupBy("a", "s1", "s2").agg(F.collect_list(F.struct("lo", "hi")).alias("factors"))
-    placed = several.join(kinds.select("a", "s1", "s2", "first"), ["a", "s1", "s2"])
-    whole = placed.where("doc_id > first").select("doc_id", "tkey", "lo", "n")
-    partly = placed.where("doc_id = first").join(per_block, ["a", "s1", "s2"]).select("doc_id", "tkey", F.col("lo").alias("base"), F.explode("factors").alias("f")).select("doc_id", "tkey", (F.col("base") + F.col("f.lo")).alias("lo"), (F.col("f.hi") - F.col("f.lo")).alias("n"))
-    marks = plain.unionByName(whole).unionByName(partly).select("doc_id", "tkey", "lo", (F.col("lo") + F.col("n") + F.lit(window - 1)).alias("hi"))
+    factors = parsed.select("a", "s", "lo", "hi")
+    if not kinds.where("parts > 1").isEmpty():
+        # blocks of one anchor that lie in different shards: the smallest document of each window, wherever it is
+        parsed = written(parsed, "lz-factors")
+        lone = parsed.where("f1 is not null")
+        smallest = lone.groupBy("f1", "f2").agg(F.min("first").alias("least"))
+        late = lone.join(smallest, ["f1", "f2"]).where("first > least")
+        factors = parsed.where("f1 is null").select("a", "s", "lo", "hi").unionByName(late.select("a", "s", "lo", "hi"))
+    per_block = factors.groupBy("a", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("factors"))
+    # the smallest document of a block has the factors found; in later ones the block is a factor as a whole
+    blocks = kinds.select("a", "s", F.col("doc_id").alias("first")).join(per_block, ["a", "s"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), A.count().cast("int").alias("hi")))
+    placed = segments.join(blocks, ["a", "s"]).select("doc_id", "at", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("factors"))).alias("f"))
+    marks = placed.select("doc_id", A.tkey().alias("tkey"), (A.lo() + F.col("f.lo")).alias("lo"), (A.lo() + F.col("f.hi") + F.lit(window - 1)).alias("hi"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     joined = A.attach(docs, marks)
     return joined.mapInArrow(cutter, schema + ", kept_text string") if with_text else joined.mapInArrow(_without_text, schema)

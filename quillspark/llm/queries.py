@@ -6,23 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lempel, suffix
+from . import audio, fertility, lempel, packing, suffix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_rules(documents(spark, sf_dir))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(documents(spark, sf_dir), with_bytes=False)
 
 
+def op6_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
+
+
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_columns(documents(spark, sf_dir), with_media=False)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel.substring_dedup(documents(spark, sf_dir), with_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_lexical_packing": op6_lexical_packing,
+    "op7_audio_features": op7_audio_features,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

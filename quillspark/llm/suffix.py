@@ -99,14 +99,14 @@ def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-FOUND = "a long, s1 long, s2 long, lo int, hi int, f1 long, f2 long, part int"
+FOUND = "a long, s long, lo int, hi int, f1 long, f2 long, part int"
 
 
 def shard_sorter(window: int, most: int = 1 << 20):
     def run(batches):
         for rows in A.gathered(batches, most):
-            raw = b"".join(r[6] for r in rows)
-            sizes = np.array([len(r[6]) for r in rows])
+            raw = b"".join(r[5] for r in rows)
+            sizes = np.array([len(r[5]) for r in rows])
             begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
             symbols = np.zeros(int(sizes.sum()) + len(rows), np.int16)
             spots = np.ones(len(symbols), bool)
@@ -118,17 +118,17 @@ def shard_sorter(window: int, most: int = 1 << 20):
             alike = shared >= window
             twice = alike[place] | alike[np.minimum(place + 1, len(alike) - 1)]
             out = []
-            for (a, part, parts, s1, s2, _, text), at, n in zip(rows, begins.tolist(), counts.tolist(), strict=True):
+            for (a, part, parts, s, _, text), at, n in zip(rows, begins.tolist(), counts.tolist(), strict=True):
                 hit = twice[at : at + n]
-                out += [(a, s1, s2, lo, hi, None, None, part) for lo, hi in _stretches(hit)]
+                out += [(a, s, lo, hi, None, None, part) for lo, hi in _stretches(hit)]
                 if parts > 1:
                     for i in np.flatnonzero(~alike[place[at : at + n]]).tolist():  # the first of each different window
                         f = np.frombuffer(hashlib.blake2b(text[i : i + window], digest_size=16).digest(), np.int64).tolist()
-                        out.append((a, s1, s2, i, i + 1, *f, part))
+                        out.append((a, s, i, i + 1, *f, part))
                         # the others of its run are marked already
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "s1", "s2", "lo", "hi", "f1", "f2", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "s", "lo", "hi", "f1", "f2", "part"])
 
     return run
 
@@ -141,7 +141,7 @@ def merge_runs(batches):
         if not table:
             continue
         both = table[0]
-        f1, f2 = both.column(5).to_numpy(), both.column(6).to_numpy()
+        f1, f2 = both.column(4).to_numpy(), both.column(5).to_numpy()
         key = np.empty(len(f1), dtype=[("x", np.int64), ("y", np.int64)])
         key["x"], key["y"] = f1, f2
         last = int(np.searchsorted(f1, f1[-1], "left"))  # rows from here on may go on in the next batch
@@ -149,7 +149,7 @@ def merge_runs(batches):
         yield from _twice(both.slice(0, last), key[:last])
     if held is not None and held.num_rows:
         key = np.empty(held.num_rows, dtype=[("x", np.int64), ("y", np.int64)])
-        key["x"], key["y"] = held.column(5).to_numpy(), held.column(6).to_numpy()
+        key["x"], key["y"] = held.column(4).to_numpy(), held.column(5).to_numpy()
         yield from _twice(held, key)
 
 
@@ -160,7 +160,7 @@ def _twice(batch: pa.RecordBatch, key: np.ndarray):
         several = hi - lo > 1
         for i in np.flatnonzero(several):  # equal first halves: compare the second ones
             several[i] = (key["y"][lo[i] : hi[i]] == key["y"][i]).sum() > 1
-        yield batch.take(pa.array(np.flatnonzero(several))).select(["a", "s1", "s2", "lo", "hi"])
+        yield batch.take(pa.array(np.flatnonzero(several))).select(["a", "s", "lo", "hi"])
 
 
 def cutter(batches):
@@ -188,22 +188,22 @@ def _without_bytes(batches):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, k: int = 160, shard_segments: int = A.SHARD_SEGMENTS, with_bytes: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay; cuts may part a code point)."""
     docs = A.keyed(docs, id_col, text_col)
-    found = written(docs.mapInArrow(A.segment_rows("byte", k, window), A.SEGMENTS), "sa-segments")
-    anchors = found.groupBy("a").agg(F.count(F.lit(1)).alias("n_all"), F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("s2").alias("z"), F.max("s2").alias("u")).where("n_all > 1").select("a", F.expr("x != y or z != u").alias("differ"))
-    again = found.join(anchors, "a")
-    plain = again.where(~F.col("differ")).select("doc_id", "tkey", "lo", "n")
-    several = again.where("differ").drop("differ")
-    kinds = several.groupBy("a", "s1", "s2").agg(F.count(F.lit(1)).alias("n_all"), F.min(F.struct("doc_id", "tkey", "lo", "n")).alias("at"))
-    kinds = A.with_shards(kinds, shard_segments)
-    content = A.contents(docs, kinds.withColumn("first", F.lit(0).cast("long")), "byte", window).repartition("a", "part").sortWithinPartitions("a", "part", "s1", "s2")
+    segments = A.recurring(docs, "byte", k, window, "sa")
+    kinds = segments.groupBy("a", "s").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at")).alias("m")).select("a", "s", "times", "m.doc_id", "m.at")
+    kinds = written(A.with_shards(kinds, shard_segments), "sa-kinds")
+    content = A.contents(docs, kinds.where("kinds > 1"), "byte", window).repartition("a", "part").sortWithinPartitions("a", "part", "s")
     ranked = content.mapInArrow(shard_sorter(window), FOUND)
-    merged = ranked.where("f1 is not null").repartition("f1").sortWithinPartitions("f1", "f2").mapInArrow(merge_runs, "a long, s1 long, s2 long, lo int, hi int")
-    per_segment = ranked.where("f1 is null").select("a", "s1", "s2", "lo", "hi").unionByName(merged).groupBy("a", "s1", "s2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = ranked.select("a", "s", "lo", "hi")
+    if not kinds.where("parts > 1").isEmpty():
+        ranked = written(ranked, "sa-runs")
+        merged = ranked.where("f1 is not null").repartition("f1").sortWithinPartitions("f1", "f2").mapInArrow(merge_runs, "a long, s long, lo int, hi int")
+        runs = ranked.where("f1 is null").select("a", "s", "lo", "hi").unionByName(merged)
+    per_kind = runs.groupBy("a", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     # a segment that stands once has the runs found; one that stands twice is covered as a whole
-    placed = several.join(kinds.select("a", "s1", "s2", "n_all"), ["a", "s1", "s2"])
-    whole = placed.where("n_all > 1").select("doc_id", "tkey", "lo", "n")
-    partly = placed.where("n_all = 1").join(per_segment, ["a", "s1", "s2"]).select("doc_id", "tkey", F.col("lo").alias("base"), F.explode("runs").alias("r")).select("doc_id", "tkey", (F.col("base") + F.col("r.lo")).alias("lo"), (F.col("r.hi") - F.col("r.lo")).alias("n"))
-    marks = plain.unionByName(whole).unionByName(partly).select("doc_id", "tkey", "lo", (F.col("lo") + F.col("n") + F.lit(window - 1)).alias("hi"))
+    kinds = kinds.select("a", "s", "times").join(per_kind, ["a", "s"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), A.count().cast("int").alias("hi")))
+    placed = segments.join(kinds, ["a", "s"]).select("doc_id", "at", F.explode(F.when(F.col("times") > 1, whole).otherwise(F.col("runs"))).alias("r"))
+    marks = placed.select("doc_id", A.tkey().alias("tkey"), (A.lo() + F.col("r.lo")).alias("lo"), (A.lo() + F.col("r.hi") + F.lit(window - 1)).alias("hi"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     joined = A.attach(docs, marks)
     return joined.mapInArrow(cutter, schema + ", kept binary") if with_bytes else joined.mapInArrow(_without_bytes, schema)

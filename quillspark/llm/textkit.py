@@ -168,10 +168,10 @@ def segments(items: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tup
 
 
 def digests(items: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 128-bit digest of each stretch, as two signed 64-bit columns."""
+    """A 64-bit digest of each stretch."""
     raw, step = items.tobytes(), items.itemsize
-    joined = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip((starts * step).tolist(), (stops * step).tolist(), strict=True))
-    return np.frombuffer(joined, np.int64).reshape(-1, 2)
+    joined = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip((starts * step).tolist(), (stops * step).tolist(), strict=True))
+    return np.frombuffer(joined, np.int64)
 
 
 def union_length(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
