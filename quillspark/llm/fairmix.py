@@ -67,21 +67,21 @@ def _before(df: DataFrame, keys: list[str], order: list[Column], value: str, buc
 
 
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target and taken (words, repeats counted)."""
+    """One row per document: doc_id, tkey (a hash of its text), source, size, source_size, target and taken (words, repeats counted)."""
     doc = F.col(id_col).cast("long")
-    sized = docs.select(doc.alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), shuffled(doc, seed).alias("turn"))
+    sized = docs.select(doc.alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), shuffled(doc, seed).alias("turn"))
     sized = sized.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")))  # null has a key too, the last
     per_source = sized.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = targets(per_source, weights, most_times).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("src"), "source_size", "target")
     bucket = F.shiftright("turn", 36).cast("int")  # the upper 12 of 48 bits
-    queued = _before(sized.withColumn("bucket", bucket), ["src"], [F.col("turn"), F.col("doc_id"), F.col("size")], "size", "bucket", "so_far")
+    queued = _before(sized.withColumn("bucket", bucket), ["src"], [F.col("turn"), F.col("doc_id"), F.col("size"), F.col("tkey")], "size", "bucket", "so_far")
     timed = queued.join(goal, "src").withColumn("end", F.col("so_far") + F.col("size"))
     times = F.transform(F.sequence(F.lit(0), F.lit(most_times - 1)), lambda e: (e * F.col("source_size") + F.col("end")) / F.col("target"))
     timed = timed.withColumn("times", F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(F.array().cast("array<double>")))
-    timed = written(timed.select("doc_id", "source", "size", "source_size", "target", "times"), "mix-timed")
+    timed = written(timed.select("doc_id", "tkey", "source", "size", "source_size", "target", "times"), "mix-timed")
     cut = F.lit(_cut(timed))
     taken = F.size(F.filter("times", lambda t: t <= cut)) * F.col("size")
-    return timed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return timed.select("doc_id", "tkey", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _cut(timed: DataFrame) -> float:
@@ -110,3 +110,14 @@ def _cut(timed: DataFrame) -> float:
     before = shots.where(F.col("t") < found[0]).agg(F.max("t")).first()[0]
     # none of the slice fits: the cut lies just before its first time
     return before if before is not None else math.nextafter(found[0], 0.0)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    found = fair_mix(docs, id_col, text_col, source_col, weights, most_times, seed).where("taken > 0")
+    # rows alike in id, text and source are alike in the mix, but for the cut
+    times = found.groupBy(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("source").alias("__source")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    keyed = docs.withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tkey")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    taken = keyed.join(times, same).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, boilerplate, fairmix, fertility, lempel, packing, rtree, suffix
+from . import audio, boilerplate, disclosure, fairmix, fertility, lempel, licenses, packing, rtree, suffix
+from .oracles import ORACLES
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op3_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairmix.fair_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("detections")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(documents(spark, sf_dir), with_bytes=False)
 
@@ -41,6 +46,10 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_columns(documents(spark, sf_dir), with_media=False)
 
 
+def op8_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.sanitise(documents(spark, sf_dir), with_text=False)
+
+
 def op9_jaccard_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rtree.jaccard_join(documents(spark, sf_dir))
 
@@ -53,12 +62,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_line_dedup": op1_site_line_dedup,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op3_weighted_fair_mix": op3_weighted_fair_mix,
+    "op4_license_signatures": op4_license_signatures,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_lexical_packing": op6_lexical_packing,
     "op7_audio_features": op7_audio_features,
+    "op8_disclosure_sanitiser": op8_disclosure_sanitiser,
     "op9_jaccard_rtree_join": op9_jaccard_rtree_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-#: DuckDB SQL of those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
