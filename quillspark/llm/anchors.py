@@ -27,7 +27,7 @@ SEGMENTS = "doc_id long, a long, s long, at long"
 COUNT_BITS, KEY_BITS = 9, 22
 MOST_WINDOWS = (1 << COUNT_BITS) - 1
 #: Different segments that one shard of an anchor takes; more are dealt over several shards, which are then merged.
-SHARD_SEGMENTS = 2048
+SHARD_SEGMENTS = 4096
 #: Items (bytes or words) of a row that are handled at once.
 STRETCH = 1 << 21
 
@@ -157,3 +157,40 @@ def attach(docs: DataFrame, marks: DataFrame) -> DataFrame:
     per_doc = marks.groupBy(F.col("doc_id").alias("r_id"), F.col("tkey").alias("r_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     joined = docs.join(per_doc, (docs.doc_id == per_doc.r_id) & (docs.tkey == per_doc.r_key), "left")
     return joined.select(F.when(F.col("tkey") < NO_ID, F.col("doc_id")).alias("doc_id"), "text", "marks")
+
+
+def merged(ranked: DataFrame, tail: str, run: Callable) -> DataFrame:
+    """Rows of shards, those with a window's fingerprint (f1, f2) brought together and in order, for ``run`` to settle; others pass."""
+    place = F.coalesce("f1", F.xxhash64("a", "s"))
+    return ranked.repartition(place).sortWithinPartitions("f1", "f2", tail).mapInArrow(run, "a long, s long, lo int, hi int")
+
+
+def settled(judge: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> Callable:
+    """Runs over rows sorted by (f1, f2). judge gets, for rows that have a fingerprint, the number of each row's run and the rows; it says which stay."""
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        f1 = batch.column(batch.schema.get_field_index("f1"))
+        free = f1.null_count
+        stay = np.ones(batch.num_rows, bool)
+        if free < batch.num_rows:
+            own = batch.slice(free)
+            x, y = (own.column(own.schema.get_field_index(f)).to_numpy() for f in ("f1", "f2"))
+            # the runs' first rows, by binary search in the sorted fingerprints; equal first halves are rare, so their second ones are compared
+            head = np.searchsorted(x, x, "left")
+            fresh = (head == np.arange(len(x))) | np.append(True, y[1:] != y[:-1])
+            stay[free:] = judge(np.cumsum(fresh) - 1, own)
+        return batch.filter(pa.array(stay)).select(["a", "s", "lo", "hi"])
+
+    def run(batches):
+        pending = None
+        for batch in batches:
+            pending = batch if pending is None else pa.Table.from_batches([pending, batch]).combine_chunks().to_batches()[0]
+            f1 = pending.column(pending.schema.get_field_index("f1"))
+            last = f1[len(f1) - 1].as_py()
+            cut = pending.num_rows if last is None else f1.null_count + int(np.searchsorted(f1.slice(f1.null_count).to_numpy(), last, "left"))
+            yield keep(pending.slice(0, cut))
+            pending = pending.slice(cut) if cut < pending.num_rows else None
+        if pending is not None:
+            yield keep(pending)
+
+    return run

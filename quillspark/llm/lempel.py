@@ -90,6 +90,14 @@ def shard_parser(window: int, most: int = 8 << 20):
     return run
 
 
+def after_the_first(run: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
+    """Rows of a run are in order of their document; those of a later document than its first have the window again."""
+    first = rows.column(rows.schema.get_field_index("first")).to_numpy()
+    least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, run, first)
+    return first > least[run]
+
+
 def cutter(batches):
     """Counts and digest of what stays of each document."""
     for batch in K.slices(batches):
@@ -124,14 +132,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = written(A.with_shards(kinds, shard_segments), "lz-blocks")
     content = A.contents(docs, kinds.where("kinds > 1"), "word", window).repartition("a", "part").sortWithinPartitions("a", "part", "s")
     parsed = content.mapInArrow(shard_parser(window), FOUND)
-    factors = parsed.select("a", "s", "lo", "hi")
-    if not kinds.where("parts > 1").isEmpty():
-        # blocks of one anchor that lie in different shards: the smallest document of each window, wherever it is
-        parsed = written(parsed, "lz-factors")
-        lone = parsed.where("f1 is not null")
-        smallest = lone.groupBy("f1", "f2").agg(F.min("first").alias("least"))
-        late = lone.join(smallest, ["f1", "f2"]).where("first > least")
-        factors = parsed.where("f1 is null").select("a", "s", "lo", "hi").unionByName(late.select("a", "s", "lo", "hi"))
+    # blocks of one anchor that lie in different shards: the smallest document of each window, wherever it is
+    factors = A.merged(parsed, "first", A.settled(after_the_first))
     per_block = factors.groupBy("a", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("factors"))
     # the smallest document of a block has the factors found; in later ones the block is a factor as a whole
     blocks = kinds.select("a", "s", F.col("doc_id").alias("first")).join(per_block, ["a", "s"], "left")

@@ -42,11 +42,12 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (key << 9) | padded[i : i + n]
     order = np.argsort(key)
     sorted_key = key[order]
-    group = np.zeros(n + 1, np.int64)  # of each suffix: the place of its group's first, from 1; 0 beyond the end
+    order = order.astype(np.int32)
+    group = np.zeros(n + 1, np.int32)  # of each suffix: the place of its group's first, from 1; 0 beyond the end
     heads = np.ones(n, bool)
     heads[1:] = sorted_key[1:] != sorted_key[:-1]
     length = FIRST
-    open_at = np.arange(n)  # places whose suffix isn't alone in its group
+    open_at = np.arange(n, dtype=np.int32)  # places whose suffix isn't alone in its group
     while True:
         first = np.flatnonzero(heads)
         group[order[open_at]] = open_at[first][np.cumsum(heads) - 1] + 1
@@ -56,15 +57,16 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(open_at):
             break
         suffix = order[open_at]
-        pair = group[suffix] * (n + 2) + group[np.minimum(suffix + length, n)]
+        pair = group[suffix].astype(np.int64) * (n + 2) + group[np.minimum(suffix + length, n)]
         by = np.argsort(pair)
         order[open_at] = suffix[by]
         pair = pair[by]
         heads = np.ones(len(open_at), bool)
         heads[1:] = pair[1:] != pair[:-1]
         length *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    del key, sorted_key, padded
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     return order, place
 
 
@@ -133,34 +135,9 @@ def shard_sorter(window: int, most: int = 1 << 20):
     return run
 
 
-def merge_runs(batches):
-    """Rows sorted by fingerprint, one for each shard and window: those whose fingerprint another shard has too."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([*([held] if held is not None else []), batch]).combine_chunks().to_batches()
-        if not table:
-            continue
-        both = table[0]
-        f1, f2 = both.column(4).to_numpy(), both.column(5).to_numpy()
-        key = np.empty(len(f1), dtype=[("x", np.int64), ("y", np.int64)])
-        key["x"], key["y"] = f1, f2
-        last = int(np.searchsorted(f1, f1[-1], "left"))  # rows from here on may go on in the next batch
-        held = both.slice(last)
-        yield from _twice(both.slice(0, last), key[:last])
-    if held is not None and held.num_rows:
-        key = np.empty(held.num_rows, dtype=[("x", np.int64), ("y", np.int64)])
-        key["x"], key["y"] = held.column(4).to_numpy(), held.column(5).to_numpy()
-        yield from _twice(held, key)
-
-
-def _twice(batch: pa.RecordBatch, key: np.ndarray):
-    if batch.num_rows:
-        x = key["x"]
-        lo, hi = np.searchsorted(x, x, "left"), np.searchsorted(x, x, "right")
-        several = hi - lo > 1
-        for i in np.flatnonzero(several):  # equal first halves: compare the second ones
-            several[i] = (key["y"][lo[i] : hi[i]] == key["y"][i]).sum() > 1
-        yield batch.take(pa.array(np.flatnonzero(several))).select(["a", "s", "lo", "hi"])
+def in_two_shards(run: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
+    """A shard gives out one row for each different window, so a run of two or more rows has a window of two shards."""
+    return np.bincount(run)[run] > 1
 
 
 def cutter(batches):
@@ -193,11 +170,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = written(A.with_shards(kinds, shard_segments), "sa-kinds")
     content = A.contents(docs, kinds.where("kinds > 1"), "byte", window).repartition("a", "part").sortWithinPartitions("a", "part", "s")
     ranked = content.mapInArrow(shard_sorter(window), FOUND)
-    runs = ranked.select("a", "s", "lo", "hi")
-    if not kinds.where("parts > 1").isEmpty():
-        ranked = written(ranked, "sa-runs")
-        merged = ranked.where("f1 is not null").repartition("f1").sortWithinPartitions("f1", "f2").mapInArrow(merge_runs, "a long, s long, lo int, hi int")
-        runs = ranked.where("f1 is null").select("a", "s", "lo", "hi").unionByName(merged)
+    runs = A.merged(ranked, "part", A.settled(in_two_shards))
     per_kind = runs.groupBy("a", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     # a segment that stands once has the runs found; one that stands twice is covered as a whole
     kinds = kinds.select("a", "s", "times").join(per_kind, ["a", "s"], "left")
