@@ -1,0 +1,279 @@
+import base64
+import hashlib
+import io
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from quillspark.llm import audio, disclosure, fairmix, fertility, licenses, packing, vocab
+
+from . import plain
+
+ROWS = plain.corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return plain.table(spark, ROWS).repartition(3)
+
+
+def test_quality_base_counts(docs):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = Counter((r.doc_id, *(r[n] for n in names)) for r in fertility.quality_rules(docs).collect())
+    assert got == Counter((i, *plain.base2(t)) for i, t, *_ in ROWS)
+
+
+def test_quality_bands(spark):
+    prose = "The committee met on Tuesday to discuss the new library building, and most of its members agreed that the old reading room should stay open. "
+    rng = np.random.default_rng(1)
+    noise = " ".join(base64.b64encode(rng.bytes(30)).decode() for _ in range(80))
+    broken = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 400)).replace("一", " ")
+    broken = " ".join(broken[i : i + 4] for i in range(0, 400, 4))
+    texts = [prose + f" Number {i} follows here with other words entirely: {t}" for i, t in enumerate(["alpha beta gamma", "delta"])]
+    texts = [t + " ".join(f"{w}{k}" for k, w in enumerate(["stone", "river", "garden", "window", "paper", "candle", "mountain", "harbour", "winter", "summer"] * 4)) for t in texts]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, noise, broken])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in fertility.quality_rules(df).collect()}
+    assert got[0].kept and got[1].kept
+    assert not got[2].in_band and not got[3].in_band
+    assert fertility.script("Привет, мир") == "cyrillic" and fertility.script("東京") == "east" and fertility.script("") == "other"
+
+
+def test_clean_documents_keeps_columns(docs):
+    kept = fertility.clean_documents(docs)
+    assert kept.schema == docs.schema
+    want = Counter(r.doc_id for r in fertility.quality_rules(docs).where("kept").collect())
+    assert Counter(r.doc_id for r in kept.collect()) == want and want
+    assert fertility.clean_documents(docs.limit(0)).count() == 0
+
+
+def water(sizes, weights):
+    """Targets by sharing the excess again and again."""
+    target, held, left = {}, set(), float(sum(sizes.values()))
+    while True:
+        open_ = [s for s in sizes if s not in held]
+        total = sum(weights[s] for s in open_)
+        share = {s: left * weights[s] / total for s in open_}
+        over = [s for s in open_ if share[s] > 3 * sizes[s] or not sizes[s]]
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            held.add(s)
+
+
+def test_fair_mix(docs):
+    got = fairmix.fair_mix(docs).collect()
+    sizes = defaultdict(int)
+    for _, t, _, s in ROWS:
+        sizes[s] += len(plain.words(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = water(dict(sizes), {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)})
+    taken = defaultdict(int)
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * (1 + want[r.source])
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        taken[r.source] += r.taken
+    biggest = max(r.size for r in got)
+    assert len(got) == len(ROWS) and sum(taken.values()) <= sum(sizes.values())
+    assert all(abs(taken[s] - want[s]) <= 3 * biggest for s in sizes)
+    again = fairmix.fair_mix(docs.repartition(5)).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == Counter((r.doc_id, r.size, r.taken) for r in again)
+
+
+def test_fair_mix_edges(spark, docs):
+    assert fairmix.fair_mix(docs.limit(0)).count() == 0
+    blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert [r.taken for r in fairmix.fair_mix(blank).collect()] == [0, 0]
+    mixed = fairmix.mixed(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(plain.words(r.text)) for r in mixed.collect()) == sum(r.taken for r in fairmix.fair_mix(docs).collect())
+
+
+LICENSE_TEXTS = [
+    "Licensed under the MIT License. cc by nc cc by nc CC-BY-NC 4.0 under the MIT license",
+    "SPDX-License-Identifier: Apache-2.0\nApache License, Version 2.0",
+    "GNU General Public License version 3 or later",
+    "under the mİt license, KK",
+    "All rights reserved. Copyright (c) 2020",
+    "This work is licensed under a Creative Commons Attribution Non-Commercial 4.0 International License",
+    "cc by nc " * 300,
+    None,
+    "",
+]
+
+
+def test_license_base(spark):
+    rows = [(i, t) for i, t in enumerate(LICENSE_TEXTS)] + [(1000 + k, r[1]) for k, r in enumerate(ROWS)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    word, low = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), str.maketrans(licenses.UPPER, licenses.LOWER)
+    for i, text in rows:
+        w = word.findall((text or "").translate(low))
+        places, labels = [], set()
+        for phrase, label in licenses.BASE:
+            p = phrase.split()
+            here = [k for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
+            places += here
+            labels |= {label} if here else set()
+        want = (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want
+        assert labels <= set(got[i].labels.split(",")) | {""} and 0 <= got[i].score <= 1
+    assert [got[k].labels for k in range(6)] == ["cc-by-nc,mit", "apache-2", "gpl-3", "", "all-rights-reserved,copyright", "cc-by-nc"]
+    assert got[6].n_base == 300 and got[7].labels == got[8].labels == ""
+
+
+def test_license_detections_match_the_rules_one_by_one(spark):
+    """Detections against plain regular expressions and containment."""
+    text = " ".join(t for t in LICENSE_TEXTS[:6] if t) + " released under the terms of the BSD 3-Clause license; MPL 2.0 or later; the Unlicense"
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().detections
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
+    padded = " " + " ".join(w) + " "
+    hits = []
+    for label, keyword, pattern, level in licenses.rules():
+        if keyword in padded:
+            for m in re.finditer(f" {pattern}(?= )", padded):
+                first = padded[: m.start()].count(" ")
+                hits.append((first, first + m[0].count(" "), level, label))
+    kept = []
+    for level in (1, 2, 3):
+        better, last = list(kept), -1
+        for first, end, _, label in sorted((h for h in hits if h[2] == level), key=lambda h: (h[0], -h[1], h[3])):
+            if end > last:
+                if not any(b[0] <= first and end <= b[1] for b in better):
+                    kept.append((first, end, level, label))
+                last = end
+    assert sorted((d["first"], d["end"], d["level"], d["label"]) for d in got) == sorted(kept) and len(kept) > 8
+
+
+def test_license_rules_are_many():
+    assert len(licenses.rules()) > 300
+
+
+def test_packing_round_trip(docs):
+    pieces = packing.pack(docs, window=64, shard_documents=16).collect()
+    want = {}
+    exact = vocab.json_encoder("byte_bpe_50k")
+    ids = [np.append(np.array(exact.encode(t or "", add_special_tokens=False).ids, np.uint32), np.uint32(0)) for _, t, *_ in ROWS]
+    want = Counter((i, x.tobytes()) for (i, *_), x in zip(ROWS, ids))
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        assert len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    total = 0
+    for parts in by_sequence.values():
+        parts.sort(key=lambda p: p.offset)
+        at = 0
+        for p in parts:
+            assert p.offset == at
+            at += p.length
+        assert at == 64 or at & (at - 1) == 0
+        total += at
+    assert total == sum(map(len, ids))
+    once = Counter(i for i, *_ in ROWS)
+    for i, parts in by_doc.items():
+        if once[i] == 1:
+            parts.sort(key=lambda p: p.start)
+            assert [p.start for p in parts] == [sum(q.length for q in parts[:k]) for k in range(len(parts))]
+            own = np.concatenate([np.array(p.ids, np.uint32) for p in parts])
+            assert want[(i, own.tobytes())] == 1 and parts[0].doc_tokens == len(own)
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_special_token_and_neighbours():
+    text = "a <|endoftext|> b\n\n  'été' 123 " * 3
+    assert vocab.ids(text).tolist() == vocab.json_encoder("byte_bpe_50k").encode(text, add_special_tokens=False).ids
+    topic = [np.array([k] * 3 + [1000 + i for i in range(20)], np.uint32) for k in (5, 6, 5, 6, 7, 8, 9, 10, 11, 12)]
+    for k, x in enumerate(topic):
+        x[3:] = x[3:] + 100 * k
+    first = next(iter(packing.fill(topic, 46)))
+    assert [d for d, *_ in first] == [0, 2]  # the neighbour that shares tokens comes before nearer ones
+
+
+def test_audio(docs):
+    got = defaultdict(set)
+    for r in audio.audio_columns(docs).collect():
+        samples = audio.from_wav(bytes(r.media))
+        assert len(samples) == r.payload_bytes and r.payload_bytes % 64 == 0 and r.media_bytes == len(r.media)
+        assert hashlib.sha256(samples).hexdigest() == r.payload_sha256 and zlib.crc32(samples[-64:]) == r.tail_crc32
+        text = samples[: r.n_bytes].decode()
+        assert not any(samples[r.n_bytes :])
+        got[text].add((r.payload_sha256, r.media_sha256, r.feature))
+        table = pa.ipc.open_stream(io.BytesIO(bytes(r.tensors))).read_all()
+        assert table.schema.field("tensor").type.shape == [audio.CLIP, audio.BANDS] and table.num_rows >= 1
+    assert set(got) == {t or "" for _, t, *_ in ROWS} and all(len(v) == 1 for v in got.values())
+    assert audio.audio_columns(docs.limit(0)).count() == 0
+
+
+def test_audio_signal():
+    t = np.arange(16_000) / 16_000
+    tone = np.sin(2 * np.pi * 440 * t).astype(np.float32)
+    y = audio.resample(tone)
+    assert len(y) == 10_000 and abs(np.abs(np.fft.rfft(y)).argmax() - 440) <= 1
+    assert np.abs(audio.resample(np.sin(2 * np.pi * 7400 * t).astype(np.float32))[200:-200]).max() < 0.1
+    burst = np.concatenate([np.zeros(8000), tone[:8000], np.zeros(8000)]) * 100 + 128
+    _, _, active = audio.features(burst.astype(np.uint8).tobytes())
+    assert len(active) == 1 and abs(active[0, 0] - 0.5) < 0.05 and abs(active[0, 1] - 1.0) < 0.05
+    assert audio.active(np.array([0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 7, 4, 4, 7, 2, 4, 4.0])).tolist() == [[10, 14]]
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def private(text):
+    out, counts = [], []
+    for kind, pattern in PATTERNS.items():
+        found = []
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 13 <= len(d) <= 19 and luhn(d), "phone": lambda: 9 <= len(d) <= 15}[kind]()
+            if ok:
+                found.append(f"{kind}:{m.start()}:{m.end()}")
+        out += found
+        counts.append(len(found))
+    return (*counts, hashlib.sha256(",".join(out).encode()).hexdigest()), ",".join(out)
+
+
+def test_private_data(spark):
+    r = np.random.default_rng(2)
+    alphabet = list("ab@@..--++ 0123456789()_%é😀\n")
+    texts = ["a@b.c_d@e.f x 1.2.3.4.5.6.7.8 999.1.1.1 4111 1111 1111 1111", "4111-1111-1111-1111 +1 (555) 123-4567", "é😀 jo.x+1@host-a.example.org, 010.0.0.001", None, "", "1" * 5000, "+" * 3000 + "12345678901", "a.b-" * 3000]
+    texts += ["".join(r.choice(alphabet, 120)) for _ in range(150)]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, spans string, base int")
+    for row in disclosure.sanitise(df).collect():
+        want, spans = private(texts[row.doc_id])
+        assert tuple(row)[1:6] == want
+        assert row.spans == spans or row.spans.startswith(f"{spans},term:")
+
+
+def test_disclosing_terms(spark):
+    rows = [(i, f"Please ask Quillibert about it, quillibert@corp.example.com is the address. Common words follow number {i}.") for i in range(6)]
+    rows += [(100 + i, "Common words follow, please ask about it, the address is elsewhere. " * 3) for i in range(30)] + [(None, rows[0][1])]
+    got = {r.doc_id: r for r in disclosure.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Quillibert" not in got[3].clean_text and "@" not in got[3].clean_text and "Please ask  about" in got[3].clean_text
+    assert got[100].spans == "" and got[100].clean_text == rows[6][1]
+    assert got[None].spans == got[0].spans
+    text = rows[3][1]
+    terms = [text[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in got[3].spans.split(",")) if k == "term"]
+    assert "quillibert" in terms and "common" not in terms and "the" not in terms
+    assert disclosure.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("module", [fairmix, licenses, disclosure])
+def test_native_operators_run_no_python(module, docs):
+    df = {fairmix: fairmix.fair_mix, licenses: licenses.scan, disclosure: disclosure.sanitise}[module](docs)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
