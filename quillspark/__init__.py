@@ -1,0 +1 @@
+"""A PySpark-native engine that checks citations in document collections."""

@@ -1,0 +1 @@
+"""Column expressions; nothing here triggers a job."""

@@ -1,0 +1 @@
+"""Whole queries: derived inputs, the registered queries and their SQL."""
