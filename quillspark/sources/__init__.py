@@ -1,0 +1 @@
+"""Readers and writers at the engine's edges."""

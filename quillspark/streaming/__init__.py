@@ -1,0 +1 @@
+"""Reviewer overrides as a stream."""
