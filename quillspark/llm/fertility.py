@@ -94,8 +94,10 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     covered = np.zeros(len(codes), bool)
     if len(codes) > 2:
         size = len(distinct) + 1
-        assert size < 1 << 21
-        window = (codes[:-2] * size + codes[1:-1]) * size + codes[2:]
+        pair = codes[:-2] * size + codes[1:-1]
+        if size >= 1 << 21:  # of one very long row: number the pairs, so that three words fit 64 bits
+            pair = np.unique(pair, return_inverse=True)[1]
+        window = pair * size + codes[2:]
         inside = np.flatnonzero(row[2:] == row[:-2])
         window = window[inside]
         order = np.argsort(window)
