@@ -18,6 +18,8 @@ from ..functions import identifiers as I
 
 #: Least likeness of titles, and how far the best must be ahead of the next.
 THRESHOLD, MARGIN = 0.62, 0.08
+#: Parts that a band of title lengths is dealt over.
+DEALT = 32
 
 
 def find_references(checks: DataFrame, refs: DataFrame) -> DataFrame:
@@ -56,14 +58,14 @@ def likeness(a: str, b: str) -> float:
 def title_scores(refs: DataFrame, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """key, path, path_ord, score of the pairs from ``threshold`` on. Distinct titles are compared once.
 
-    Titles as like as that differ in length by a bounded factor, so pairs meet by bands of length (a band and its neighbours),
-    and sharing too few characters rules a pair out before it is scored.
+    Titles as like as that differ in length by a bounded factor, so pairs meet by bands of length (a band and its neighbours);
+    bands are few and so dealt over ``DEALT`` parts. Sharing too few characters rules a pair out before it is scored.
     """
     step = (2 - threshold) / threshold
     band = F.floor(F.log(F.length("t")) / F.log(F.lit(step))).cast("int")
-    wanted = refs.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("a"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    have = files.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("b"), band.alias("band"))
-    pairs = wanted.join(have, "band").where(2 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b"))).select("a", "b")
+    wanted = refs.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("a"), F.pmod(F.xxhash64("t"), F.lit(DEALT)).alias("part"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    have = files.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("b"), band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")).alias("part"))
+    pairs = wanted.join(have, ["band", "part"]).where(2 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b"))).select("a", "b")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
