@@ -6,9 +6,9 @@ points of like size, each with the largest count of every group in it. Leaf agai
 dropped when the summed minima are below what the similarity needs, sizes included; survivors are verified on the whole sets.
 
 Shards come from prefixes: sets that are similar enough share one of the first hashes of each (rare ones first; which are
-frequent is counted over all documents, and only decides on the order). Equal sets are one class from the start. A shard first links
-every class to its smallest one, so that large groups of near copies become one component at once; only pairs that still lie in
-different components go through the R-tree, which loses no component. A shard beyond ``SHARD_POINTS`` is dealt into blocks, and
+frequent is counted over all documents, and only decides on the order). Equal sets are one class from the start. Each
+class is first tried against the smallest of a shard and those next to it in size, so that large groups of near copies become one
+component at once; all pairs that still lie in different components then go through the R-tree, which loses no component. A shard beyond ``SHARD_POINTS`` is dealt into blocks, and
 every two blocks meet in a task of their own.
 
 Defined results: sets without words are empty and linked with nothing; a null id never names a component (null if it holds no other);
@@ -28,14 +28,17 @@ from . import textkit as K
 from .graphs import components
 from .scratch import written
 
-GROUPS = 128
+GROUPS = 512
 LEAF = 64
+#: Partners of a hash, next to a set in size, that are tried before any shard; so shards are needed for hashes of more sets only.
+BACK = 3
+PROBED = ["h", "n", "node", "sets", *(f"p{i}" for i in range(BACK + 1))]
 #: Points that a task of a shard takes; a larger shard is dealt into blocks of half as many.
 SHARD_POINTS = 8192
 #: Frequent hashes that are put last, at most; that many fit a broadcast, whatever the input.
 MOST_FREQUENT = 1 << 17
-#: Times a hash is seen before it counts as frequent.
-FREQUENT = 128
+#: Times a hash is seen (twice or more in a task) before it counts as frequent.
+FREQUENT = 8
 #: Documents whose texts are looked up by a broadcast of their keys; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -168,7 +171,7 @@ def _points(n: int, percent: int, frequent):
 
 
 def _shared_hashes(percent: int):
-    """From rows sorted by (h, n, node): those whose hash another node has, with the node that leads them: the smallest of a fitting size."""
+    """From rows sorted by (h, n, node): those whose hash another node has, how many sets have it, and the nodes to try first (itself: none)."""
 
     def run(batches):
         pending = None
@@ -191,9 +194,13 @@ def _led(batch: pa.RecordBatch, percent: int):
     h, n, node = (batch.column(i).to_numpy() for i in range(3))
     fresh = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
     h, n, node = h[fresh], n[fresh], node[fresh]
-    same = h[1:] == h[:-1]
-    at = np.flatnonzero(np.append(False, same) | np.append(same, False))
-    h, n, node = h[at], n[at].astype(np.int64), node[at]
+    n = n.astype(np.int64)
+    # in order of size, a fitting partner is a neighbour if there is any
+    fits = (h[1:] == h[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
+    at = np.flatnonzero(np.append(False, fits) | np.append(fits, False))
+    h, n, node = h[at], n[at], node[at]
+    edges = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)) if len(h) else np.zeros(1, np.int64)
+    run = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     head, head_n = node.copy(), n.copy()
     lead = -1
     hs, ns = h.tolist(), n.tolist()
@@ -202,7 +209,12 @@ def _led(batch: pa.RecordBatch, percent: int):
             lead = i
         head[i], head_n[i] = node[lead], n[lead]
     if len(h):
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(node), pa.array(head), pa.array(head_n)], names=["h", "n", "node", "lead", "lead_n"])
+        # probes: the leader and those just before in order of size, where sizes fit; all pairs of a run of BACK + 1 are among them
+        probes = [np.where((head != node) & (head_n * 100 >= n * percent), head, node)]
+        for step in range(1, BACK + 1):
+            back, back_n, back_h = (np.concatenate([np.full(min(step, len(x)), -1, x.dtype), x[:-step]]) for x in (node, n, h))
+            probes.append(np.where((np.arange(len(h)) >= step) & (back_h == h) & (back_n * 100 >= n * percent), back, node))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, node, np.diff(edges)[run], *probes)], names=PROBED)
 
 
 def _bounded(percent: int):
@@ -218,31 +230,86 @@ def _bounded(percent: int):
     return run
 
 
-def _shard_search(percent: int):
-    """From rows sorted by shard (h, i, j) to the pairs across components that a shard's R-tree can't exclude."""
+def _runs(batches, keys: int):
+    """Rows of Arrow batches sorted by their first ``keys`` columns, in tables that hold whole runs of equal keys."""
+    pending = None
+    for batch in batches:
+        pending = pa.Table.from_batches([batch]) if pending is None else pa.concat_tables([pending, pa.Table.from_batches([batch])]).combine_chunks()
+        change = np.zeros(max(0, pending.num_rows - 1), bool)
+        for k in range(keys):
+            x = pending.column(k).to_numpy()
+            change |= x[1:] != x[:-1]
+        ends = np.flatnonzero(change)
+        if len(ends):
+            yield pending.slice(0, int(ends[-1]) + 1)
+            pending = pending.slice(int(ends[-1]) + 1)
+    if pending is not None and pending.num_rows:
+        yield pending
 
-    def search(rows):
-        node = np.array([r[3] for r in rows])
-        points = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, GROUPS)
-        x, y = tree_pairs(points, np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), percent)
-        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+def _edges(table: pa.Table, keys: int) -> np.ndarray:
+    change = np.zeros(table.num_rows - 1, bool)
+    for k in range(keys):
+        x = table.column(k).to_numpy()
+        change |= x[1:] != x[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+
+
+def _crossing(percent: int):
+    """From rows (h, i, j, n, node, root) sorted by shard and size: those with a partner of fitting size in another component."""
 
     def run(batches):
-        held: list[tuple] = []
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[-1][:3]:
-                    out.append(search(held))
-                    held = []
-                held.append(row)
-            if sum(len(x) for x, _ in out) > 100_000:
+        for table in _runs(batches, 3):
+            edges = _edges(table, 3)
+            shard = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            n, root = table.column(3).to_numpy(), table.column(5).to_numpy()
+            # partners lie between two places of the same shard; a key that grows with both finds them
+            span = int(n.max()) * 2 + 2
+            key = shard * span + n
+            low = np.searchsorted(key, shard * span + -(-n * percent // 100), "left")
+            high = np.searchsorted(key, shard * span + np.minimum(n * 100 // percent, span - 1), "right")
+            turns = np.concatenate([[0, 0], np.cumsum(root[1:] != root[:-1])])
+            keep = turns[high] > turns[low + 1]
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _shard_search(percent: int, best: bool):
+    """From rows (h, i, j, n, node, root, point) sorted by shard to the pairs across components that a shard's R-tree can't exclude.
+
+    best: of each point's pairs with another component, only the one of the highest bound, for a first round.
+    """
+
+    def run(batches):
+        for table in _runs(batches, 3):
+            edges = _edges(table, 3)
+            n, node, root = (table.column(k).to_numpy() for k in (3, 4, 5))
+            points = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(-1, GROUPS)
+            out = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                x, y = tree_pairs(points[lo:hi], n[lo:hi], root[lo:hi], percent)
+                x, y = x + lo, y + lo
+                if best and len(x) > 1:
+                    score = np.concatenate([np.minimum(points[x[k : k + 4096]], points[y[k : k + 4096]]).sum(1) / (n[x[k : k + 4096]] + n[y[k : k + 4096]]) for k in range(0, len(x), 4096)])
+                    take = np.zeros(len(x), bool)
+                    for a, b in ((x, y), (y, x)):
+                        order = np.lexsort((-score, root[b], a))
+                        fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (root[b][order][1:] != root[b][order][:-1]))
+                        take[order[fresh]] = True
+                    # a small component's link to a large one is enough, whichever side it is seen from
+                    pair = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+                    order = np.lexsort((-score, pair[1], pair[0]))
+                    first = np.append(True, (pair[0][order][1:] != pair[0][order][:-1]) | (pair[1][order][1:] != pair[1][order][:-1]))
+                    rank = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+                    top = np.zeros(len(x), bool)
+                    top[order[rank < 4]] = True
+                    x, y = x[take & top], y[take & top]
+                out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
+            if out:
                 yield _unique(out)
-                out = []
-        if held:
-            out.append(search(held))
-        if out:
-            yield _unique(out)
 
     return run
 
@@ -312,34 +379,43 @@ class Join:
         first = members.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key"), "point", "prefix")
         lead = classes.join(first, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("tkey") == F.col("e_key")) & F.col("doc_id").eqNullSafe(F.col("e_id")))
         hashes = lead.select(F.explode("prefix").alias("h"), "n", "node").repartition("h").sortWithinPartitions("h", "n", "node")
-        shared = written(hashes.mapInArrow(_shared_hashes(p), "h long, n long, node long, lead long, lead_n long"), "join-shared")
-        point = members.select("d1", "d2", "point").dropDuplicates(["d1", "d2"]).join(classes.select("d1", "d2", "node", "n"), ["d1", "d2"]).select("node", "n", "point").dropDuplicates(["node"])
-        wanted = shared.select("node").distinct()
-        point = written(point.join(wanted, "node", "left_semi"), "join-nodes")
+        shared = written(hashes.mapInArrow(_shared_hashes(p), ", ".join(f"{x} long" for x in PROBED)), "join-shared")
+        point = written(lead.select("node", F.col("n").cast("long").alias("n"), "point").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "join-nodes")
 
-        stars = shared.where("node != lead").where(F.col("lead_n") * 100 >= F.col("n") * p).select(F.col("lead").alias("x"), F.col("node").alias("y")).distinct()
+        stars = shared.select("node", F.explode(F.array_distinct(F.array(*PROBED[4:]))).alias("x")).where("x != node").select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
         stars = self._with_points(stars, point)
         tried = written(stars.mapInArrow(_bounded(p), "x long, y long"), "join-stars")
         linked = written(self.verify(tried, classes), "join-links")
         roots = written(components(linked), "join-roots")
 
-        of = shared.select("h", "node").join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+        # the likeliest pair of each two components first, then, over the components that makes, all pairs that are left
+        for best in (True, False):
+            found = written(self._across(shared, roots, point, best).join(tried, ["x", "y"], "left_anti"), "join-found")
+            late = written(self.verify(found, classes), "join-late")
+            tried = tried.unionByName(found)
+            if not late.isEmpty():
+                roots = written(components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(late)), "join-roots")
+        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
+        placed = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "doc_id", "tkey")
+        names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("best"))
+        named = placed.join(names, "root").select("d1", "d2", "component_id", "best")
+        out = members.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")
+        lead = (F.col("n_shingles") == 0) | (F.col("tkey").eqNullSafe(F.col("best.tkey")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+        return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), lead.alias("leads"))
+
+    def _across(self, shared: DataFrame, roots: DataFrame, point: DataFrame, best: bool) -> DataFrame:
+        """Pairs (x, y) across components that no shard's R-tree excludes."""
+        p = self.percent
+        of = shared.where(F.col("sets") > BACK + 1).select("h", "n", "node").join(roots, "node", "left").select("h", "n", "node", F.coalesce("root", "node").alias("root"))
         mixed = of.groupBy("h").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.count(F.lit(1)).alias("c")).where("u != v")
         blocks = F.when(F.col("c") > self.shard_points, F.ceil(F.col("c") / (self.shard_points / 2))).otherwise(1).cast("int")
-        rows = of.join(mixed.select("h", blocks.alias("blocks")), "h").join(point, "node")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.col("n").cast("long").alias("n"), "root", "point")
-        found = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_shard_search(p), "x long, y long").distinct()
-        done = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        late = written(self.verify(found.join(done, ["x", "y"], "left_anti"), classes), "join-late")
-        if not late.isEmpty():
-            roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(late))
-        placed = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "doc_id")
-        names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = placed.join(names, "root").select("d1", "d2", "component_id")
-        out = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        rows = of.join(mixed.select("h", blocks.alias("blocks")), "h")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "node", "root")
+        names = "h long, i int, j int, n long, node long, root long"
+        rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(_crossing(p), names)
+        full = rows.join(point.select("node", "point"), "node").select("h", "i", "j", "n", "node", "root", "point")
+        return full.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(_shard_search(p, best), "x long, y long").distinct()
 
     def _with_points(self, pairs: DataFrame, point: DataFrame) -> DataFrame:
         x = point.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("point").alias("px"))
@@ -349,4 +425,17 @@ class Join:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, shard_points: int = SHARD_POINTS, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach, its own included)."""
-    return Join(docs, id_col, text_col, n, percent, shard_points, frequent).run()
+    return Join(docs, id_col, text_col, n, percent, shard_points, frequent).run().select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that lead their component, with all their columns; rows without words stay. Of rows alike in id and text one stays."""
+    found = Join(docs, id_col, text_col, n, percent, SHARD_POINTS, FREQUENT).run()
+    leaders = found.where("leads").groupBy(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey")).agg(F.count(F.lit(1)).alias("__times"), F.max("n_shingles").alias("__n"))
+    leaders = written(leaders, "join-leaders")
+    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = keyed.join(leaders, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tkey")))
+    if not leaders.where("__times > 1 and __n > 0").isEmpty():
+        alike = kept.where("__times > 1 and __n > 0").dropDuplicates(["__id", "__tkey"])
+        kept = kept.where("__times = 1 or __n = 0").unionByName(alike)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
