@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import disclosure, licenses
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +53,104 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def doubled(words: str) -> str:
+    """A rule's words for a text in which every word has a space of its own on either side: RE2 has no look-ahead."""
+    return " " + words.replace(" ?", "\x01").replace(" ", "  ").replace("\x01", "(?:  )?") + " "
+
+
+def spaces(pieces: str) -> str:
+    return f"(length(array_to_string({pieces}, '')) - length(replace(array_to_string({pieces}, ''), ' ', '')))"
+
+
+def located(source: str, keep: str) -> str:
+    """Word places of matches, from pieces p and matches m of a split."""
+    return f"""SELECT {keep}, ({spaces('p[1:i]')} + {spaces('m[1:i - 1]')}) // 2 AS first, ({spaces('p[1:i]')} + {spaces('m[1:i]')}) // 2 AS last
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {source})"""
+
+
+RULES = ", ".join(f"({quoted(label)}, {quoted(keyword)}, {quoted(doubled(pattern))}, {level})" for label, keyword, pattern, level in licenses.rules())
+PHRASES = ", ".join(f"({quoted(label)}, {quoted(doubled(phrase))})" for phrase, label in licenses.BASE)
+OP4 = rf"""
+WITH n AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS w FROM documents),
+t AS (SELECT doc_id, ' ' || w || ' ' AS single, ' ' || replace(w, ' ', '  ') || ' ' AS t, CASE WHEN w = '' THEN 0 ELSE length(w) - length(replace(w, ' ', '')) + 1 END AS n_words FROM n),
+rules(label, keyword, pattern, level) AS (VALUES {RULES}), phrases(label, pattern) AS (VALUES {PHRASES}),
+hit AS (SELECT doc_id, label, level, regexp_split_to_array(t, pattern) AS p, regexp_extract_all(t, pattern) AS m FROM t JOIN rules ON contains(single, keyword) WHERE regexp_matches(t, pattern)),
+det AS ({located('hit', 'doc_id, label, level')}),
+alone AS (SELECT * FROM (SELECT *, max(last) OVER (PARTITION BY doc_id, level ORDER BY first, last DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM det) WHERE before IS NULL OR last > before),
+k1 AS (SELECT doc_id, label, level, first, last FROM alone WHERE level = 1),
+k2 AS (SELECT * FROM k1 UNION ALL SELECT doc_id, label, level, first, last FROM alone a WHERE level = 2 AND NOT EXISTS (SELECT 1 FROM k1 b WHERE b.doc_id = a.doc_id AND b.first <= a.first AND b.last >= a.last)),
+k3 AS (SELECT * FROM k2 UNION ALL SELECT doc_id, label, level, first, last FROM alone a WHERE level = 3 AND NOT EXISTS (SELECT 1 FROM k2 b WHERE b.doc_id = a.doc_id AND b.first <= a.first AND b.last >= a.last)),
+bh AS (SELECT doc_id, label, regexp_split_to_array(t, pattern) AS p, regexp_extract_all(t, pattern) AS m FROM t JOIN phrases ON regexp_matches(t, pattern)),
+base AS ({located('bh', 'doc_id, label')}),
+b AS (SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, min(level) AS best FROM (SELECT doc_id, label, level FROM k3 UNION ALL SELECT doc_id, label, 1 FROM base) GROUP BY doc_id)
+SELECT t.doc_id, t.n_words::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word, coalesce(b.base_labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+  CASE a.best WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.7::DOUBLE WHEN 3 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
+def lengths(pieces: str) -> str:
+    return f"length(array_to_string({pieces}, ''))"
+
+
+#: The contract's patterns as they are; RE2 runs in linear time.
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def places(source: str, keep: str, text: str, pattern: str) -> str:
+    """found, s, e: matches of a pattern with their places in code points."""
+    cut = f"SELECT {keep}, regexp_split_to_array({text}, {pattern}) AS p, regexp_extract_all({text}, {pattern}) AS m FROM {source} WHERE regexp_matches({text}, {pattern})"
+    return f"SELECT {keep}, m[i] AS found, {lengths('p[1:i]')} + {lengths('m[1:i - 1]')} AS s, {lengths('p[1:i]')} + {lengths('m[1:i]')} AS e FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({cut}))"
+
+
+DIGITS = "regexp_replace(found, '[^0-9]', '', 'g')"
+LUHN = f"""list_sum([CASE WHEN (length(d) - k) % 2 = 0 THEN substr(d, k, 1)::INT ELSE substr(d, k, 1)::INT * 2 - CASE WHEN substr(d, k, 1)::INT > 4 THEN 9 ELSE 0 END END FOR k IN range(1, length(d) + 1)]) % 10 = 0"""
+VALID = f"""CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len([o FOR o IN string_split(found, '.') IF length(ltrim(o, '0')) > 3 OR coalesce(TRY_CAST(o AS DOUBLE), 999) > 255]) = 0
+  WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND {LUHN} ELSE length(d) BETWEEN 9 AND 15 END"""
+TERM = quoted(disclosure.TERM)
+FOUND = " UNION ALL ".join(f"SELECT doc_id, text, {quoted(k)} AS kind, {i} AS kind_no, found, s, e FROM ({places('docs', 'doc_id, text', 'text', quoted(v))})" for i, (k, v) in enumerate(PLAIN.items()))
+OP8 = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+span AS (SELECT *, CASE WHEN kind = 'email' THEN kind || lower(found) ELSE kind || regexp_replace(found, '[^0-9.]', '', 'g') END AS entity FROM (SELECT *, {DIGITS} AS d FROM ({FOUND})) WHERE {VALID}),
+base AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind_no, s) AS spans, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+  count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone FROM span GROUP BY doc_id),
+side AS (
+  SELECT doc_id, entity, s - length(l) AS off, l AS part FROM (SELECT *, CASE WHEN s > {disclosure.REACH} THEN regexp_replace(substr(text, s - {disclosure.REACH} + 1, {disclosure.REACH}), '^\\S*', '') ELSE substr(text, 1, s) END AS l FROM span)
+  UNION ALL SELECT doc_id, entity, e AS off, CASE WHEN length(text) > e + {disclosure.REACH} THEN regexp_replace(substr(text, e + 1, {disclosure.REACH}), '\\S*$', '') ELSE substr(text, e + 1, {disclosure.REACH}) END FROM span),
+near_all AS (SELECT doc_id, entity, lower(found) AS term, off + s AS s, off + e AS e FROM ({places('side', 'doc_id, entity, off', 'part', TERM)})),
+near_by AS (SELECT * FROM near_all w WHERE NOT EXISTS (SELECT 1 FROM span b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+pairs AS (SELECT entity, term, count(*) AS n_te FROM near_by GROUP BY ALL HAVING count(DISTINCT doc_id) >= {disclosure.SUPPORT}),
+ent AS (SELECT entity, count(*) AS n_e FROM span GROUP BY entity),
+every_term AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM docs) GROUP BY term),
+inside AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(found), {TERM})) AS term FROM span) GROUP BY term),
+total AS (SELECT sum(length(text) - length(replace(text, ' ', '')) + 1)::DOUBLE AS n FROM docs),
+flagged AS (SELECT p.entity, p.term FROM pairs p JOIN ent USING (entity) JOIN every_term v USING (term) LEFT JOIN inside i USING (term), total t
+  WHERE log2(n_te * t.n / ((v.n - coalesce(i.n, 0)) * n_e)) / log2(t.n / n_e) >= {disclosure.GENERALISE_AT}),
+more AS (SELECT doc_id, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS spans FROM (SELECT DISTINCT w.doc_id, w.s, w.e FROM near_by w JOIN flagged USING (entity, term)) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+  sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(concat_ws(',', b.spans, m.spans), '') AS spans
+FROM docs d LEFT JOIN base b USING (doc_id) LEFT JOIN more m USING (doc_id)
+"""
+
+OP5 = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i : i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM b WHERE octet_length(b) >= 400)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 399 AS hi FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS fresh FROM again)) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS after FROM (SELECT doc_id, lo, hi FROM runs UNION ALL SELECT doc_id, octet_length(b) + 1, NULL FROM b)),
+kept AS (SELECT g.doc_id, string_agg(hex(b[g.after + 1 : g.lo - 1]), '' ORDER BY g.lo) AS x FROM gaps g JOIN b USING (doc_id) GROUP BY g.doc_id)
+SELECT b.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+FROM b JOIN kept k USING (doc_id) LEFT JOIN (SELECT doc_id, sum(hi - lo + 1) AS removed, count(*) AS spans FROM runs GROUP BY doc_id) r USING (doc_id)
+"""
+
 OP9 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
 s AS (
@@ -82,6 +182,9 @@ FROM w LEFT JOIN kept k USING (doc_id)
 ORACLES: dict[str, str] = {
     "op1_site_line_dedup": OP1,
     "op3_weighted_fair_mix": OP3,
+    "op4_license_signatures": OP4,
+    "op5_suffix_array_dedup": OP5,
+    "op8_disclosure_sanitiser": OP8,
     "op9_jaccard_rtree_join": OP9,
     "op10_substring_dedup": OP10,
 }
