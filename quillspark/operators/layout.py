@@ -37,8 +37,8 @@ def in_margin() -> Column:
 
 def body_size(blocks: DataFrame) -> DataFrame:
     """doc_id, body_size: the size most text is set in; of equal ones the first seen."""
-    first = F.struct(F.sum(F.length(stripped(F.col("text")))).alias("chars"), (-F.min(F.struct("page", "ord")["page"] * F.lit(1 << 20) + F.col("ord"))).alias("early"))
-    sizes = blocks.where(~C.blank(F.col("text"))).groupBy("doc_id", F.round("size", 1).alias("body_size")).agg(first.alias("weight"))
+    weight = F.struct(F.sum(F.length(stripped(F.col("text")))).alias("chars"), (-F.min(F.col("page") * (1 << 20) + F.col("ord"))).alias("early"))
+    sizes = blocks.where(~C.blank(F.col("text"))).groupBy("doc_id", F.round("size", 1).alias("body_size")).agg(weight.alias("weight"))
     return sizes.groupBy("doc_id").agg(F.max_by("body_size", "weight").alias("body_size"))
 
 
