@@ -3,7 +3,9 @@
 A text that belongs to its language is cut into few tokens of several characters. Noise, broken encodings, keyboard runs and one
 repeated string show in three figures: characters per token, the share of tokens that are pieces of a character (byte fallback),
 and the entropy of the document's tokens as a share of the largest entropy so many tokens can have. Each language or, for
-languages without a row of their own, the text's main script has a band; a document outside it is rejected. One pass, no shuffle.
+languages without a row of their own, the text's main script has a band; a document outside it is rejected. A band is what
+prose can be at all, narrowed to fences around the quartiles of all documents of that language that pass the base rules: quartiles are
+exact over values in steps, so they don't depend on the order of rows, and junk moves them little. Only those few numbers leave the tasks.
 
 Defined results: null text has no words and so fails the base rules; the language may be null or unknown (the script decides); ids
 are handed through (null or repeated too); other columns are ignored by ``quality_rules`` and kept by ``clean_documents``.
@@ -13,19 +15,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
 from . import vocab
+from .scratch import written
 
 #: Characters that count as symbols.
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
-#: Parameters. Characters per token (least, most), largest byte-fallback share, least share of entropy. A band is about twice
-#: as wide as what prose in the language spans, because a wrongly dropped document costs more than a kept odd one.
+#: Parameters. Characters per token (least, most), largest byte-fallback share, least share of entropy: beyond it, nothing is prose.
 LANGUAGE_BANDS = {
     "en": (1.5, 8.0, 0.15, 0.25),
     "de": (1.2, 8.0, 0.20, 0.25),
@@ -41,6 +42,12 @@ SCRIPT_BANDS = {
     "east": (0.3, 4.0, 0.98, 0.25),
     "other": (0.3, 9.0, 1.00, 0.20),
 }
+#: Parameters of the fences: for each figure, interquartile ranges and the least distance below the first and above the third
+#: quartile (None: no fence there). Characters per token is what tells; the distances are wide for the others. The distance for
+#: characters per token is a share of the median, so that few documents make no narrow band.
+FENCES = {"chars_per_token": ((4, 0.08), (8, 0.25)), "fallback_share": (None, (8, 0.10)), "entropy_share": ((5, 0.20), None)}
+#: Steps that figures are rounded down to for quartiles.
+STEPS = {"chars_per_token": 1 / 512, "fallback_share": 1 / 1024, "entropy_share": 1 / 1024}
 #: Vocabulary for a language; others take the multilingual one.
 VOCABULARIES = {"en": "byte_bpe_50k"}
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k"
@@ -132,47 +139,81 @@ def figures(text: str, vocabulary: str, vocab_dir: str) -> tuple[int, float, flo
     return n, len(text) / n, float(vocab.fragments(vocabulary, vocab_dir)[ids].mean()), entropy / max(1.0, float(np.log2(n)))
 
 
-def _judged(column: pa.Array, langs: list, vocab_dir: str) -> dict[str, list | np.ndarray]:
+def _measured(column: pa.Array, langs: list, vocab_dir: str) -> dict:
     out: dict = base_counts(column)
     out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
     found = []
     for text, lang in zip(column.to_pylist(), langs, strict=True):
         name = VOCABULARIES.get(lang, DEFAULT_VOCABULARY)
-        n, per_token, fallback, entropy = figures(text, name, vocab_dir)
-        band = LANGUAGE_BANDS.get(lang) or SCRIPT_BANDS[script(text)]
-        found.append((n, per_token, fallback, entropy, band[0] <= per_token <= band[1] and fallback <= band[2] and entropy >= band[3]))
-    for key, values in zip(("n_tokens", "chars_per_token", "fallback_share", "entropy_share", "in_band"), zip(*found, strict=True), strict=True):
+        found.append((*figures(text, name, vocab_dir), lang if lang in LANGUAGE_BANDS else script(text)))
+    for key, values in zip(("n_tokens", "chars_per_token", "fallback_share", "entropy_share", "band"), zip(*found, strict=True), strict=True):
         out[key] = np.array(values)
-    out["kept"] = ~out["base_failed"] & out["in_band"]
+    return out
+
+
+def general(band: str) -> tuple[float, float, float, float]:
+    return LANGUAGE_BANDS.get(band) or SCRIPT_BANDS[band]
+
+
+def fitted(measured: DataFrame) -> dict[str, tuple[float, float, float, float]]:
+    """The band of each language or script that occurs, in the form of LANGUAGE_BANDS. measured: the figures of all documents."""
+    quartiles = [F.percentile(F.floor(F.col(name) / step) * step, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(name) for name, step in STEPS.items()]
+    out = {}
+    for row in measured.where("not base_failed").groupBy("band").agg(*quartiles).collect():  # as many rows as there are languages and scripts
+        least, most, fallback, entropy = general(row.band)
+
+        def fence(name: str, up: bool, row=row) -> float:
+            low, middle, high = row[name]
+            ranges, distance = FENCES[name][up]
+            away = max(ranges * (high - low), distance * (middle if name == "chars_per_token" else 1))
+            return high + away if up else low - away
+
+        out[row.band] = (max(least, fence("chars_per_token", False)), min(most, fence("chars_per_token", True)), min(fallback, fence("fallback_share", True)), max(entropy, fence("entropy_share", False)))
     return out
 
 
 FIGURES = [
     ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"),
-    ("n_tokens", "long"), ("chars_per_token", "double"), ("fallback_share", "double"), ("entropy_share", "double"), ("in_band", "boolean"), ("kept", "boolean"),
+    ("n_tokens", "long"), ("chars_per_token", "double"), ("fallback_share", "double"), ("entropy_share", "double"), ("band", "string"),
 ]
-ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocab_dir: str = vocab.VOCAB_DIR) -> DataFrame:
-    """One row per document: its id as doc_id, the base counts, the vocabulary's figures and the verdict."""
+def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, vocab_dir: str) -> DataFrame:
+    """doc_id and FIGURES of each document."""
 
     def run(batches):
         for batch in K.slices(batches):
-            judged = _judged(K.texts(batch), batch.column(2).to_pylist(), vocab_dir)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(judged[k], ARROW[t]) for k, t in FIGURES)], names=["doc_id", *(k for k, _ in FIGURES)])
+            found = _measured(K.texts(batch), batch.column(2).to_pylist(), vocab_dir)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k], ARROW[t]) for k, t in FIGURES)], names=["doc_id", *(k for k, _ in FIGURES)])
 
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
+    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id") if id_col else F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
     return wanted.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in FIGURES))
 
 
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocab_dir: str = vocab.VOCAB_DIR) -> DataFrame:
+    """One row per document: its id as doc_id, the base counts, the vocabulary's figures, the band it is held to and the verdict."""
+    measured = written(measure(docs, id_col, text_col, lang_col, vocab_dir), "quality-figures")
+    bands = fitted(measured)
+    inside = F.lit(False)
+    for band, (least, most, fallback, entropy) in bands.items():
+        inside = inside | ((F.col("band") == band) & F.col("chars_per_token").between(least, most) & (F.col("fallback_share") <= fallback) & (F.col("entropy_share") >= entropy))
+    return measured.select("*", inside.alias("in_band"), (~F.col("base_failed") & inside).alias("kept"))
+
+
 def clean_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab_dir: str = vocab.VOCAB_DIR) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns. Texts are read twice, for the bands and for the verdicts, and never shuffled."""
+    bands = fitted(measure(docs, "", text_col, lang_col, vocab_dir))
 
     def run(batches):
         for batch in K.slices(batches, text_col):
-            langs = batch.column(batch.schema.get_field_index(lang_col)).to_pylist()
-            yield batch.filter(pc.fill_null(pa.array(_judged(K.texts(batch, text_col), langs, vocab_dir)["kept"]), False))
+            found = _measured(K.texts(batch, text_col), batch.column(batch.schema.get_field_index(lang_col)).to_pylist(), vocab_dir)
+            kept = [not failed and within(bands[band], *figure) for failed, band, *figure in zip(found["base_failed"].tolist(), found["band"].tolist(), *(found[k].tolist() for k in STEPS), strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def within(band: tuple[float, float, float, float], per_token: float, fallback: float, entropy: float) -> bool:
+    return band[0] <= per_token <= band[1] and fallback <= band[2] and entropy >= band[3]

@@ -39,6 +39,9 @@ def test_quality_bands(spark):
     got = {r.doc_id: r for r in fertility.quality_rules(df).collect()}
     assert got[0].kept and got[1].kept
     assert not got[2].in_band and not got[3].in_band
+    odd = spark.createDataFrame([(i, " ".join(f"{w}{i}" for w in texts[0].split()) if i else texts[0].replace(" ", " ^~`} "), "en") for i in range(40)], "doc_id long, text string, lang string")
+    verdicts = {r.doc_id: r.in_band for r in fertility.quality_rules(odd).collect()}
+    assert not verdicts[0] and all(v for k, v in verdicts.items() if k)  # beyond the fences of its language
     assert fertility.script("Привет, мир") == "cyrillic" and fertility.script("東京") == "east" and fertility.script("") == "other"
 
 

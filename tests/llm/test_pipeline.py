@@ -1,9 +1,11 @@
 """The pipeline against a plain version of each stage, on the rows that the stage before it kept."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from quillspark.llm import fertility, vocab
 
@@ -14,13 +16,26 @@ ROWS = plain.corpus(seed=11, n=90)
 
 
 def quality(rows):
-    out = []
+    found = []
     for i, text, lang, source in rows:
         name = fertility.VOCABULARIES.get(lang, fertility.DEFAULT_VOCABULARY)
-        _, per_token, fallback, entropy = fertility.figures(text or "", name, vocab.VOCAB_DIR)
-        least, most, bytes_, order = fertility.LANGUAGE_BANDS.get(lang) or fertility.SCRIPT_BANDS[fertility.script(text or "")]
-        if not plain.base2(text)[-1] and least <= per_token <= most and fallback <= bytes_ and entropy >= order:
-            out.append((i, text, lang, source))
+        band = lang if lang in fertility.LANGUAGE_BANDS else fertility.script(text or "")
+        found.append(((i, text, lang, source), plain.base2(text)[-1], band, fertility.figures(text or "", name, vocab.VOCAB_DIR)[1:]))
+    out = []
+    for row, failed, band, figures in found:
+        if failed:
+            continue
+        own = [f for _, bad, b, f in found if b == band and not bad]
+        steps = (512, 1024, 1024)
+        low, middle, high = ([float(np.quantile([math.floor(f[k] * steps[k]) / steps[k] for f in own], q)) for k in range(3)] for q in (0.25, 0.5, 0.75))
+        iqr = [b - a for a, b in zip(low, high)]
+        least, most, fallback, entropy = fertility.general(band)
+        least = max(least, low[0] - max(4 * iqr[0], 0.08 * middle[0]))
+        most = min(most, high[0] + max(8 * iqr[0], 0.25 * middle[0]))
+        fallback = min(fallback, high[1] + max(8 * iqr[1], 0.10))
+        entropy = max(entropy, low[2] - max(5 * iqr[2], 0.20))
+        if least <= figures[0] <= most and figures[1] <= fallback and figures[2] >= entropy:
+            out.append(row)
     return out
 
 
