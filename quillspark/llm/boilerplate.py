@@ -51,7 +51,8 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float
     site = F.struct(F.col(host_col).cast("string").alias("h")).alias("site")
     rows = pages.select(site, _hashes(F.col(text_col)).alias("lines"))
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    each = rows.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    # the outer form, because a plain one adds a filter that would compute the lines a second time
+    each = rows.select("site", F.explode_outer("lines").alias("line")).where("line is not null").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     return each.join(totals, "site").where(F.col("n") > max_ratio * F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 

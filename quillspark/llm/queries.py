@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import audio, boilerplate, disclosure, fairmix, fertility, lempel, licenses, packing, rtree, suffix
 from .oracles import ORACLES
+from .scratch import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,7 @@ def op1_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over ``pages``, grouped by the host of the URL, with the lines of the page's text."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     pages = pages.select("page_id", boilerplate.host(F.col("url")).alias("host"), boilerplate.html_lines(F.col("html")).alias("text"))
+    pages = written(pages, "page-lines")  # else the markup is parsed for the counts and again for the result
     return boilerplate.line_dedup(pages).select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
