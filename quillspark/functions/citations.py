@@ -40,7 +40,7 @@ def numeric_keys(inside: Column) -> Column:
         a, b = (F.regexp_extract(p, r"^(\d+)\s*[–-]\s*(\d+)$", g).try_cast("long") for g in (1, 2))
         fits = (b >= a) & (b - a < MOST_IN_RANGE)
         spread = F.when(fits, F.transform(F.sequence(a, F.when(fits, b).otherwise(a)), lambda x: x.cast("string")))
-        return F.coalesce(spread, F.when(p.rlike(r"^\d+$"), F.array(p)), F.array().cast(KEYS))
+        return F.when(p.rlike(r"^\d+$"), F.array(p)).otherwise(F.coalesce(spread, F.array().cast(KEYS)))
 
     return F.flatten(F.transform(F.split(inside, ","), one))
 

@@ -23,7 +23,10 @@ DEALT = 32
 
 
 def find_references(checks: DataFrame, refs: DataFrame) -> DataFrame:
-    """checks (with ref_key) and the key of the reference they name, found_key: by key, else the first with the year and the surname in its first author."""
+    """checks (with ref_key) and the key of the reference they name, found_key: by key, else the first with the year and the surname in its first author.
+
+    checks are read twice, for their distinct keys and for the result: pass a table that is written, persisted or cheap.
+    """
     keys = refs.select(F.col("key").alias("found_key")).distinct()
     by_key = checks.select("ref_key").distinct().join(keys, F.col("ref_key") == F.col("found_key"), "left")
     named = by_key.where("found_key is null").select(

@@ -30,11 +30,16 @@ def _joined(x, by: str = "|"):
 # ---- markers, sentences, claims
 
 
+def _key_counts(spark, sf) -> DataFrame:
+    """ref_key, n: keys with the number of checks that name them. Texts are mined once; resolving works on the keys, which are few."""
+    return D.checks(spark, sf).groupBy("ref_key").agg(F.count(F.lit(1)).alias("n")).persist()
+
+
 @query
 def coverage(spark, sf):
     """Citations of all documents by the bucket they end in."""
-    found = resolve.resolve(D.checks(spark, sf), D.references(spark, sf), D.files(spark, sf), titles=False)
-    return audit.coverage(found.withColumn("bucket", judge.bucket(F.lit("unchecked"), F.col("resolution"))))
+    found = resolve.resolve(_key_counts(spark, sf), D.references(spark, sf), D.files(spark, sf), titles=False)
+    return found.groupBy(judge.bucket(F.lit("unchecked"), F.col("resolution")).alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 @query
@@ -231,12 +236,12 @@ def _found(spark, sf) -> DataFrame:
 @query
 def join_ref_by_key(spark, sf):
     refs = D.references(spark, sf).select(F.col("key").alias("ref_key"), "title", "year")
-    return D.checks(spark, sf).join(refs, "ref_key", "left").groupBy("ref_key", "title", "year").agg(F.count(F.lit(1)).alias("checks"))
+    return _key_counts(spark, sf).join(refs, "ref_key", "left").select("ref_key", "title", "year", F.col("n").alias("checks"))
 
 
 @query
 def join_ref_author_year(spark, sf):
-    return _found(spark, sf).groupBy("ref_key", "found_key").agg(F.count(F.lit(1)).alias("checks"))
+    return resolve.find_references(_key_counts(spark, sf), D.references(spark, sf)).select("ref_key", "found_key", F.col("n").alias("checks"))
 
 
 @query
