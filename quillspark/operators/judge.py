@@ -18,6 +18,10 @@ NO_PASSAGE = "no relevant passage retrieved from the cited source"
 RAW_CHARS, RATIONALE_CHARS = 200, 300
 
 
+#: What stands before the claim and before its passages in a question to the model.
+ASKED = ("Claim to check: ", "\n\nPassages of the source it cites:\n")
+
+
 @runtime_checkable
 class Model(Protocol):
     """A local model. One is made in each Python worker by the factory that is passed in."""
@@ -68,7 +72,7 @@ def judge(checks: DataFrame, make_model: Callable[[], Model], system: str) -> Da
             out = []
             for check_id, claim, snippets in zip(batch["check_id"], batch["claim"], batch["snippets"], strict=True):
                 try:
-                    out.append((check_id, model.complete(system, "Claim: " + claim + "\n\nCited source passage(s):\n" + "\n".join(f"- {s}" for s in snippets)), False))
+                    out.append((check_id, model.complete(system, ASKED[0] + claim + ASKED[1] + "\n".join(f"- {s}" for s in snippets)), False))
                 except Exception:  # the row says so
                     out.append((check_id, None, True))
             yield pd.DataFrame(out, columns=["check_id", "raw", "failed"])

@@ -292,7 +292,7 @@ ORACLES: dict[str, str] = {
         SELECT event_id, CASE WHEN kind = 'OBJECT' AND json_extract_string(d, '$.verdict') IN {among(judge.VERDICTS)} THEN json_extract_string(d, '$.verdict') ELSE 'unsupported' END AS verdict,
         CASE WHEN NOT ok THEN left(raw, 200) WHEN kind = 'OBJECT' THEN coalesce(left(json_extract_string(d, '$.rationale'), 300), '') ELSE '' END AS rationale,
         CASE WHEN kind = 'OBJECT' THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(TRY_CAST(json_extract_string(d, '$.confidence') AS DOUBLE), 0.0::DOUBLE))) ELSE 0.0::DOUBLE END AS confidence FROM p""",
-    "judge_claims": f"""WITH c AS (SELECT CAST(item_id AS VARCHAR) AS check_id, item_id % 3 = 0 AS bare, 7 + length(text) + 27 + 2 + length(substr(text, 1, 40)) AS n FROM benchmark)
+    "judge_claims": f"""WITH c AS (SELECT CAST(item_id AS VARCHAR) AS check_id, item_id % 3 = 0 AS bare, {len(''.join(judge.ASKED)) + 2} + length(text) + length(substr(text, 1, 40)) AS n FROM benchmark)
         SELECT check_id, CASE WHEN bare THEN 'not_found' ELSE {R.pick('n', judge.VERDICTS)} END AS verdict, CASE WHEN bare THEN {quoted(judge.NO_PASSAGE)} ELSE 'echo' END AS rationale, CASE WHEN bare THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM c""",
     "check_pipeline": f"""WITH e AS (SELECT event_id % 9 = 0 AS away, {R.pick('event_id', ('resolved', 'resolved', 'resolved', 'no_pdf', 'ambiguous', 'unresolved_marker'))} AS resolution, event_id % 6 < 3 AND event_id % 17 <> 0 AS has_path, event_id % 13 = 0 AS failed, event_id % 4 AS n,
         {R.pick('user_id', ('supported', 'partially', 'overstated', 'unsupported'))} AS said FROM events)

@@ -1,4 +1,4 @@
-"""Sinks: reports as JSON and Markdown."""
+"""Sinks: reports as JSON and Markdown. The headings of the documents are fixed values of their format."""
 
 from __future__ import annotations
 
