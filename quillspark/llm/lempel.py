@@ -27,15 +27,15 @@ from .scratch import written
 FOUND = "a long, s long, lo int, hi int, f1 long, f2 long, first long"
 
 
-def parse(block: np.ndarray, own: np.ndarray, doc: int, index: dict, docs: dict, words: np.ndarray, at: int, window: int) -> list[tuple[int, int]]:
-    """Factors of one block, as ranges of window starts. index: window hash to its first place in ``words``; docs: that place's document."""
+def parse(block: np.ndarray, own: np.ndarray, doc: int, index: dict, docs: dict, ends: dict, words: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Factors of one block, as ranges of window starts. index: window hash to its first place in ``words``; docs, ends: that place's document and where its block ends."""
     factors, i, n = [], 0, len(own)
     while i < n:
         ref = index.get(own[i])
         if ref is None or docs[ref] >= doc:
             i += 1
             continue
-        room = min(n - i + window - 1, len(words) - ref)
+        room = min(n - i + window - 1, ends[ref] - ref)  # blocks lie end to end: what runs on into the next one is no text
         same = block[i : i + room] == words[ref : ref + room]
         length = room if same.all() else int(np.argmin(same))
         if length < window:
@@ -70,15 +70,17 @@ def shard_parser(window: int, most: int = 8 << 20):
                 place = 0
                 index: dict[int, int] = {}
                 docs: dict[int, int] = {}
+                ends: dict[int, int] = {}
                 for (a, _, parts, s, doc, _), n in zip(group, sizes, strict=True):
                     block, own = words[place : place + n], gram[place : place + n - window + 1]
-                    done = parse(block, own, doc, index, docs, words, place, window)
+                    done = parse(block, own, doc, index, docs, ends, words, window)
                     out += [(a, s, lo, hi, None, None, doc) for lo, hi in done]
                     hit = {i for lo, hi in done for i in range(lo, hi)} if parts > 1 else ()
                     for i, g in enumerate(own):
                         if g not in index:
                             index[g] = place + i
                             docs[place + i] = doc
+                            ends[place + i] = place + n
                         if parts > 1 and i not in hit:
                             f1, f2 = np.frombuffer(hashlib.blake2b(block[i : i + window].tobytes(), digest_size=16).digest(), np.int64).tolist()
                             out.append((a, s, i, i + 1, f1, f2, doc))

@@ -23,6 +23,17 @@ def test_substring_dedup_is_exact(docs, shard):
     assert plain.same(got, want) and sum(r[2] for r in want) > 500
 
 
+def test_factors_end_with_their_reference_block(spark):
+    """P / x y P / P x: the end of document 1 and the begin of document 2 make no P + x."""
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(0, 60, 3):
+        p = " ".join(f"p{i}w{k}" for k in r.integers(0, 10**6, 50))
+        rows += [(i, p), (i + 1, f"x{i} y{i} {p}"), (i + 2, f"{p} x{i}")]
+    got = {r.doc_id: r.n_removed for r in lempel.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 50, 50)[i % 3] for i in range(60)}
+
+
 @pytest.mark.parametrize("shard", [4096, 2])
 def test_suffix_dedup_is_exact(docs, shard):
     got = rows(suffix.suffix_dedup(docs, shard_segments=shard), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
