@@ -7,7 +7,7 @@ at most 1 / max_ratio times its mean page's lines, and that list is all that is
 the pages of one large host are spread too.
 
 Defined results: null text has no lines and stays null; a null host is a host of its own; blank lines are never boilerplate; repeated
-rows count as pages of their own; all columns of the input are kept and names of other columns don't matter.
+rows count as pages of their own (unless ``copies`` is off); all columns of the input are kept and names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -46,20 +46,25 @@ def _hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), _line))
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """site (struct of the host), lines: the hashes of its boilerplate lines."""
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int, copies: bool = True) -> DataFrame:
+    """site (struct of the host), lines: the hashes of its boilerplate lines. Without ``copies``, equal texts of a host are one page."""
     site = F.struct(F.col(host_col).cast("string").alias("h")).alias("site")
-    rows = pages.select(site, _hashes(F.col(text_col)).alias("lines"))
+    rows = pages.select(site, _hashes(F.col(text_col)).alias("lines"), *([] if copies else [F.xxhash64(text_col).alias("tkey")]))
+    if not copies:
+        rows = rows.dropDuplicates(["site", "tkey"])
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     # the outer form, because a plain one adds a filter that would compute the lines a second time
     each = rows.select("site", F.explode_outer("lines").alias("line")).where("line is not null").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     return each.join(totals, "site").where(F.col("n") > max_ratio * F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def line_dedup(pages: DataFrame, host_col: str = "host", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, report: bool = True) -> DataFrame:
-    """All columns of ``pages`` with the boilerplate lines taken out of the text; ``report`` adds n_lines and n_dropped."""
+def line_dedup(pages: DataFrame, host_col: str = "host", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, report: bool = True, copies: bool = True) -> DataFrame:
+    """All columns of ``pages`` with the boilerplate lines taken out of the text; ``report`` adds n_lines and n_dropped.
+
+    Without ``copies``, equal texts of a host count as one page, so that lines repeated only by whole copies stay.
+    """
     site = F.struct(F.col(host_col).cast("string").alias("h"))
-    found = boilerplate(pages, host_col, text_col, max_ratio, min_pages)
+    found = boilerplate(pages, host_col, text_col, max_ratio, min_pages, copies)
     dealt = found.select(F.col("site").alias("__site"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"), F.col("lines").alias("__drop"))
     kept_names = pages.columns
     salted = pages.withColumn("__key", site).withColumn("__slot", F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int"))

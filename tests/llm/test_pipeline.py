@@ -104,6 +104,18 @@ def test_each_stage(spark):
     assert all(n == 1024 or n & (n - 1) == 0 for n in lengths.values())
 
 
+def test_one_of_a_large_group_of_copies_is_left(spark):
+    r = np.random.default_rng(3)
+    copy = "\n".join(" ".join(f"c{k}" for k in r.integers(0, 10**6, 20)) for _ in range(5))
+    rows = [(i, copy, "en", "s1") for i in range(30)]
+    rows += [(100 + i, "A line of all.\n" + " ".join(f"w{k}" for k in r.integers(0, 10**6, 60)), "en", "s1") for i in range(40)]
+    steps = dict(corpus_pipeline.STAGES)
+    lines = steps["line dedup"](spark, plain.table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars"), "").persist()
+    got = {x.doc_id: x.text for x in lines.collect()}
+    assert all(got[i] == copy for i in range(30)) and not any("A line" in t for t in got.values())
+    assert {x.doc_id for x in steps["near duplicates"](spark, lines, "").collect()} == {0, *range(100, 140)}
+
+
 def test_run_writes_each_stage(spark, tmp_path):
     plain.table(spark, ROWS).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
