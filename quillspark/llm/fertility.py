@@ -4,8 +4,9 @@ A text that belongs to its language is cut into few tokens of several characters
 repeated string show in three figures: characters per token, the share of tokens that are pieces of a character (byte fallback),
 and the entropy of the document's tokens as a share of the largest entropy so many tokens can have. Each language or, for
 languages without a row of their own, the text's main script has a band; a document outside it is rejected. A band is what
-prose can be at all, narrowed to fences around the quartiles of all documents of that language that pass the base rules: quartiles are
-exact over values in steps, so they don't depend on the order of rows, and junk moves them little. Only those few numbers leave the tasks.
+prose can be at all, narrowed to fences around the quartiles of all different texts of that language that pass the base rules: quartiles are
+exact over values in steps, so they don't depend on the order of rows, and neither junk nor copies move them much. Figures and a hash of each
+different text are shuffled for that, no texts.
 
 Defined results: null text has no words and so fails the base rules; the language may be null or unknown (the script decides); ids
 are handed through (null or repeated too); other columns are ignored by ``quality_rules`` and kept by ``clean_documents``.
@@ -156,10 +157,12 @@ def general(band: str) -> tuple[float, float, float, float]:
 
 
 def fitted(measured: DataFrame) -> dict[str, tuple[float, float, float, float]]:
-    """The band of each language or script that occurs, in the form of LANGUAGE_BANDS. measured: the figures of all documents."""
+    """The band of each language or script that occurs, in the form of LANGUAGE_BANDS. measured: the figures of all documents and tkey; each different text counts once."""
     quartiles = [F.percentile(F.floor(F.col(name) / step) * step, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(name) for name, step in STEPS.items()]
     out = {}
-    for row in measured.where("not base_failed").groupBy("band").agg(*quartiles).collect():  # as many rows as there are languages and scripts
+    # equal texts of a band have equal figures
+    texts = measured.where("not base_failed").groupBy("band", "tkey").agg(*[F.max(name).alias(name) for name in STEPS])
+    for row in texts.groupBy("band").agg(*quartiles).collect():  # as many rows as there are languages and scripts
         least, most, fallback, entropy = general(row.band)
 
         def fence(name: str, up: bool, row=row) -> float:
@@ -180,16 +183,17 @@ ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "str
 
 
 def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, vocab_dir: str) -> DataFrame:
-    """doc_id and FIGURES of each document."""
+    """doc_id, FIGURES and tkey (a hash of the text) of each document."""
 
     def run(batches):
         for batch in K.slices(batches):
             found = _measured(K.texts(batch), batch.column(2).to_pylist(), vocab_dir)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k], ARROW[t]) for k, t in FIGURES)], names=["doc_id", *(k for k, _ in FIGURES)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k], ARROW[t]) for k, t in FIGURES), batch.column(3)], names=["doc_id", *(k for k, _ in FIGURES), "tkey"])
 
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id") if id_col else F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
-    return wanted.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in FIGURES))
+    wanted = wanted.withColumn("tkey", F.xxhash64("text"))
+    return wanted.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in FIGURES) + ", tkey long")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocab_dir: str = vocab.VOCAB_DIR) -> DataFrame:
@@ -199,7 +203,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     inside = F.lit(False)
     for band, (least, most, fallback, entropy) in bands.items():
         inside = inside | ((F.col("band") == band) & F.col("chars_per_token").between(least, most) & (F.col("fallback_share") <= fallback) & (F.col("entropy_share") >= entropy))
-    return measured.select("*", inside.alias("in_band"), (~F.col("base_failed") & inside).alias("kept"))
+    return measured.drop("tkey").select("*", inside.alias("in_band"), (~F.col("base_failed") & inside).alias("kept"))
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab_dir: str = vocab.VOCAB_DIR) -> DataFrame:

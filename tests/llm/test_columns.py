@@ -45,6 +45,16 @@ def test_quality_bands(spark):
     assert fertility.script("Привет, мир") == "cyrillic" and fertility.script("東京") == "east" and fertility.script("") == "other"
 
 
+def test_copies_do_not_move_the_bands(spark):
+    short, long = "stone river garden window paper candle winter summer".split(), "international government development information university environment communication organisation".split()
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(r.choice(short) + f" {r.choice(short)}{k}" for k in range(60)), "en") for i in range(20)]
+    copies = [(100, " ".join(r.choice(long, 80)), "en")] * 80
+    once, often = (fertility.quality_rules(spark.createDataFrame(x, "doc_id long, text string, lang string")).where("not base_failed").collect() for x in (rows + copies[:1], rows + copies))
+    assert {x.doc_id: x.in_band for x in once} == {x.doc_id: x.in_band for x in often}
+    assert sum(x.in_band for x in often if x.doc_id < 100) == len(rows)
+
+
 def test_clean_documents_keeps_columns(docs):
     kept = fertility.clean_documents(docs)
     assert kept.schema == docs.schema
