@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 A text is reduced to lower-case words parted by single spaces. A gate of a few substrings lets only texts go on that can hold a license
-statement at all; then every rule's keyword is looked for, and only rules whose keyword stands in the text run their regular
+statement at all; then every rule's keywords are looked for, and only rules of which one stands in the text run their regular
 expression. Rules have a level: 1 for notices ("licensed under ..."), 2 for tags and names with their noun, 3 for bare names.
 A detection whose words lie within those of another one of the same or a better level is suppressed, so the longest statement
 of the best level names the license; detections that merely overlap both stay. Everything is one narrow projection, without a shuffle.
@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The phrases that always count, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
+#: Further keywords of a label, for alternatives of its names that don't hold the first.
+ALSO = {"mit": ("expat",), "apache-2": ("asl",)}
 #: Label, keyword, and the license's names as a regular expression over words.
 NAMES = (
     ("mit", "mit", r"(?:mit|mit x11|expat)"),
@@ -102,7 +104,7 @@ OTHERS = (
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 3),
 )
 #: Substrings of which any text with a detection has one.
-GATE = ("licen", "spdx", "cc by", "cc0", "copyright", "public domain", "rights reserved", "confidential", "released", "distributed", "available", "published", "provided", "offered", "shared", "under the", "subject to", "governed", "gpl", "creative commons", "general public", " only ", "or later")
+GATE = ("licen", "spdx", "cc by", "cc0", "copyright", "public domain", "rights reserved", "confidential", "released", "distributed", "available", "published", "provided", "offered", "shared", "under the", "subject to", "governed", "gpl", "creative commons", "general public", " only ", "or later", "later version")
 SCORES = {1: 1.0, 2: 0.7, 3: 0.4}
 
 
@@ -116,6 +118,15 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out + list(OTHERS)
 
 
+def keywords(label: str, keyword: str) -> tuple[str, ...]:
+    """Of which any match of the rule holds one."""
+    return (keyword, *ALSO.get(label, ()))
+
+
+def gate_words() -> tuple[str, ...]:
+    return (*GATE, *(k for k in dict.fromkeys(r[1] for r in rules()) if k in TELLING))
+
+
 def normal(text: Column) -> Column:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case, parted by single spaces."""
     # the two letters beyond ASCII whose lower case holds an ASCII letter must not become one
@@ -135,16 +146,16 @@ DETECTION = "array<struct<start:int,back:int,level:int,label:string>>"
 
 
 def _rule_table() -> Column:
-    """The rules by level and keyword: array of (keyword, rules of it)."""
-    groups: dict[str, list] = {}
+    """The rules by keywords: array of (keywords, rules of them)."""
+    groups: dict[tuple[str, ...], list] = {}
     for label, keyword, pattern, level in rules():
-        groups.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(_pattern(pattern)).alias("pattern"), F.lit(level).alias("level")))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in groups.items()])
+        groups.setdefault(keywords(label, keyword), []).append(F.struct(F.lit(label).alias("label"), F.lit(_pattern(pattern)).alias("pattern"), F.lit(level).alias("level")))
+    return F.array(*[F.struct(F.array(*map(F.lit, k)).alias("keywords"), F.array(*v).alias("rules")) for k, v in groups.items()])
 
 
 def detections(padded: Column) -> Column:
     """array<start, end, level, label> that suppression leaves, in order; padded: words with a space around each."""
-    live = F.filter(_rule_table(), lambda g: F.contains(padded, g["keyword"]))
+    live = F.filter(_rule_table(), lambda g: F.exists(g["keywords"], lambda k: F.contains(padded, k)))
     hits = F.flatten(
         F.transform(
             F.flatten(F.transform(live, lambda g: g["rules"])),
@@ -185,7 +196,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = d.select("doc_id", F.concat(F.lit(" "), "words", F.lit(" ")).alias("t"), F.when(F.col("words") == "", F.lit(0)).otherwise(spaces(F.col("words")) + 1).cast("long").alias("n_words"))
     t = F.col("t")
     gate = F.lit(False)
-    for word in (*GATE, *(k for k in dict.fromkeys(r[1] for r in rules()) if k in TELLING)):
+    for word in gate_words():
         gate = gate | F.contains(t, F.lit(word))
     base = F.array().cast("array<struct<start:int,label:string>>")
     for phrase, label in BASE:

@@ -162,6 +162,47 @@ def test_license_detections_match_the_rules_one_by_one(spark):
     assert sorted((d["first"], d["end"], d["level"], d["label"]) for d in got) == sorted(kept) and len(kept) > 8
 
 
+def examples(pattern):
+    """Every text that a rule's pattern matches, as far as it has only alternatives, options and sets."""
+    from re import _constants as S
+    from re import _parser
+
+    def each(items):
+        out = [""]
+        for op, arg in items:
+            if op is S.LITERAL:
+                more = [chr(arg)]
+            elif op is S.IN:
+                more = [chr(arg[0][1] if arg[0][0] is S.LITERAL else arg[0][1][0])]
+            elif op is S.BRANCH:
+                more = [x for branch in arg[1] for x in each(branch)]
+            elif op is S.SUBPATTERN:
+                more = each(arg[-1])
+            else:
+                assert op is S.MAX_REPEAT and arg[:2] == (0, 1)
+                more = ["", *each(arg[2])]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return each(_parser.parse(pattern))
+
+
+def test_license_prefilters_let_every_form_pass(spark):
+    gate = licenses.gate_words()
+    for label, keyword, name in licenses.NAMES + licenses.COMMONS + licenses.COMMONS_WORDS:
+        for example in examples(name):
+            assert any(k in example for k in licenses.keywords(label, keyword)), example
+    for form, _ in licenses.FORMS:
+        for example in examples(form.replace("{}", "isc")):
+            assert example == "isc" or any(g in f" {example} " for g in gate), example
+    for label, keyword, pattern, _ in (r for r in licenses.rules() if r[3] == 3):
+        for example in examples(pattern):
+            assert any(k in example for k in licenses.keywords(label, keyword)) and any(g in f" {example} " for g in gate), example
+    texts = {"licensed under the Expat license": "mit", "released under ASL 2.0": "apache-2", "MPL 2.0 or any later version": "mpl-2", "Apache 2 or any later version": "apache-2", "BSD or any later version": "bsd"}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values()))
+
+
 def test_license_rules_are_many():
     assert len(licenses.rules()) > 300
 
