@@ -9,7 +9,8 @@ information that the term carries is
 
 its pointwise mutual information over the entity's information content: 1 if the term stands nowhere else. Terms from
 ``generalise_at`` on are generalised, from ``remove_at`` on they are removed, near that entity; documents without an entity are left
-alone. Counts cover all documents. Only DataFrame functions are used.
+alone. Every pair is scored, in however few documents it stands: the term's own n(t) tells common words from telling ones. Counts
+cover all documents. Only DataFrame functions are used.
 
 Defined results: null text counts as empty; rows with equal id and text are alike, and both count; a null id is handed through; names of
 other columns don't matter.
@@ -36,8 +37,9 @@ PATTERNS = {
 MARKS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
-#: Parameters of the sanitisation: characters looked at on either side of an entity, documents that a pair is seen in at least, thresholds.
+#: Parameters of the sanitisation: characters looked at on either side of an entity, thresholds.
 REACH = 80
+#: Documents that a pair is seen in at least: in the SQL only.
 SUPPORT = 3
 GENERALISE_AT, REMOVE_AT = 0.95, 0.99
 TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'_-]{2,}"
@@ -91,7 +93,7 @@ def near(text: Column, spans: Column) -> Column:
         left = F.substring(text, low + 1, span["start"] - low)
         left_cut = F.when(low > 0, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
         right = F.substring(text, span["end"] + 1, F.lit(REACH))
-        right_cut = F.when(F.length(text) > span["end"] + REACH, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
+        right_cut = F.when(F.length(text) > span["end"] + REACH, F.regexp_replace(right, r"\S*\z", "")).otherwise(right)  # $ would match before a last line feed too
 
         def terms(part: Column, base: Column) -> Column:
             return F.transform(
@@ -109,7 +111,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, with_text: bool = True) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, if asked for, clean_text."""
     text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
     source = docs.select(doc.alias("doc_id"), text.alias("text"))
@@ -122,15 +124,16 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     total = F.lit(float(max(2, table.agg(F.sum("words")).first()[0] or 2)))
     entities = table.where(F.size("base") > 0).select(F.explode(F.transform("base", entity)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     beside = table.where(F.size("near") > 0).select("doc_id", "tkey", F.explode("near").alias("w")).select("doc_id", "tkey", "w.*")
-    per_doc = beside.groupBy("entity", "term", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
-    pairs = written(per_doc.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support), "pii-pairs")
+    pairs = written(beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")), "pii-pairs")
     terms = pairs.select("term").distinct()
     if pairs.limit(1).isEmpty():
         flagged = pairs.select("entity", "term", F.lit(True).alias("remove"))
     else:
         terms = written(terms, "pii-terms")
-        side = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
-        everywhere = source.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term")).join(side, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        everywhere = source.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+        if terms.count() <= MOST_BROADCAST:
+            everywhere = everywhere.join(F.broadcast(terms), "term")
+        everywhere = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # beyond that, counts are joined below, not places
         share = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))) / F.log2(total / F.col("n_e"))
         # a term inside an identifier is no place of its own
         inside = table.where(F.size("base") > 0).select(F.explode("base").alias("s")).select(F.explode(F.regexp_extract_all(F.lower("s.found"), F.lit(TERM), F.lit(0))).alias("term"))

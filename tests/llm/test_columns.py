@@ -326,6 +326,28 @@ def test_disclosing_terms(spark):
     assert disclosure.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_term_near_one_address_in_one_document(spark):
+    """Every pair against a plain count, though none stands in two documents."""
+    common = "the committee met and its members agreed that old rooms should stay open for all "
+    rows = [(i, f"{common * 5}Ask Quillibert{i} about it, desk{i}@corp.example.com is the address. {common * 5}") for i in range(5)]
+    rows += [(100 + i, f"{common * 20}Ask about it, this is the address.") for i in range(20)]
+    got = {r.doc_id: r for r in disclosure.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    total, everywhere = sum(t.count(" ") + 1 for _, t in rows), Counter(w for _, t in rows for w in re.findall(r"\w[\w'-]{2,}", t.lower()))
+    for i, text in rows[:5]:
+        a, b = re.search(r"\S+@\S+\w", text).span()
+        low, high = text.index(" ", a - 80 - 1) if text[a - 81] != " " else a - 80, text.rindex(" ", 0, b + 81)
+        places = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w[\w'-]{2,}", text) if low <= m.start() and m.end() <= high and (m.end() <= a or m.start() >= b)]
+        near = Counter(w for w, *_ in places)
+        want = [f"term:{s}:{e}" for w, s, e in places if np.log2(near[w] * total / everywhere[w]) / np.log2(total) >= disclosure.GENERALISE_AT]
+        assert got[i].spans == ",".join([f"email:{a}:{b}", *want]) and len(want) == 1
+        assert "Quillibert" not in got[i].clean_text and "committee" in got[i].clean_text
+    assert all(got[100 + i].clean_text == rows[5 + i][1] for i in range(20))
+    # a whole word that a line feed ends at the reach
+    text = "a@b.example " + "x " * 33 + "Quilliberta.\n" + "more words"
+    assert text.index("\n") + 1 == len("a@b.example") + disclosure.REACH
+    assert "term:" in disclosure.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+
+
 @pytest.mark.parametrize("module", [fairmix, licenses, disclosure])
 def test_native_operators_run_no_python(module, docs):
     df = {fairmix: fairmix.fair_mix, licenses: licenses.scan, disclosure: disclosure.sanitise}[module](docs)
