@@ -131,6 +131,12 @@ def tensor_table(tensors: np.ndarray, spans: np.ndarray) -> bytes:
     return sink.getvalue()
 
 
+def read_tensors(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tensors and spans from the stream."""
+    table = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    return table.column("tensor").chunk(0).to_numpy_ndarray(), np.stack([table.column(c).to_numpy() for c in ("start_s", "end_s")], 1)
+
+
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 MEDIA = ", media binary, tensors binary, active array<struct<start_s: double, end_s: double>>"
 
@@ -149,9 +155,11 @@ def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 media = to_wav(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))
                 samples = from_wav(media)
                 tensors, spans, stretches = features(samples)
+                stored = tensor_table(tensors, spans)
+                tensors, spans = read_tensors(stored)  # the feature tells of what is stored
                 feature = f"{len(tensors)}x{CLIP}x{BANDS};active={len(stretches)};active_s={float((stretches[:, 1] - stretches[:, 0]).sum()):.3f};crc={zlib.crc32(tensors.tobytes()):08x}"
                 row = (doc, len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-                out.append((*row, media, tensor_table(tensors, spans), [{"start_s": a, "end_s": b} for a, b in stretches.tolist()]) if with_media else row)
+                out.append((*row, media, stored, [{"start_s": a, "end_s": b} for a, b in stretches.tolist()]) if with_media else row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

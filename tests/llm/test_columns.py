@@ -263,6 +263,17 @@ def test_audio(docs):
     assert audio.audio_columns(docs.limit(0)).count() == 0
 
 
+def test_audio_features_come_from_the_stored_tensors(spark):
+    df = spark.createDataFrame([(1, "some text " * 900)], "doc_id long, text string")
+    spans = np.array([[0, 1.5], [1.5, 2.0]])
+    tensors = np.arange(2 * audio.CLIP * audio.BANDS, dtype=np.float32).reshape(2, audio.CLIP, audio.BANDS)
+    for got, want in zip(audio.read_tensors(audio.tensor_table(tensors, spans)), (tensors, spans), strict=True):
+        assert np.array_equal(got, want)
+    right = audio.audio_columns(df, with_media=False).first().feature
+    stored = audio.read_tensors(bytes(audio.audio_columns(df).first().tensors))[0]
+    assert right.startswith(f"{len(stored)}x{audio.CLIP}x{audio.BANDS};") and right.endswith(f"crc={zlib.crc32(stored.tobytes()):08x}")
+
+
 def test_audio_signal():
     t = np.arange(16_000) / 16_000
     tone = np.sin(2 * np.pi * 440 * t).astype(np.float32)
