@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .scratch import written
+from .scratch import discard, written
 
-#: Of each segment: its document, the anchor's hash, a digest of the segment, and the first window, number of windows and the
-#: document's tkey in one number, which halves what is shuffled.
-SEGMENTS = "doc_id long, a long, s long, at long"
-COUNT_BITS, KEY_BITS = 9, 22
+#: Of each segment: its row (doc_id, and the hash of its text), the anchor's hash, a digest of the segment, and the first window
+#: and number of windows in one number.
+SEGMENTS = "doc_id long, tkey long, a long, s long, at long"
+COUNT_BITS = 9
 MOST_WINDOWS = (1 << COUNT_BITS) - 1
 #: Different segments that one shard of an anchor takes; more are dealt over several shards, which are then merged.
 SHARD_SEGMENTS = 4096
@@ -33,26 +33,18 @@ STRETCH = 1 << 21
 
 
 def lo(at: str = "at") -> Column:
-    return F.expr(f"shiftrightunsigned({at}, {COUNT_BITS + KEY_BITS})")
+    return F.expr(f"shiftrightunsigned({at}, {COUNT_BITS})")
 
 
 def count(at: str = "at") -> Column:
-    return F.expr(f"shiftrightunsigned({at}, {KEY_BITS}) & {MOST_WINDOWS}L")
-
-
-def tkey(at: str = "at") -> Column:
-    return F.expr(f"{at} & {(1 << KEY_BITS) - 1}L")
-
-
-#: tkey of a row without an id, at least.
-NO_ID = 1 << (KEY_BITS - 1)
+    return F.expr(f"{at} & {MOST_WINDOWS}L")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (0 for null), tkey, text. tkey tells apart rows that share an id, and rows without one; rows with equal id and text are alike in all results."""
+    """doc_id (0 for null), no_id, tkey, text. tkey, 64 bits of the text, tells apart rows that share an id, and rows without one; rows with equal id and text are alike in all results."""
     text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
-    tkey = F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.when(doc.isNull(), NO_ID).otherwise(0)
-    return docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), tkey.cast("long").alias("tkey"), text.alias("text"))
+    tkey = F.when(doc.isNull(), F.xxhash64(text, F.lit("no id"))).otherwise(F.xxhash64(text))
+    return docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), doc.isNull().alias("no_id"), tkey.alias("tkey"), text.alias("text"))
 
 
 def runs_of(column: pa.Array, unit: str, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -60,7 +52,7 @@ def runs_of(column: pa.Array, unit: str, window: int) -> Iterator[tuple[np.ndarr
     data, offsets = K.buffer(column)
     if unit == "word":
         starts, stops, row = K.spans(data, offsets)
-        items = K.hashes(K.as_binary(data, starts, stops))
+        items = K.hashes(data, starts, stops)
         offsets = np.searchsorted(row, np.arange(len(column) + 1)).astype(np.int64)
     else:
         items = data
@@ -80,30 +72,40 @@ def segment_rows(unit: str, k: int, window: int) -> Callable:
     def run(batches):
         for batch in K.slices(batches):
             column = K.texts(batch)
-            keys = batch.column(1).to_numpy()
+            keys = batch.column(1)
             for items, offsets, rows, base in runs_of(column, unit, window):
-                row, start, n, gram = K.segments(items.astype(np.uint64) if unit == "byte" else items, offsets, k, window)
+                row, start, n, gram = K.segments(K.BYTES[items] if unit == "byte" else items, offsets, k, window)
                 if not len(row):
                     continue
                 digest = K.digests(items, start, start + n + window - 1)
-                at = ((start - offsets[row] + base) << (COUNT_BITS + KEY_BITS)) | (n << KEY_BITS) | keys[rows[row]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[row])), pa.array(gram.view(np.int64)), pa.array(digest), pa.array(at)], names=["doc_id", "a", "s", "at"])
+                at = ((start - offsets[row] + base) << COUNT_BITS) | n
+                own = pa.array(rows[row])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), keys.take(own), pa.array(gram.view(np.int64)), pa.array(digest), pa.array(at)], names=["doc_id", "tkey", "a", "s", "at"])
 
     return run
 
 
 def recurring(docs: DataFrame, unit: str, k: int, window: int, label: str) -> DataFrame:
-    """SEGMENTS of the anchors that occur more than once."""
-    found = written(docs.mapInArrow(segment_rows(unit, k, window), SEGMENTS), f"{label}-segments")
-    again = found.groupBy("a").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a")
-    return written(found.join(again, "a").select("doc_id", "a", "s", "at"), f"{label}-recurring")
+    """SEGMENTS of the anchors that occur more than once.
+
+    Counts are combined before they are shuffled, and written: a join of two plain tables is one whose large partitions Spark can
+    split, so an anchor that a third of all rows have doesn't end in one task. The same holds for the joins further on.
+    """
+    found = written(docs.select("doc_id", "tkey", "text").mapInArrow(K.trimmed(segment_rows(unit, k, window)), SEGMENTS), f"{label}-segments")
+    again = written(found.groupBy("a").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a"), f"{label}-again")
+    out = written(found.join(again, "a").select("doc_id", "tkey", "a", "s", "at"), f"{label}-recurring")
+    discard(found)
+    discard(again)
+    return out
 
 
-def with_shards(kinds: DataFrame, shard_segments: int) -> DataFrame:
+def with_shards(kinds: DataFrame, shard_segments: int, label: str) -> DataFrame:
     """Adds ``kinds`` (different segments of the anchor), ``parts`` (its shards) and ``part`` to one row for each anchor and segment."""
-    per_anchor = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = written(kinds, f"{label}-kinds")
+    per_anchor = written(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), f"{label}-anchors")
     parts = F.ceil(F.col("kinds") / shard_segments).cast("int")
-    return kinds.join(per_anchor, "a").withColumn("parts", parts).withColumn("part", F.pmod(F.col("s"), F.col("parts")).cast("int"))
+    dealt = kinds.join(per_anchor, "a", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))).withColumn("parts", parts)
+    return written(dealt.withColumn("part", F.pmod(F.col("s"), F.col("parts")).cast("int")), f"{label}-dealt")
 
 
 def cut_out(unit: str, window: int) -> Callable:
@@ -111,7 +113,7 @@ def cut_out(unit: str, window: int) -> Callable:
     schema = pa.schema([("a", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("s", pa.int64()), ("first", pa.int64()), ("content", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in batches:  # texts with their wanted stretches
             wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
             for text, asked in zip(K.texts(batch), wanted, strict=True):
                 raw = text.as_buffer().to_pybytes()
@@ -129,10 +131,10 @@ CONTENT = "a long, part int, parts int, s long, first long, content binary"
 
 
 def contents(docs: DataFrame, kinds: DataFrame, unit: str, window: int) -> DataFrame:
-    """One copy of each segment in ``kinds`` (a, part, parts, s, doc_id, at), read from its document."""
-    wanted = kinds.select(F.col("doc_id").alias("r_id"), tkey().alias("r_key"), F.struct("a", "part", "parts", "s", F.col("doc_id").alias("first"), lo().alias("lo"), count().alias("n")).alias("w")).groupBy("r_id", "r_key").agg(F.collect_list("w").alias("wanted"))
+    """One copy of each segment in ``kinds`` (a, part, parts, s, doc_id, tkey, at), read from its document."""
+    wanted = kinds.select(F.col("doc_id").alias("r_id"), F.col("tkey").alias("r_key"), F.struct("a", "part", "parts", "s", F.col("doc_id").alias("first"), lo().alias("lo"), count().alias("n")).alias("w")).groupBy("r_id", "r_key").agg(F.collect_list("w").alias("wanted"))
     # rows with equal id and text give the same content twice; the shard drops repeats
-    return docs.join(wanted, (docs.doc_id == wanted.r_id) & (docs.tkey == wanted.r_key)).select("text", "wanted").mapInArrow(cut_out(unit, window), CONTENT)
+    return docs.join(wanted, (docs.doc_id == wanted.r_id) & (docs.tkey == wanted.r_key)).select("text", "wanted").mapInArrow(K.trimmed(cut_out(unit, window)), CONTENT)
 
 
 def gathered(batches, most: int) -> Iterator[list[tuple]]:
@@ -156,13 +158,13 @@ def attach(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """doc_id, text, marks: array of (lo, hi) or null. marks: doc_id, tkey, lo, hi."""
     per_doc = marks.groupBy(F.col("doc_id").alias("r_id"), F.col("tkey").alias("r_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     joined = docs.join(per_doc, (docs.doc_id == per_doc.r_id) & (docs.tkey == per_doc.r_key), "left")
-    return joined.select(F.when(F.col("tkey") < NO_ID, F.col("doc_id")).alias("doc_id"), "text", "marks")
+    return joined.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "marks")
 
 
 def merged(ranked: DataFrame, tail: str, run: Callable) -> DataFrame:
     """Rows of shards, those with a window's fingerprint (f1, f2) brought together and in order, for ``run`` to settle; others pass."""
     place = F.coalesce("f1", F.xxhash64("a", "s"))
-    return ranked.repartition(place).sortWithinPartitions("f1", "f2", tail).mapInArrow(run, "a long, s long, lo int, hi int")
+    return ranked.repartition(place).sortWithinPartitions("f1", "f2", tail).mapInArrow(K.trimmed(run), "a long, s long, lo int, hi int")
 
 
 def settled(judge: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> Callable:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -23,6 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(down, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").unionByName(down.select("x", F.col("m").alias("y"))).distinct()
         new = written(small, "edges")
         same = new.count() == now.count() and new.join(now, ["x", "y"], "left_anti").isEmpty()
+        discard(now)
         now = new
         if same:
             break

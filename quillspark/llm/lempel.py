@@ -51,7 +51,7 @@ def hashed(contents: list[bytes]) -> tuple[np.ndarray, list[int]]:
     data = np.frombuffer(b"".join(contents), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in contents])])
     starts, stops, row = K.spans(data, offsets)
-    return K.hashes(K.as_binary(data, starts, stops)), np.bincount(row, minlength=len(contents)).tolist()
+    return K.hashes(data, starts, stops), np.bincount(row, minlength=len(contents)).tolist()
 
 
 def shard_parser(window: int, most: int = 8 << 20):
@@ -129,19 +129,19 @@ def _without_text(batches):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 16, shard_segments: int = A.SHARD_SEGMENTS, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (words joined by a space)."""
     docs = A.keyed(docs, id_col, text_col)
-    segments = A.recurring(docs.where(F.col("tkey") < A.NO_ID), "word", k, window, "lz")
-    kinds = segments.groupBy("a", "s").agg(F.min(F.struct("doc_id", "at")).alias("m")).select("a", "s", "m.doc_id", "m.at")
-    kinds = written(A.with_shards(kinds, shard_segments), "lz-blocks")
+    segments = A.recurring(docs.where("not no_id"), "word", k, window, "lz")
+    first = F.min(F.struct("doc_id", "tkey", "at")).alias("m")
+    kinds = A.with_shards(segments.groupBy("a", "s").agg(first).select("a", "s", "m.*"), shard_segments, "lz")
     content = A.contents(docs, kinds.where("kinds > 1"), "word", window).repartition("a", "part").sortWithinPartitions("a", "part", "s")
-    parsed = content.mapInArrow(shard_parser(window), FOUND)
+    parsed = content.mapInArrow(K.trimmed(shard_parser(window)), FOUND)
     # blocks of one anchor that lie in different shards: the smallest document of each window, wherever it is
     factors = A.merged(parsed, "first", A.settled(after_the_first))
     per_block = factors.groupBy("a", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("factors"))
     # the smallest document of a block has the factors found; in later ones the block is a factor as a whole
-    blocks = kinds.select("a", "s", F.col("doc_id").alias("first")).join(per_block, ["a", "s"], "left")
+    blocks = written(kinds.select("a", "s", F.col("doc_id").alias("first")).join(per_block, ["a", "s"], "left"), "lz-factors")
     whole = F.array(F.struct(F.lit(0).alias("lo"), A.count().cast("int").alias("hi")))
-    placed = segments.join(blocks, ["a", "s"]).select("doc_id", "at", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("factors"))).alias("f"))
-    marks = placed.select("doc_id", A.tkey().alias("tkey"), (A.lo() + F.col("f.lo")).alias("lo"), (A.lo() + F.col("f.hi") + F.lit(window - 1)).alias("hi"))
+    placed = segments.join(blocks, ["a", "s"]).select("doc_id", "tkey", "at", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("factors"))).alias("f"))
+    marks = placed.select("doc_id", "tkey", (A.lo() + F.col("f.lo")).alias("lo"), (A.lo() + F.col("f.hi") + F.lit(window - 1)).alias("hi"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     joined = A.attach(docs, marks)
-    return joined.mapInArrow(cutter, schema + ", kept_text string") if with_text else joined.mapInArrow(_without_text, schema)
+    return joined.mapInArrow(K.trimmed(cutter), schema + ", kept_text string") if with_text else joined.mapInArrow(K.trimmed(_without_text), schema)

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of our own."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and one machine does all work."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster, it must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="quillspark-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
@@ -34,4 +36,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing will read any more; only what is itself written may depend on it."""
+    _remove(table.sparkSession, table._written_to)

@@ -166,17 +166,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay; cuts may part a code point)."""
     docs = A.keyed(docs, id_col, text_col)
     segments = A.recurring(docs, "byte", k, window, "sa")
-    kinds = segments.groupBy("a", "s").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at")).alias("m")).select("a", "s", "times", "m.doc_id", "m.at")
-    kinds = written(A.with_shards(kinds, shard_segments), "sa-kinds")
+    first = F.min(F.struct("doc_id", "tkey", "at")).alias("m")
+    kinds = A.with_shards(segments.groupBy("a", "s").agg(F.count(F.lit(1)).alias("times"), first).select("a", "s", "times", "m.*"), shard_segments, "sa")
     content = A.contents(docs, kinds.where("kinds > 1"), "byte", window).repartition("a", "part").sortWithinPartitions("a", "part", "s")
-    ranked = content.mapInArrow(shard_sorter(window), FOUND)
+    ranked = content.mapInArrow(K.trimmed(shard_sorter(window)), FOUND)
     runs = A.merged(ranked, "part", A.settled(in_two_shards))
     per_kind = runs.groupBy("a", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     # a segment that stands once has the runs found; one that stands twice is covered as a whole
-    kinds = kinds.select("a", "s", "times").join(per_kind, ["a", "s"], "left")
     whole = F.array(F.struct(F.lit(0).alias("lo"), A.count().cast("int").alias("hi")))
-    placed = segments.join(kinds, ["a", "s"]).select("doc_id", "at", F.explode(F.when(F.col("times") > 1, whole).otherwise(F.col("runs"))).alias("r"))
-    marks = placed.select("doc_id", A.tkey().alias("tkey"), (A.lo() + F.col("r.lo")).alias("lo"), (A.lo() + F.col("r.hi") + F.lit(window - 1)).alias("hi"))
+    kinds = kinds.join(per_kind, ["a", "s"], "left").select("a", "s", F.when(F.col("times") > 1, whole).otherwise(F.col("runs")).alias("runs"))
+    kinds = written(kinds.where("runs is not null"), "sa-runs")
+    placed = segments.join(kinds, ["a", "s"]).select("doc_id", "tkey", "at", F.explode("runs").alias("r"))
+    marks = placed.select("doc_id", "tkey", (A.lo() + F.col("r.lo")).alias("lo"), (A.lo() + F.col("r.hi") + F.lit(window - 1)).alias("hi"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     joined = A.attach(docs, marks)
-    return joined.mapInArrow(cutter, schema + ", kept binary") if with_bytes else joined.mapInArrow(_without_bytes, schema)
+    return joined.mapInArrow(K.trimmed(cutter), schema + ", kept binary") if with_bytes else joined.mapInArrow(K.trimmed(_without_bytes), schema)

@@ -6,6 +6,9 @@ with numpy, so no Python code runs for each word or byte.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -22,6 +25,11 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: By number of bytes: the mask that keeps so many of eight.
+LANE = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: Bytes beyond which a stretch is hashed by itself.
+LONG = 256
+
 #: Text bytes that one slice holds, unless a single row is longer.
 SLICE_BYTES = 1 << 20
 
@@ -71,7 +79,7 @@ def as_binary(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Arr
     """The given stretches, in order and apart, as one Arrow array."""
     edges = np.zeros(len(data) + 1, np.int8)
     edges[starts] += 1
-    np.subtract.at(edges, stops, 1)
+    edges[stops] -= 1  # no two stretches end at one place
     taken = data[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
     sizes = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(stops - starts, out=sizes[1:])
@@ -84,11 +92,29 @@ def coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
 
 
-def hashes(values: pa.Array) -> np.ndarray:
-    """64-bit hashes that are the same in every slice."""
-    codes, distinct = coded(values)
-    table = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in distinct.to_pylist()), np.uint64, len(distinct))
-    return table[codes] if len(codes) else np.empty(0, np.uint64)
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the given stretches; equal bytes have equal hashes wherever they stand. Eight bytes of all stretches at a time."""
+    sizes = stops - starts
+    if not len(sizes):
+        return np.empty(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    left = np.minimum(sizes, 8)
+    out = mixed((lanes[starts] & LANE[left]) ^ mixed(sizes.astype(np.uint64)))
+    live = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    at = 8
+    while len(live):
+        left = np.minimum(sizes[live] - at, 8)
+        out[live] = mixed(out[live] * np.uint64(BASE) + (lanes[starts[live] + at] & LANE[left]))
+        at += 8
+        live = live[sizes[live] > at]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]].tobytes())
+    return out
+
+
+#: An odd multiplier; its powers run through a quarter of all 64-bit words.
+BASE = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -101,7 +127,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def grams(x: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+def grams(x: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
     """Hash of each k consecutive items of a 64-bit sequence, by doubling; shorter than k: none."""
     if len(x) < k:
         return np.empty(0, np.uint64)
@@ -123,6 +149,31 @@ def grams(x: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     return out[: len(x) - k + 1]
 
 
+#: A 64-bit number for each byte.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the power 0, 1, ... (mod 2**64), at least ``n`` of them; kept for the next call."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
+        known[0] = 1
+        _POWERS[base] = known = np.multiply.accumulate(known)
+    return known[:n]
+
+
+def rolling(x: np.ndarray, k: int) -> np.ndarray:
+    """Like ``grams``, by differences of running sums: as fast for any k. For sequences of bounded length."""
+    n = len(x) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(x * powers(BASE, len(x)), dtype=np.uint64)])
+        return mixed((sums[k:] - sums[:n]) * powers(pow(BASE, -1, 1 << 64), n))
+
+
 #: Low bits of a key that hold the position; the rest holds the hash.
 PLACE_BITS = 24
 
@@ -151,7 +202,7 @@ def segments(items: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tup
     Returns row, first window start, number of windows (starts count from the slice's begin) and the k-gram's hash. Equal
     windows have equal k-gram hashes, wherever they stand; windows that cross rows are left out.
     """
-    gram = grams(items, k)
+    gram = rolling(items, k)
     owner = owners(gram, window - k + 1)
     if not len(owner):
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
@@ -167,6 +218,21 @@ def segments(items: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tup
     return row[first], start[first], np.diff(np.append(first, len(start))), gram[owner[first]]
 
 
+def trimmed(run):
+    """The same step for ``mapInArrow``; when its task ends, freed memory goes back to the system, so that idle workers hold little."""
+
+    @functools.wraps(run)
+    def step(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not the usual C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return step
+
+
 def digests(items: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each stretch."""
     raw, step = items.tobytes(), items.itemsize
