@@ -1,15 +1,18 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 A document is the set of its word n-grams. The hashes of a set are dealt into groups; the group counts are a point, and no two
-sets share more than the sum of the smaller count of each group. Points that meet in a shard are put into an R-tree: leaves of
-points of like size, each with the largest count of every group in it. Leaf against leaf and then point against point, a pair is
-dropped when the summed minima are below what the similarity needs, sizes included; survivors are verified on the whole sets.
+sets share more than the sum of the smaller count of each group. Points that meet in a shard are put into an R-tree: a shard is
+split again and again at the median of the coordinate that varies most, which gives leaves of points that lie together, and levels
+of nodes above them, each with the largest count of every group below it. The tree is run against itself from the root: two nodes,
+and in the end two points, are dropped when the summed minima are below what the similarity needs, sizes included. Survivors
+come out as they are found, in bounded batches, and are verified on the whole sets.
 
 Shards come from prefixes: sets that are similar enough share one of the first hashes of each (rare ones first; which are
-frequent is counted over all documents, and only decides on the order). Equal sets are one class from the start. Each
-class is first tried against the smallest of a shard and those next to it in size, so that large groups of near copies become one
-component at once; all pairs that still lie in different components then go through the R-tree, which loses no component. A shard beyond ``SHARD_POINTS`` is dealt into blocks, and
-every two blocks meet in a task of their own.
+frequent is counted over all documents, and only decides on the order and on salts). Equal sets are one class from the start. Each
+class is first tried against the smallest of a shard and those next to it in size, so that large groups of near copies become few
+components at once; all pairs that still lie in different components then go through the R-tree, which loses no component. Hashes
+of very many sets are salted for the first tries, and a shard beyond ``SHARD_POINTS`` is dealt into blocks, of which every two meet in
+a task of their own; so no task holds an unbounded group.
 
 Defined results: sets without words are empty and linked with nothing; a null id never names a component (null if it holds no other);
 rows with equal ids are one document; other columns are ignored.
@@ -18,6 +21,7 @@ rows with equal ids are one document; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +30,24 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .graphs import components
-from .scratch import written
+from .scratch import discard, written
 
 GROUPS = 512
-LEAF = 64
+#: Points of a leaf at most, and children of a node.
+LEAF, CHILDREN = 16, 8
+#: Pairs whose bound is computed at once.
+AT_ONCE = 4096
 #: Partners of a hash, next to a set in size, that are tried before any shard; so shards are needed for hashes of more sets only.
 BACK = 3
 PROBED = ["h", "n", "node", "sets", *(f"p{i}" for i in range(BACK + 1))]
 #: Points that a task of a shard takes; a larger shard is dealt into blocks of half as many.
-SHARD_POINTS = 8192
+SHARD_POINTS = 4096
 #: Frequent hashes that are put last, at most; that many fit a broadcast, whatever the input.
 MOST_FREQUENT = 1 << 17
-#: Times a hash is seen (twice or more in a task) before it counts as frequent.
-FREQUENT = 8
+#: Times a hash is seen (twice or more in a task) before it counts as frequent, and before its sets are dealt over several tasks.
+FREQUENT, HOT = 8, 10_000
+#: Rows of one hash that are looked at together; a longer run is cut, and its pieces meet in the R-tree.
+RUN_ROWS = 1 << 18
 #: Documents whose texts are looked up by a broadcast of their keys; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -48,7 +57,7 @@ def sets_of(column: pa.Array, n: int) -> list[np.ndarray]:
     data, offsets = K.buffer(column)
     data = K.LOWER[data]
     starts, stops, row = K.spans(data, offsets)
-    words = K.hashes(K.as_binary(data, starts, stops))
+    words = K.hashes(data, starts, stops)
     grams = K.grams(words, n)
     edges = np.searchsorted(row, np.arange(len(column) + 1)).tolist()
     out = []
@@ -74,38 +83,91 @@ def needed(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points with different ``side`` that the bound can't exclude, by an R-tree against itself."""
-    order = np.argsort(sizes, kind="stable")
-    points, sizes, side = points[order].astype(np.int32), sizes[order].astype(np.int64), side[order]
-    huge = sizes >= 1 << 16
-    edges = np.append(np.arange(0, len(sizes), LEAF), len(sizes))
-    tops = np.maximum.reduceat(points, edges[:-1], axis=0)
-    small, large = sizes[edges[:-1]], sizes[edges[1:] - 1]
-    left, right = [], []
-    for i in range(len(tops)):
-        # leaves further on hold larger sets: their smallest must not be too large for this leaf's largest
-        last = int(np.searchsorted(small, large[i] * 100 // percent, "right"))
-        if last <= i:
-            continue
-        bound = np.minimum(tops[i], tops[i:last]).sum(1)
-        near = i + np.flatnonzero((bound >= needed(small[i], small[i:last], percent)) | huge[edges[i + 1 : last + 1] - 1])
-        a = slice(edges[i], edges[i + 1])
-        for j in near.tolist():
-            b = slice(edges[j], edges[j + 1])
-            may = (side[a, None] != side[None, b]) & (sizes[a, None] * 100 >= sizes[None, b] * percent) & (sizes[None, b] * 100 >= sizes[a, None] * percent)
-            if i == j:
-                may = np.triu(may, 1)
-            x, y = np.nonzero(may)
+class Tree:
+    """An R-tree over the points of a shard: levels of nodes, from the leaves up."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, side: np.ndarray):
+        self.order = self._packed(points)
+        self.points, self.sizes, self.side = points[self.order], sizes[self.order].astype(np.int64), side[self.order]
+        edges = np.append(np.arange(0, len(sizes), LEAF), len(sizes))
+        first = edges[:-1]
+        self.edges = edges
+        top, low, high = np.maximum.reduceat(self.points, first, axis=0), np.minimum.reduceat(self.sizes, first), np.maximum.reduceat(self.sizes, first)
+        least, most = np.minimum.reduceat(self.side, first), np.maximum.reduceat(self.side, first)
+        self.levels = [(top, low, high, least, most)]
+        while len(self.levels[-1][0]) > CHILDREN:
+            top, low, high, least, most = self.levels[-1]
+            first = np.arange(0, len(top), CHILDREN)
+            self.levels.append((np.maximum.reduceat(top, first, axis=0), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)))
+
+    @staticmethod
+    def _packed(points: np.ndarray) -> np.ndarray:
+        """An order in which near points are neighbours: groups are split at the median of their widest coordinate, into whole leaves."""
+        out: list[np.ndarray] = []
+        waiting = [np.arange(len(points))]
+        while waiting:
+            own = waiting.pop()
+            if len(own) <= LEAF:
+                out.append(own)
+                continue
+            sample = points[own[:: max(1, len(own) // 512)]].astype(np.float32)  # where to split is a matter of speed alone
+            along = points[own, int(np.argmax(sample.var(0)))]
+            cut = -(-len(own) // LEAF // 2) * LEAF
+            own = own[np.argpartition(along, cut)] if cut < len(own) else own
+            waiting += [own[cut:], own[:cut]]
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
+    def _near(self, level: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of nodes may hold a pair of points: not all of one side, sizes that fit, and a bound that is high enough."""
+        top, low, high, least, most = self.levels[level]
+        ok = (high[x] * 100 >= low[y] * percent) & (high[y] * 100 >= low[x] * percent) & ((least[x] != most[x]) | (least[y] != most[y]) | (least[x] != least[y]))
+        at = np.flatnonzero(ok)
+        for k in range(0, len(at), AT_ONCE):
+            some = at[k : k + AT_ONCE]
+            a, b = x[some], y[some]
+            ok[some] = (np.minimum(top[a], top[b]).sum(1, dtype=np.int64) >= needed(low[a], low[b], percent)) | (np.maximum(high[a], high[b]) >= 1 << 16)
+        return ok
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of points of different sides that the bound can't exclude, and their bounds, in batches."""
+        root = len(self.levels) - 1
+        n = len(self.levels[root][0])
+        x, y = np.triu_indices(n)
+        waiting = [(root, x, y)]
+        while waiting:
+            level, x, y = waiting.pop()
+            near = self._near(level, x, y, percent)
+            x, y = x[near], y[near]
             if not len(x):
                 continue
-            x, y = x + edges[i], y + edges[j]
-            shared = np.minimum(points[x], points[y]).sum(1)
-            ok = (shared >= needed(sizes[x], sizes[y], percent)) | huge[y] | huge[x]
-            left.append(order[x[ok]])
-            right.append(order[y[ok]])
-    none = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+            if level:
+                below = len(self.levels[level - 1][0])
+                p, q = _crossed(x * CHILDREN, np.minimum((x + 1) * CHILDREN, below), y * CHILDREN, np.minimum((y + 1) * CHILDREN, below))
+                keep = p <= q
+                p, q = p[keep], q[keep]
+                waiting += [(level - 1, p[k : k + AT_ONCE], q[k : k + AT_ONCE]) for k in range(0, len(p), AT_ONCE)]
+                continue
+            for k in range(0, len(x), AT_ONCE // 16):
+                some = slice(k, k + AT_ONCE // 16)
+                p, q = _crossed(self.edges[x[some]], self.edges[x[some] + 1], self.edges[y[some]], self.edges[y[some] + 1])
+                sp, sq = self.sizes[p], self.sizes[q]
+                keep = (p < q) & (self.side[p] != self.side[q]) & (sp * 100 >= sq * percent) & (sq * 100 >= sp * percent)
+                p, q = p[keep], q[keep]
+                for j in range(0, len(p), AT_ONCE):
+                    a, b = p[j : j + AT_ONCE], q[j : j + AT_ONCE]
+                    shared = np.minimum(self.points[a], self.points[b]).sum(1, dtype=np.int64)
+                    ok = (shared >= needed(self.sizes[a], self.sizes[b], percent)) | (np.maximum(self.sizes[a], self.sizes[b]) >= 1 << 16)
+                    if ok.any():
+                        yield self.order[a[ok]], self.order[b[ok]], shared[ok]
+
+
+def _crossed(a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with i in the k-th range of a and j in the k-th range of b, for all k."""
+    wide = b_end - b
+    each = (a_end - a) * wide
+    k = np.repeat(np.arange(len(a)), each)
+    at = np.arange(len(k)) - np.repeat(np.cumsum(each) - each, each)
+    return a[k] + at // wide[k], b[k] + at % wide[k]
 
 
 def _count_frequent(n: int):
@@ -170,62 +232,86 @@ def _points(n: int, percent: int, frequent):
     return run
 
 
-def _shared_hashes(percent: int):
-    """From rows sorted by (h, n, node): those whose hash another node has, how many sets have it, and the nodes to try first (itself: none)."""
+def _shared_hashes(percent: int, rows: int):
+    """From rows (h, n, node, salt, salts) sorted by (h, salt, n, node): those whose hash another node has, how many sets have it, and the nodes to try first (itself: none).
+
+    A run that is salted, or longer than ``rows`` and so cut, has all its rows given out, with more sets than the first tries settle.
+    """
+
+    def key(table, i):
+        return table.column(0)[i].as_py(), table.column(3)[i].as_py()
 
     def run(batches):
-        pending = None
+        held: list[pa.RecordBatch] = []
+        size, going = 0, None  # going: the run that was cut last
         for batch in batches:
-            pending = batch if pending is None else pa.Table.from_batches([pending, batch]).combine_chunks().to_batches()[0]
-            h = pending.column(0).to_numpy()
-            last = int(np.searchsorted(h, h[-1], "left"))
-            if last == 0 and pending.num_rows < 1 << 20:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            ends = key(batch, batch.num_rows - 1)
+            if key(held[0], 0) == ends and size < rows:
                 continue
-            cut = last or pending.num_rows
-            yield from _led(pending.slice(0, cut), percent)
-            pending = pending.slice(cut)
-        if pending is not None and pending.num_rows:
-            yield from _led(pending, percent)
+            table = pa.Table.from_batches(held).combine_chunks()
+            h, salt = table.column(0).to_numpy(), table.column(3).to_numpy()
+            same = (h == ends[0]) & (salt == ends[1])
+            start = int(np.argmax(same))  # of the last run, which may go on
+            cut = start if start else size
+            yield from _led(table.slice(0, cut), percent, {going, ends if not start else None})
+            going = ends if not start else going
+            rest = table.slice(cut)
+            held, size = rest.to_batches(), rest.num_rows
+        if size:
+            yield from _led(pa.Table.from_batches(held).combine_chunks(), percent, {going})
 
     return run
 
 
-def _led(batch: pa.RecordBatch, percent: int):
-    h, n, node = (batch.column(i).to_numpy() for i in range(3))
-    fresh = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
-    h, n, node = h[fresh], n[fresh], node[fresh]
-    n = n.astype(np.int64)
+def _led(table: pa.Table, percent: int, cut: set):
+    h, n, node, salt, salts = (table.column(i).to_numpy() for i in range(5))
+    fresh = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]) | (salt[1:] != salt[:-1]))
+    h, n, node, salt = h[fresh], n[fresh].astype(np.int64), node[fresh], salt[fresh]
+    many = salts[fresh] > 1
+    for part in cut - {None}:
+        many |= (h == part[0]) & (salt == part[1])
     # in order of size, a fitting partner is a neighbour if there is any
-    fits = (h[1:] == h[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
-    at = np.flatnonzero(np.append(False, fits) | np.append(fits, False))
-    h, n, node = h[at], n[at], node[at]
-    edges = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)) if len(h) else np.zeros(1, np.int64)
+    fits = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
+    at = np.flatnonzero(np.append(False, fits) | np.append(fits, False) | many)
+    if not len(at):
+        return
+    h, n, node, salt, many = h[at], n[at], node[at], salt[at], many[at]
+    edges = np.append(np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))), len(h))
     run = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    head, head_n = node.copy(), n.copy()
-    lead = -1
-    hs, ns = h.tolist(), n.tolist()
-    for i in range(len(hs)):
-        if lead < 0 or hs[i] != hs[lead] or ns[lead] * 100 < ns[i] * percent:
-            lead = i
-        head[i], head_n[i] = node[lead], n[lead]
-    if len(h):
-        # probes: the leader and those just before in order of size, where sizes fit; all pairs of a run of BACK + 1 are among them
-        probes = [np.where((head != node) & (head_n * 100 >= n * percent), head, node)]
-        for step in range(1, BACK + 1):
-            back, back_n, back_h = (np.concatenate([np.full(min(step, len(x)), -1, x.dtype), x[:-step]]) for x in (node, n, h))
-            probes.append(np.where((np.arange(len(h)) >= step) & (back_h == h) & (back_n * 100 >= n * percent), back, node))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, node, np.diff(edges)[run], *probes)], names=PROBED)
+    # leaders, of all runs at a time: the first set, then the first that is too large for the last leader
+    span = int(n.max()) + 1
+    place = run * span + n
+    leads = np.zeros(len(h), bool)
+    now = edges[:-1]
+    while len(now):
+        leads[now] = True
+        nearest = np.searchsorted(place, run[now] * span + np.minimum(n[now] * 100 // percent, span - 1), "right")
+        now = nearest[nearest < edges[run[now] + 1]]
+    lead = np.maximum.accumulate(np.where(leads, np.arange(len(h)), 0))
+    # probes: the leader and those just before in order of size, where sizes fit; all pairs of a run of BACK + 1 are among them
+    probes = [node[lead]]
+    for step in range(1, BACK + 1):
+        back = np.maximum(np.arange(len(h)) - step, edges[run])
+        probes.append(np.where(n[back] * 100 >= n * percent, node[back], node))
+    sets = np.where(many, np.maximum(np.diff(edges)[run], BACK + 2), np.diff(edges)[run])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, node, sets, *probes)], names=PROBED)
 
 
 def _bounded(percent: int):
     """From (x, y, nx, ny, px, py) to the pairs (x, y) that the points can't exclude."""
 
     def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32) for i in (4, 5))
-            nx, ny = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-            ok = (np.minimum(a, b).sum(1) >= needed(nx, ny, percent)) | (np.maximum(nx, ny) >= 1 << 16)
-            yield batch.select(["x", "y"]).filter(pa.array(ok))
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (4, 5))
+                nx, ny = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+                ok = (np.minimum(a, b).sum(1, dtype=np.int64) >= needed(nx, ny, percent)) | (np.maximum(nx, ny) >= 1 << 16)
+                yield batch.select(["x", "y"]).filter(pa.array(ok))
 
     return run
 
@@ -276,62 +362,62 @@ def _crossing(percent: int):
 
 
 def _shard_search(percent: int, best: bool):
-    """From rows (h, i, j, n, node, root, point) sorted by shard to the pairs across components that a shard's R-tree can't exclude.
+    """From rows (h, i, j, n, node, root, block, point) sorted by shard to the pairs across components that a shard's R-tree can't exclude.
 
-    best: of each point's pairs with another component, only the one of the highest bound, for a first round.
+    best: of the pairs of the same two components that come out together, only the likeliest few, for a first round.
     """
 
     def run(batches):
         for table in _runs(batches, 3):
             edges = _edges(table, 3)
-            n, node, root = (table.column(k).to_numpy() for k in (3, 4, 5))
-            points = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(-1, GROUPS)
-            out = []
+            i, j, n, node, root, block = (table.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
+            points = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS)
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
-                x, y = tree_pairs(points[lo:hi], n[lo:hi], root[lo:hi], percent)
-                x, y = x + lo, y + lo
-                if best and len(x) > 1:
-                    score = np.concatenate([np.minimum(points[x[k : k + 4096]], points[y[k : k + 4096]]).sum(1) / (n[x[k : k + 4096]] + n[y[k : k + 4096]]) for k in range(0, len(x), 4096)])
-                    take = np.zeros(len(x), bool)
-                    for a, b in ((x, y), (y, x)):
-                        order = np.lexsort((-score, root[b], a))
-                        fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (root[b][order][1:] != root[b][order][:-1]))
-                        take[order[fresh]] = True
-                    # a small component's link to a large one is enough, whichever side it is seen from
-                    pair = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-                    order = np.lexsort((-score, pair[1], pair[0]))
-                    first = np.append(True, (pair[0][order][1:] != pair[0][order][:-1]) | (pair[1][order][1:] != pair[1][order][:-1]))
-                    rank = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
-                    top = np.zeros(len(x), bool)
-                    top[order[rank < 4]] = True
-                    x, y = x[take & top], y[take & top]
-                out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
-            if out:
-                yield _unique(out)
+                tree = Tree(points[lo:hi], n[lo:hi], root[lo:hi])
+                two = i[lo] != j[lo]  # two blocks: the pairs within each are another task's
+                for x, y, shared in tree.pairs(percent):
+                    x, y = x + lo, y + lo
+                    if two:
+                        apart = block[x] != block[y]
+                        x, y, shared = x[apart], y[apart], shared[apart]
+                    if best and len(x) > 1:
+                        score = shared / (n[x] + n[y])
+                        pair = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+                        order = np.lexsort((-score, pair[1], pair[0]))
+                        p, q = pair[0][order], pair[1][order]
+                        first = np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+                        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+                        top = order[rank < 4]
+                        x, y = x[top], y[top]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["x", "y"])
 
     return run
 
 
-def _unique(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    fresh = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(x) else np.empty(0, bool)
-    return pa.RecordBatch.from_arrays([pa.array(x[fresh].astype(np.int64)), pa.array(y[fresh].astype(np.int64))], names=["x", "y"])
+def _sets(n: int):
+    """From rows (node, text) to (node, own): the set as bytes of sorted hashes."""
 
+    def run(batches):
+        for batch in K.slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.tobytes() for own in sets_of(K.texts(batch), n)], pa.binary())], names=["node", "own"])
+
+    return run
 
-def _verified(n: int, percent: int):
-    """From rows (x, part, role, node, text), the set of x itself first, to the pairs that are similar."""
+
+def _verified(percent: int):
+    """From rows (x, part, role, node, own), the set of x itself first, to the pairs that are similar."""
 
     def run(batches):
         current, base = None, np.empty(0, np.uint64)
-        for batch in K.slices(batches):
+        for batch in batches:
             out = []
-            for x, part, role, node, own in zip(*(batch.column(i).to_pylist() for i in range(4)), sets_of(K.texts(batch), n), strict=True):
+            for x, part, role, node, own in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                own = np.frombuffer(own.as_buffer(), np.uint64)
                 if role == 0:
-                    current, base = (x, part), own
+                    current, base = (x, part), own.copy()
                     continue
                 assert current == (x, part)
                 shared = int((base[np.minimum(np.searchsorted(base, own), len(base) - 1)] == own).sum())
@@ -345,60 +431,72 @@ def _verified(n: int, percent: int):
 class Join:
     """The join's steps over one table of documents."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, shard_points: int, frequent: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, shard_points: int = SHARD_POINTS, frequent: int = FREQUENT, hot: int = HOT, run_rows: int = RUN_ROWS):
         text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
         self.docs = docs.select(doc.alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-        self.spark, self.n, self.percent, self.shard_points, self.frequent = docs.sparkSession, n, percent, shard_points, frequent
+        self.spark, self.n, self.percent, self.shard_points, self.frequent, self.hot, self.run_rows = docs.sparkSession, n, percent, shard_points, frequent, hot, run_rows
 
-    def members(self) -> DataFrame:
-        seen = self.docs.select("text").mapInArrow(_count_frequent(self.n), "h long, times long")
+    def members(self) -> tuple[DataFrame, DataFrame]:
+        """The points of all documents, and the hashes that are dealt over salts (MOST_FREQUENT at most)."""
+        seen = self.docs.select("text").mapInArrow(K.trimmed(_count_frequent(self.n)), "h long, times long")
         often = seen.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= self.frequent).orderBy(F.desc("times"), "h").limit(MOST_FREQUENT)
-        often = np.sort(often.select("h").toArrow().column(0).to_numpy().view(np.uint64))
-        shared = self.spark.sparkContext.broadcast(often)
-        return written(self.docs.mapInArrow(_points(self.n, self.percent, shared), "doc_id long, tkey long, n int, d1 long, d2 long, point binary, prefix array<long>"), "join-points")
+        often = written(often, "join-often")
+        known = np.sort(often.select("h").toArrow().column(0).to_numpy().view(np.uint64))
+        shared = self.spark.sparkContext.broadcast(known)
+        salted = often.where(F.col("times") > self.hot).select("h", F.ceil(F.col("times") / self.hot).alias("salts"))
+        return written(self.docs.mapInArrow(K.trimmed(_points(self.n, self.percent, shared)), "doc_id long, tkey long, n int, d1 long, d2 long, point binary, prefix array<long>"), "join-points"), salted
 
     def verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (x, y) whose whole sets are similar. classes: node, doc_id, tkey."""
-        pairs = written(pairs, "join-pairs")
-        per = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+        per = written(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("c")), "join-per")
         dealt = pairs.join(per, "x").select("x", F.pmod(F.xxhash64("y"), F.ceil(F.col("c") / 256)).cast("int").alias("part"), "y")
         asked = dealt.select("x", "part", F.lit(0).alias("role"), F.col("x").alias("node")).distinct().unionByName(dealt.select("x", "part", F.lit(1).alias("role"), F.col("y").alias("node")))
+        asked = written(asked, "join-asked")
         keys = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node").select("node", F.col("doc_id").alias("r_id"), F.col("tkey").alias("r_key")), "join-keys")
         side = F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
-        texts = self.docs.join(side, self.docs.doc_id.eqNullSafe(F.col("r_id")) & (self.docs.tkey == F.col("r_key"))).select("node", "text").dropDuplicates(["node"])
-        rows = asked.join(texts, "node").select("x", "part", "role", "node", "text").repartition("x", "part").sortWithinPartitions("x", "part", "role")
-        return rows.mapInArrow(_verified(self.n, self.percent), "x long, y long")
+        texts = self.docs.join(side, self.docs.doc_id.eqNullSafe(F.col("r_id")) & (self.docs.tkey == F.col("r_key"))).select("node", "text")
+        sets = written(texts.mapInArrow(K.trimmed(_sets(self.n)), "node long, own binary").dropDuplicates(["node"]), "join-sets")
+        rows = asked.join(sets, "node").select("x", "part", "role", "node", "own").repartition("x", "part").sortWithinPartitions("x", "part", "role")
+        out = written(rows.mapInArrow(K.trimmed(_verified(self.percent)), "x long, y long"), "join-links")
+        for table in (per, asked, keys, sets):
+            discard(table)
+        return out
 
     def run(self) -> DataFrame:
         p = self.percent
-        members = self.members()
+        members, salted = self.members()
         classes = members.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("m"), F.min("n").alias("n"))
         # a class goes by its smallest id; one that has none, by a number of its own
         node = F.when(F.col("m.no_id"), F.xxhash64("d1", "d2")).otherwise(F.col("m.doc_id"))
         classes = written(classes.select("d1", "d2", node.alias("node"), "n", "m.doc_id", "m.tkey"), "join-classes")
         first = members.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key"), "point", "prefix")
         lead = classes.join(first, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("tkey") == F.col("e_key")) & F.col("doc_id").eqNullSafe(F.col("e_id")))
-        hashes = lead.select(F.explode("prefix").alias("h"), "n", "node").repartition("h").sortWithinPartitions("h", "n", "node")
-        shared = written(hashes.mapInArrow(_shared_hashes(p), ", ".join(f"{x} long" for x in PROBED)), "join-shared")
-        point = written(lead.select("node", F.col("n").cast("long").alias("n"), "point").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "join-nodes")
+        hashes = lead.select(F.explode("prefix").alias("h"), "n", "node").join(F.broadcast(salted), "h", "left")
+        hashes = hashes.select("h", "n", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0)).alias("salt"), F.coalesce("salts", F.lit(1)).alias("salts"))
+        hashes = hashes.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "node")
+        shared = written(hashes.mapInArrow(K.trimmed(_shared_hashes(p, self.run_rows)), ", ".join(f"{x} long" for x in PROBED)), "join-shared")
+        wanted = written(shared.select("node").distinct(), "join-wanted")
+        point = written(lead.select("node", F.col("n").cast("long").alias("n"), "point").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "join-nodes")
 
         stars = shared.select("node", F.explode(F.array_distinct(F.array(*PROBED[4:]))).alias("x")).where("x != node").select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
-        stars = self._with_points(stars, point)
-        tried = written(stars.mapInArrow(_bounded(p), "x long, y long"), "join-stars")
-        linked = written(self.verify(tried, classes), "join-links")
+        stars = self._with_points(written(stars, "join-pairs"), point)
+        tried = written(stars.mapInArrow(K.trimmed(_bounded(p)), "x long, y long"), "join-stars")
+        linked = self.verify(tried, classes)
         roots = written(components(linked), "join-roots")
 
-        # the likeliest pair of each two components first, then, over the components that makes, all pairs that are left
+        # the likeliest pairs of each two components first, then, over the components that makes, all pairs that are left
         for best in (True, False):
             found = written(self._across(shared, roots, point, best).join(tried, ["x", "y"], "left_anti"), "join-found")
-            late = written(self.verify(found, classes), "join-late")
+            late = self.verify(found, classes)
             tried = tried.unionByName(found)
             if not late.isEmpty():
                 roots = written(components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(late)), "join-roots")
+        for table in (shared, wanted, point):
+            discard(table)
         first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
         placed = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "doc_id", "tkey")
         names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("best"))
-        named = placed.join(names, "root").select("d1", "d2", "component_id", "best")
+        named = written(placed.join(names, "root").select("d1", "d2", "component_id", "best"), "join-named")
         out = members.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")
         lead = (F.col("n_shingles") == 0) | (F.col("tkey").eqNullSafe(F.col("best.tkey")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
         return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), lead.alias("leads"))
@@ -407,15 +505,15 @@ class Join:
         """Pairs (x, y) across components that no shard's R-tree excludes."""
         p = self.percent
         of = shared.where(F.col("sets") > BACK + 1).select("h", "n", "node").join(roots, "node", "left").select("h", "n", "node", F.coalesce("root", "node").alias("root"))
-        mixed = of.groupBy("h").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.count(F.lit(1)).alias("c")).where("u != v")
+        of = written(of, "join-of")
         blocks = F.when(F.col("c") > self.shard_points, F.ceil(F.col("c") / (self.shard_points / 2))).otherwise(1).cast("int")
-        rows = of.join(mixed.select("h", blocks.alias("blocks")), "h")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "node", "root")
-        names = "h long, i int, j int, n long, node long, root long"
-        rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(_crossing(p), names)
-        full = rows.join(point.select("node", "point"), "node").select("h", "i", "j", "n", "node", "root", "point")
-        return full.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(_shard_search(p, best), "x long, y long").distinct()
+        mixed = written(of.groupBy("h").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.count(F.lit(1)).alias("c")).where("u != v").select("h", blocks.alias("blocks")), "join-mixed")
+        rows = of.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "node", "root", "block")
+        names = "h long, i int, j int, n long, node long, root long, block int"
+        rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(K.trimmed(_crossing(p)), names)
+        full = rows.join(point.select("node", "point"), "node").select("h", "i", "j", "n", "node", "root", "block", "point")
+        return full.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(K.trimmed(_shard_search(p, best)), "x long, y long").distinct()
 
     def _with_points(self, pairs: DataFrame, point: DataFrame) -> DataFrame:
         x = point.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("point").alias("px"))
@@ -423,14 +521,14 @@ class Join:
         return pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", "px", "py")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, shard_points: int = SHARD_POINTS, frequent: int = FREQUENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach, its own included)."""
-    return Join(docs, id_col, text_col, n, percent, shard_points, frequent).run().select("doc_id", "n_shingles", "component_id")
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, **limits: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach, its own included). limits: those of ``Join``."""
+    return Join(docs, id_col, text_col, n, percent, **limits).run().select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that lead their component, with all their columns; rows without words stay. Of rows alike in id and text one stays."""
-    found = Join(docs, id_col, text_col, n, percent, SHARD_POINTS, FREQUENT).run()
+    found = Join(docs, id_col, text_col, n, percent).run()
     leaders = found.where("leads").groupBy(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey")).agg(F.count(F.lit(1)).alias("__times"), F.max("n_shingles").alias("__n"))
     leaders = written(leaders, "join-leaders")
     keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))

@@ -79,12 +79,28 @@ def test_suffix_array_and_prefixes():
         assert [int(got[i]) for i in range(1, size)] == [shared(order[i - 1], order[i]) for i in range(1, size)]
 
 
-@pytest.mark.parametrize(("points", "frequent"), [(8192, 128), (4, 10**9), (8192, 2)])
-def test_jaccard_join_is_exact(docs, points, frequent):
-    got = rows(rtree.jaccard_join(docs, shard_points=points, frequent=frequent), "doc_id", "n_shingles", "component_id")
+@pytest.mark.parametrize("limits", [{}, {"shard_points": 4, "frequent": 10**9}, {"frequent": 2, "hot": 2}, {"run_rows": 1}, {"run_rows": 3, "shard_points": 4}])
+def test_jaccard_join_is_exact(docs, limits):
+    got = rows(rtree.jaccard_join(docs, **limits), "doc_id", "n_shingles", "component_id")
     assert plain.same(got, plain.jaccard9(ROWS))
 
 
+@pytest.mark.parametrize("limits", [{}, {"run_rows": 7}, {"frequent": 2, "hot": 5, "shard_points": 8}])
+def test_jaccard_join_of_many_near_copies(spark, limits):
+    """Groups that share words with each other but not enough, over cut, salted and dealt shards."""
+    r = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(60)]
+    found = []
+    for g in range(4):
+        base = common + [f"g{g}w{i}" for i in range(60)]
+        for _ in range(25):
+            own = base.copy()
+            own[int(r.integers(60, 120))] = f"x{r.integers(10**6)}"
+            found.append((len(found), " ".join(own), "en", "s"))
+    got = rows(rtree.jaccard_join(plain.table(spark, found), **limits), "doc_id", "n_shingles", "component_id")
+    assert plain.same(got, plain.jaccard9(found)) and {c for _, _, c in got} == {0, 25, 50, 75}
+
+
 def test_one_of_each_keeps_one_row_of_a_group(docs):
     kept = rtree.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -105,8 +121,11 @@ def test_rtree_loses_no_similar_pair():
             sets.append(np.unique(own))
     points = np.stack([rtree.counts(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
-    x, y = rtree.tree_pairs(points, sizes, np.arange(len(sets)), 80)
-    found = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+    tree = rtree.Tree(points, sizes, np.arange(len(sets)))
+    assert len(tree.levels) > 1 and sorted(tree.order.tolist()) == list(range(len(sets)))
+    out = [tuple(sorted(p)) for x, y, _ in tree.pairs(80) for p in zip(x.tolist(), y.tolist())]
+    found = set(out)
+    assert len(out) == len(found)  # each pair once
     for a in range(len(sets)):
         for b in range(a):
             o = len(np.intersect1d(sets[a], sets[b]))
