@@ -361,10 +361,23 @@ def _crossing(percent: int):
     return run
 
 
+#: Pairs of a shard that are held for the choice of the likeliest.
+HELD = 1 << 18
+
+
+def _likeliest(pairs: list[np.ndarray], most: int = 4) -> np.ndarray:
+    """Of rows (x, y, root, other root, score), the ``most`` best of each two components; equal scores by x and y, so that all shards choose alike."""
+    t = np.concatenate(pairs, axis=1)
+    t = t[:, np.lexsort((t[1], t[0], -t[4], t[3], t[2]))]
+    first = np.append(True, (t[2, 1:] != t[2, :-1]) | (t[3, 1:] != t[3, :-1]))
+    at = np.arange(t.shape[1])
+    return t[:, at - np.maximum.accumulate(np.where(first, at, 0)) < most]
+
+
 def _shard_search(percent: int, best: bool):
     """From rows (h, i, j, n, node, root, block, point) sorted by shard to the pairs across components that a shard's R-tree can't exclude.
 
-    best: of the pairs of the same two components that come out together, only the likeliest few, for a first round.
+    best: of the pairs of the same two components, only the likeliest few, for a first round.
     """
 
     def run(batches):
@@ -377,22 +390,29 @@ def _shard_search(percent: int, best: bool):
                     continue
                 tree = Tree(points[lo:hi], n[lo:hi], root[lo:hi])
                 two = i[lo] != j[lo]  # two blocks: the pairs within each are another task's
+                held, size = [], 0
                 for x, y, shared in tree.pairs(percent):
                     x, y = x + lo, y + lo
                     if two:
                         apart = block[x] != block[y]
                         x, y, shared = x[apart], y[apart], shared[apart]
-                    if best and len(x) > 1:
-                        score = shared / (n[x] + n[y])
-                        pair = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-                        order = np.lexsort((-score, pair[1], pair[0]))
-                        p, q = pair[0][order], pair[1][order]
-                        first = np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
-                        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
-                        top = order[rank < 4]
-                        x, y = x[top], y[top]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["x", "y"])
+                    first, second = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                    if not best:
+                        if len(x):
+                            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second)], names=["x", "y"])
+                        continue
+                    score = (shared << 32) // (n[x] + n[y])
+                    held.append(np.stack([first, second, np.minimum(root[x], root[y]), np.maximum(root[x], root[y]), score]))
+                    size += len(x)
+                    if size > HELD:
+                        held = [_likeliest(held)]
+                        size = held[0].shape[1]
+                        if size > HELD // 2:  # very many components: what is known goes out
+                            yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["x", "y"])
+                            held, size = [], 0
+                if size:
+                    chosen = _likeliest(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(chosen[0]), pa.array(chosen[1])], names=["x", "y"])
 
     return run
 
