@@ -23,8 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1, a source being a site: its boilerplate lines go, documents stay; n_chars follows the text. Copies of a text are one page: they are left to the next stage."""
-    out = boilerplate.line_dedup(docs, host_col="source", report=False, copies=False)
+    """Operator 1, a source being a site: its boilerplate lines go, documents stay; n_chars follows the text.
+
+    Copies of a text are one page and a line needs five pages, so that copies and near copies in a small source are left to the next stage.
+    """
+    out = boilerplate.line_dedup(docs, host_col="source", min_pages=5, report=False, copies=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
