@@ -49,10 +49,40 @@ def ids(text: str, name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR) -> np
     special: Any = "all" if name == "byte_bpe_50k" else set()
     try:
         return encoder(name, vocab_dir).encode_to_numpy(text, allowed_special=special, disallowed_special=())
-    except BaseException as problem:  # the native library panics on some very long runs of one character
-        if type(problem).__name__ != "PanicException" or name != "byte_bpe_50k":
+    except ValueError:  # the native library's regular expressions run out of stack on very long runs of white space
+        return by_pieces(text, name, vocab_dir)
+    except BaseException as problem:  # and it panics on some very long runs of one character
+        if type(problem).__name__ != "PanicException":
             raise
-        return np.array(json_encoder(name, vocab_dir).encode(text, add_special_tokens=False).ids, np.uint32)
+        return by_pieces(text, name, vocab_dir)
+
+
+@cache
+def _pieces() -> Any:
+    import regex
+
+    return regex.compile(_pattern())
+
+
+def by_pieces(text: str, name: str, vocab_dir: str = VOCAB_DIR) -> np.ndarray:
+    """The same ids, for texts of any kind: the text is cut where the vocabulary's pattern cuts it, then each piece is merged."""
+    own = encoder(name, vocab_dir)
+    special = END_OF_TEXT if name == "byte_bpe_50k" else {}
+    out: list[int] = []
+    parts = [text]
+    for token in special:
+        parts = [x for part in parts for x in _between(part.split(token), token)]
+    for part in parts:
+        if part in special:
+            out.append(special[part])
+            continue
+        for piece in _pieces().finditer(part):
+            out += own._encode_single_piece(piece.group().encode("utf-8", "replace"))
+    return np.array(out, np.uint32)
+
+
+def _between(parts: list[str], token: str) -> list[str]:
+    return [x for part in parts for x in (part, token)][:-1]
 
 
 @cache
