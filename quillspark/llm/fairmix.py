@@ -8,7 +8,7 @@ No queue is sorted in one task. A source's words before a document are the words
 whose number doesn't depend on the data) and of earlier documents in its bucket; the cut is found from sums over time slices, then over
 slices of the one slice where the budget runs out. Only DataFrame functions are used.
 
-Defined results: null text has no words; null sources are one source, the last; a null id hashes as such; rows with equal id and size
+Defined results: null text has no words; null sources are one source, the last; a row with a null id is shuffled by its text; rows with equal id and size
 are interchangeable; sources without words have target 0; names of other columns don't matter.
 """
 
@@ -34,9 +34,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def shuffled(doc: Column, seed: str) -> Column:
-    """48 bits of a digest; the same in any engine that has MD5."""
-    text = F.concat(F.lit(seed), F.lit(":"), F.coalesce(doc.cast("string"), F.lit("")))
+def shuffled(doc: Column, body: Column, seed: str) -> Column:
+    """48 bits of a digest of the id (without one: of the text, so that such rows are spread too); the same in any engine that has MD5."""
+    text = F.concat(F.lit(seed), F.lit(":"), F.coalesce(doc.cast("string"), F.concat(F.lit("~"), F.coalesce(body.cast("string"), F.lit("")))))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
@@ -69,8 +69,9 @@ def _before(df: DataFrame, keys: list[str], order: list[Column], value: str, buc
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, tkey (a hash of its text), source, size, source_size, target and taken (words, repeats counted)."""
     doc = F.col(id_col).cast("long")
-    sized = docs.select(doc.alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), shuffled(doc, seed).alias("turn"))
+    sized = docs.select(doc.alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), shuffled(doc, F.col(text_col), seed).alias("turn"))
     sized = sized.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")))  # null has a key too, the last
+    sized = written(sized, "mix-sizes")  # ids and sizes are needed three times, texts once
     per_source = sized.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = targets(per_source, weights, most_times).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("src"), "source_size", "target")
     bucket = F.shiftright("turn", 36).cast("int")  # the upper 12 of 48 bits
