@@ -1,10 +1,11 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by host. A line's frequency is the number of the host's pages that contain it over the number of the host's
-pages; lines above ``max_ratio`` on at least ``min_pages`` pages are boilerplate and go. A line is known by a 64-bit hash within
-its host. Counts are combined before they are shuffled; a page has at most as many boilerplate lines as it has lines, so a host has
-at most 1 / max_ratio times its mean page's lines, and that list is all that is sent back to its pages, dealt over ``SALTS`` so that
-the pages of one large host are spread too.
+pages; lines above ``max_ratio`` are boilerplate and go, if they stand on ``min_pages`` pages (two: a page's own line is not its
+boilerplate). A line is known by a 64-bit hash within its host. Counts are combined before they are shuffled; a page has at most as
+many boilerplate lines as it has lines, so a host has at most 1 / max_ratio times its mean page's lines, and that list is all that is
+sent back to its pages. Lists and totals are written first, so that their joins are of plain tables: small ones are broadcast by their
+size, and the pages of one large host are otherwise split over as many tasks as their bytes need.
 
 Defined results: null text has no lines and stays null; a null host is a host of its own; blank lines are never boilerplate; repeated
 rows count as pages of their own (unless ``copies`` is off); all columns of the input are kept and names of other columns don't matter.
@@ -15,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+from .scratch import written
+
 MAX_RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 2
 
 
 def host(url: Column) -> Column:
@@ -52,9 +54,10 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float
     rows = pages.select(site, _hashes(F.col(text_col)).alias("lines"), *([] if copies else [F.xxhash64(text_col).alias("tkey")]))
     if not copies:
         rows = rows.dropDuplicates(["site", "tkey"])
-    totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    totals = written(rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages")), "site-totals")
     # the outer form, because a plain one adds a filter that would compute the lines a second time
     each = rows.select("site", F.explode_outer("lines").alias("line")).where("line is not null").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    each = written(each, "site-counts")
     return each.join(totals, "site").where(F.col("n") > max_ratio * F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
@@ -64,11 +67,9 @@ def line_dedup(pages: DataFrame, host_col: str = "host", text_col: str = "text",
     Without ``copies``, equal texts of a host count as one page, so that lines repeated only by whole copies stay.
     """
     site = F.struct(F.col(host_col).cast("string").alias("h"))
-    found = boilerplate(pages, host_col, text_col, max_ratio, min_pages, copies)
-    dealt = found.select(F.col("site").alias("__site"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"), F.col("lines").alias("__drop"))
+    found = written(boilerplate(pages, host_col, text_col, max_ratio, min_pages, copies), "site-lines").select(F.col("site").alias("__site"), F.col("lines").alias("__drop"))
     kept_names = pages.columns
-    salted = pages.withColumn("__key", site).withColumn("__slot", F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int"))
-    joined = salted.join(dealt, (F.col("__key") == F.col("__site")) & (F.col("__slot") == F.col("__salt")), "left")
+    joined = pages.withColumn("__key", site).join(found, F.col("__key") == F.col("__site"), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), _line(x)))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
