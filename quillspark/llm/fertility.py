@@ -14,10 +14,13 @@ are handed through (null or repeated too); other columns are ignored by ``qualit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
 from . import vocab
@@ -191,33 +194,42 @@ def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, v
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k], ARROW[t]) for k, t in FIGURES), batch.column(3)], names=["doc_id", *(k for k, _ in FIGURES), "tkey"])
 
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id") if id_col else F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
+    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
     wanted = wanted.withColumn("tkey", F.xxhash64("text"))
-    return wanted.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in FIGURES) + ", tkey long")
+    return wanted.mapInArrow(K.trimmed(run), "doc_id long, " + ", ".join(f"{k} {t}" for k, t in FIGURES) + ", tkey long")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocab_dir: str = vocab.VOCAB_DIR) -> DataFrame:
     """One row per document: its id as doc_id, the base counts, the vocabulary's figures, the band it is held to and the verdict."""
     measured = written(measure(docs, id_col, text_col, lang_col, vocab_dir), "quality-figures")
     bands = fitted(measured)
-    inside = F.lit(False)
-    for band, (least, most, fallback, entropy) in bands.items():
-        inside = inside | ((F.col("band") == band) & F.col("chars_per_token").between(least, most) & (F.col("fallback_share") <= fallback) & (F.col("entropy_share") >= entropy))
-    return measured.drop("tkey").select("*", inside.alias("in_band"), (~F.col("base_failed") & inside).alias("kept"))
+    in_band = inside(bands, F.col)
+    return measured.drop("tkey").select("*", in_band.alias("in_band"), (~F.col("base_failed") & in_band).alias("kept"))
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab_dir: str = vocab.VOCAB_DIR) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. Texts are read twice, for the bands and for the verdicts, and never shuffled."""
-    bands = fitted(measure(docs, "", text_col, lang_col, vocab_dir))
+    """The rows of ``docs`` that the rules keep, with all their columns. Rows are written once with their figures, and neither measured again nor shuffled."""
+    own = "__q"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    needed = [("base_failed", "boolean"), *((k, "double") for k in STEPS), ("band", "string")]
 
     def run(batches):
         for batch in K.slices(batches, text_col):
             found = _measured(K.texts(batch, text_col), batch.column(batch.schema.get_field_index(lang_col)).to_pylist(), vocab_dir)
-            kept = [not failed and within(bands[band], *figure) for failed, band, *figure in zip(found["base_failed"].tolist(), found["band"].tolist(), *(found[k].tolist() for k in STEPS), strict=True)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[k], ARROW[t]) for k, t in needed)], names=[*batch.schema.names, *(f"{own}_{k}" for k, _ in needed)])
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"{own}_{k}", T._parse_datatype_string(t)) for k, t in needed)])
+    measured = written(docs.mapInArrow(K.trimmed(run), schema), "quality-rows")
+    figures_of = [F.col(f"{own}_{k}").alias(k) for k, _ in needed]
+    bands = fitted(measured.select(*figures_of, F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("tkey")))
+    kept = ~F.col(f"{own}_base_failed") & inside(bands, lambda k: F.col(f"{own}_{k}"))
+    return measured.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def within(band: tuple[float, float, float, float], per_token: float, fallback: float, entropy: float) -> bool:
-    return band[0] <= per_token <= band[1] and fallback <= band[2] and entropy >= band[3]
+def inside(bands: dict[str, tuple[float, float, float, float]], of: Callable[[str], Column]) -> Column:
+    """Whether a row's figures are within the band of its language or script."""
+    out = F.lit(False)
+    for band, (least, most, fallback, entropy) in bands.items():
+        out = out | ((of("band") == band) & of("chars_per_token").between(least, most) & (of("fallback_share") <= fallback) & (of("entropy_share") >= entropy))
+    return out
