@@ -163,4 +163,4 @@ def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return wanted.mapInArrow(run, SCHEMA + MEDIA * with_media)
+    return wanted.mapInArrow(K.trimmed(run), SCHEMA + MEDIA * with_media)

@@ -24,7 +24,7 @@ texts AS (
 each_line AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM texts),
 seen AS (SELECT host, line, count(DISTINCT page_id) AS n FROM each_line GROUP BY ALL),
 totals AS (SELECT host, count(*) AS pages FROM texts GROUP BY ALL),
-gone AS (SELECT s.host, s.line FROM seen s JOIN totals t ON s.host IS NOT DISTINCT FROM t.host WHERE s.n >= 5 AND s.n > 0.1 * t.pages),
+gone AS (SELECT s.host, s.line FROM seen s JOIN totals t ON s.host IS NOT DISTINCT FROM t.host WHERE s.n >= 2 AND s.n > 0.1 * t.pages),
 kept AS (
   SELECT e.page_id, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE g.line IS NULL), '') AS text
   FROM each_line e LEFT JOIN gone g ON e.host IS NOT DISTINCT FROM g.host AND e.line = g.line GROUP BY ALL)
@@ -35,7 +35,7 @@ FROM texts t LEFT JOIN kept k USING (page_id)
 OP3 = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS turn
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '~' || coalesce(text, ''))), 1, 12))::BIGINT AS turn
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
@@ -101,7 +101,7 @@ def lengths(pieces: str) -> str:
 
 
 #: The contract's patterns as they are; RE2 runs in linear time.
-PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "secret": disclosure.SECRET}
 
 
 def places(source: str, keep: str, text: str, pattern: str) -> str:
@@ -113,29 +113,29 @@ def places(source: str, keep: str, text: str, pattern: str) -> str:
 DIGITS = "regexp_replace(found, '[^0-9]', '', 'g')"
 LUHN = f"""list_sum([CASE WHEN (length(d) - k) % 2 = 0 THEN substr(d, k, 1)::INT ELSE substr(d, k, 1)::INT * 2 - CASE WHEN substr(d, k, 1)::INT > 4 THEN 9 ELSE 0 END END FOR k IN range(1, length(d) + 1)]) % 10 = 0"""
 VALID = f"""CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len([o FOR o IN string_split(found, '.') IF length(ltrim(o, '0')) > 3 OR coalesce(TRY_CAST(o AS DOUBLE), 999) > 255]) = 0
-  WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND {LUHN} ELSE length(d) BETWEEN 9 AND 15 END"""
+  WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND {LUHN} WHEN 'secret' THEN regexp_matches(found, '[0-9]|PRIVATE KEY') ELSE length(d) BETWEEN 9 AND 15 END"""
 TERM = quoted(disclosure.TERM)
 FOUND = " UNION ALL ".join(f"SELECT doc_id, text, {quoted(k)} AS kind, {i} AS kind_no, found, s, e FROM ({places('docs', 'doc_id, text', 'text', quoted(v))})" for i, (k, v) in enumerate(PLAIN.items()))
 OP8 = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-span AS (SELECT *, CASE WHEN kind = 'email' THEN kind || lower(found) ELSE kind || regexp_replace(found, '[^0-9.]', '', 'g') END AS entity FROM (SELECT *, {DIGITS} AS d FROM ({FOUND})) WHERE {VALID}),
-base AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind_no, s) AS spans, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+span AS (SELECT *, CASE WHEN kind = 'email' THEN kind || lower(found) WHEN kind = 'secret' THEN kind || found ELSE kind || regexp_replace(found, '[^0-9.]', '', 'g') END AS entity FROM (SELECT *, {DIGITS} AS d FROM ({FOUND})) WHERE {VALID}),
+base AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind_no, s) FILTER (WHERE kind <> 'secret') AS base_spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind_no, s) AS spans, count(*) FILTER (WHERE kind = 'secret') AS n_secret, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
   count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone FROM span GROUP BY doc_id),
 side AS (
   SELECT doc_id, entity, s - length(l) AS off, l AS part FROM (SELECT *, CASE WHEN s > {disclosure.REACH} THEN regexp_replace(substr(text, s - {disclosure.REACH} + 1, {disclosure.REACH}), '^\\S*', '') ELSE substr(text, 1, s) END AS l FROM span)
   UNION ALL SELECT doc_id, entity, e AS off, CASE WHEN length(text) > e + {disclosure.REACH} THEN regexp_replace(substr(text, e + 1, {disclosure.REACH}), '\\S*$', '') ELSE substr(text, e + 1, {disclosure.REACH}) END FROM span),
 near_all AS (SELECT doc_id, entity, lower(found) AS term, off + s AS s, off + e AS e FROM ({places('side', 'doc_id, entity, off', 'part', TERM)})),
 near_by AS (SELECT * FROM near_all w WHERE NOT EXISTS (SELECT 1 FROM span b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
-pairs AS (SELECT entity, term, count(*) AS n_te FROM near_by GROUP BY ALL HAVING count(DISTINCT doc_id) >= {disclosure.SUPPORT}),
+pairs AS (SELECT entity, term, count(*) AS n_te FROM near_by GROUP BY ALL),
 ent AS (SELECT entity, count(*) AS n_e FROM span GROUP BY entity),
 every_term AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM docs) GROUP BY term),
 inside AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(found), {TERM})) AS term FROM span) GROUP BY term),
 total AS (SELECT sum(length(text) - length(replace(text, ' ', '')) + 1)::DOUBLE AS n FROM docs),
 flagged AS (SELECT p.entity, p.term FROM pairs p JOIN ent USING (entity) JOIN every_term v USING (term) LEFT JOIN inside i USING (term), total t
-  WHERE log2(n_te * t.n / ((v.n - coalesce(i.n, 0)) * n_e)) / log2(t.n / n_e) >= {disclosure.GENERALISE_AT}),
-more AS (SELECT doc_id, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS spans FROM (SELECT DISTINCT w.doc_id, w.s, w.e FROM near_by w JOIN flagged USING (entity, term)) GROUP BY doc_id)
+  WHERE log2(n_te * t.n / (greatest(v.n - coalesce(i.n, 0), n_te) * n_e)) / log2(t.n / n_e) >= {disclosure.GENERALISE_AT}),
+more AS (SELECT doc_id, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS spans, count(*) AS n_term FROM (SELECT DISTINCT w.doc_id, w.s, w.e FROM near_by w JOIN flagged USING (entity, term)) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-  sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(concat_ws(',', b.spans, m.spans), '') AS spans
+  sha256(coalesce(b.base_spans, '')) AS base_sha256, coalesce(concat_ws(',', b.spans, m.spans), '') AS spans, coalesce(n_secret, 0)::BIGINT AS n_secret, coalesce(n_term, 0)::BIGINT AS n_term
 FROM docs d LEFT JOIN base b USING (doc_id) LEFT JOIN more m USING (doc_id)
 """
 

@@ -34,6 +34,18 @@ def test_factors_end_with_their_reference_block(spark):
     assert got == {i: (0, 50, 50)[i % 3] for i in range(60)}
 
 
+def test_rows_without_an_id_are_told_apart(spark):
+    """Many rows share no id or one id; none loses what only another one repeats."""
+    r = np.random.default_rng(9)
+    passage = " ".join(f"p{k}" for k in r.integers(0, 10**6, 90))
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) + (f" {passage}" if i % 2 else "") for i in range(1500)]
+    found = [(None if i % 3 else 7, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    got = rows(suffix.suffix_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert plain.same(got, plain.bytes5(found)) and sum(r[2] > 0 for r in got) == 750
+    assert all(x.n_removed == 0 for x in lempel.substring_dedup(df).collect())  # one document, and rows that refer to none
+
+
 @pytest.mark.parametrize("shard", [4096, 2])
 def test_suffix_dedup_is_exact(docs, shard):
     got = rows(suffix.suffix_dedup(docs, shard_segments=shard), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -142,10 +154,13 @@ def test_components(spark):
 
 def test_line_dedup(spark):
     pages = [("a", f"shared line\nown {i}\n\nown {i}") for i in range(20)] + [("b", "shared line\nx")] * 3 + [(None, "shared line")] * 6 + [("a", None), ("c", "")]
+    pages += [("d", "the only page\nof its host")] + [("e", f"rare\nown {i}" if i < 3 else f"own {i}") for i in range(30)] + [("f", f"rare\nown {i}" if i < 4 else f"own {i}") for i in range(30)]
     df = spark.createDataFrame([(i, h, t, "x") for i, (h, t) in enumerate(pages)], "page_id long, host string, text string, lines string")
     got = {r.page_id: (r.text, r.n_lines, r.n_dropped) for r in boilerplate.line_dedup(df).collect()}
     assert got[0] == ("own 0\n\nown 0", 4, 1)
-    assert got[20] == ("shared line\nx", 2, 0)  # too few pages
+    assert got[20] == ("", 2, 2)  # on all pages of a small host
+    assert got[31] == ("the only page\nof its host", 2, 0)
+    assert got[32] == ("rare\nown 0", 2, 0) and got[62] == ("own 0", 2, 1)  # a tenth of the pages, and more
     assert got[23] == ("", 1, 1)  # null is a host
     assert got[29] == (None, 0, 0) and got[30] == ("", 1, 0)
     assert boilerplate.line_dedup(df.limit(0)).count() == 0

@@ -64,7 +64,7 @@ def mix(rows):
         totals[r[3]] += n
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     target = water(dict(totals), {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)})
-    turn = [int(hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:12], 16) for r in rows]
+    turn = [int(hashlib.md5(f"mix:{'~' + (r[1] or '') if r[0] is None else r[0]}".encode()).hexdigest()[:12], 16) for r in rows]
     so_far, times = defaultdict(int), {}
     for k in sorted(range(len(rows)), key=lambda k: (turn[k], rows[k][0] or 0, size[k])):
         s = rows[k][3]
