@@ -12,6 +12,8 @@ columns don't matter.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +105,65 @@ OTHERS = (
     ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 2),
     ("copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 3),
 )
-#: Substrings of which any text with a detection has one.
-GATE = ("licen", "spdx", "cc by", "cc0", "copyright", "public domain", "rights reserved", "confidential", "released", "distributed", "available", "published", "provided", "offered", "shared", "under the", "subject to", "governed", "gpl", "creative commons", "general public", " only ", "or later", "later version")
+#: Sentences of the licenses themselves, by which a text is known that names none.
+SENTENCES = (
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this (?:software|material)", 2),
+    ("mit", "above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", 2),
+    ("mit", "without warranty of any kind", r"(?:software|work) is provided as is without warranty of any kind", 3),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 2),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 2),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of (?:the )?(?:[^ ]+ ){1,12}(?:nor the names of its contributors )?may be used to endorse or promote products", 2),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 2),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice", 3),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice", 3),
+    ("apache-2", "apache org licenses", r"(?:http|https) www apache org licenses license 2 0", 1),
+    ("apache-2", "except in compliance", r"you may not use this (?:file|work) except in compliance with the license", 2),
+    ("apache-2", "as is basis", r"distributed on an as is basis without warranties or conditions of any kind", 2),
+    ("apache-1.1", "includes software developed by the apache", r"this product includes software developed by the apache", 3),
+    ("gpl", "free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 1),
+    ("gpl", "free software foundation", r"as published by the free software foundation(?: either)?(?: version [123])?", 3),
+    ("gpl-2", "free software foundation", r"as published by the free software foundation (?:either )?version 2(?: of the license)?", 2),
+    ("gpl-3", "free software foundation", r"as published by the free software foundation (?:either )?version 3(?: of the license)?", 2),
+    ("gpl", "gnu org licenses", r"(?:http|https) www gnu org licenses gpl(?: html| txt)?", 2),
+    ("gpl-2", "gnu org licenses", r"(?:http|https) www gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?", 1),
+    ("gpl-3", "gnu org licenses", r"(?:http|https) www gnu org licenses gpl 3 0(?: html| txt)?", 1),
+    ("lgpl", "gnu org licenses", r"(?:http|https) www gnu org licenses lgpl(?: html| txt)?", 2),
+    ("agpl-3", "gnu org licenses", r"(?:http|https) www gnu org licenses agpl(?: 3 0)?(?: html| txt)?", 1),
+    ("agpl-3", "remote network interaction", r"remote network interaction use with the gnu general public license", 2),
+    ("lgpl", "this library is free software", r"this library is free software you can redistribute it and or modify it", 2),
+    ("mpl-2", "subject to the terms of the mozilla", r"this source code form is subject to the terms of the mozilla public license", 1),
+    ("mpl-2", "mozilla org mpl", r"(?:http|https) (?:www )?mozilla org mpl 2 0", 1),
+    ("mpl-1.1", "mozilla org mpl", r"(?:http|https) (?:www )?mozilla org mpl(?: mpl 1 1)?", 2),
+    ("epl-1", "eclipse org legal", r"(?:http|https) www eclipse org legal epl v10(?: html)?", 1),
+    ("epl-2", "eclipse org legal", r"(?:http|https) www eclipse org legal epl 2 0", 1),
+    ("boost-1", "boost org license", r"(?:http|https) www boost org license 1 0 txt", 1),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original", 2),
+    ("zlib", "provided as is", r"this software is provided as is without any express or implied warranty", 3),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 1),
+    ("wtfpl", "what the", r"do what the f[^ ]{1,3} you want to public license", 1),
+    ("cc0", "publicdomain zero", r"creativecommons org publicdomain zero 1 0", 1),
+    ("cc0", "waived all copyright", r"has waived all copyright and related or neighboring rights", 2),
+    ("cc-by", "creativecommons org licenses", r"creativecommons org licenses by [1-4] [05]", 1),
+    ("cc-by-sa", "creativecommons org licenses", r"creativecommons org licenses by sa [1-4] [05]", 1),
+    ("cc-by-nd", "creativecommons org licenses", r"creativecommons org licenses by nd [1-4] [05]", 1),
+    ("cc-by-nc", "creativecommons org licenses", r"creativecommons org licenses by nc [1-4] [05]", 1),
+    ("cc-by-nc-sa", "creativecommons org licenses", r"creativecommons org licenses by nc sa [1-4] [05]", 1),
+    ("cc-by-nc-nd", "creativecommons org licenses", r"creativecommons org licenses by nc nd [1-4] [05]", 1),
+    ("ofl-1.1", "reserved font name", r"with reserved font names?", 2),
+    ("ofl-1.1", "openfontlicense", r"(?:http|https) openfontlicense org", 1),
+    ("ofl-1.1", "scripts sil org", r"(?:http|https) scripts sil org ofl", 1),
+    ("gfdl", "invariant sections", r"with no invariant sections(?: no front cover texts)?", 2),
+    ("odbl-1", "opendatacommons", r"opendatacommons org licenses odbl(?: 1 0)?", 1),
+    ("odc-by-1", "opendatacommons", r"opendatacommons org licenses by(?: 1 0)?", 1),
+    ("pddl-1", "opendatacommons", r"opendatacommons org licenses pddl(?: 1 0)?", 1),
+    ("ms-pl", "microsoft", r"microsoft public license ms pl", 2),
+    ("proprietary", "prior written", r"(?:reproduction|redistribution|copying|distribution) (?:of [^ ]+ )?(?:is )?(?:strictly )?prohibited without (?:the )?prior written (?:permission|consent)", 2),
+    ("proprietary", "trade secret", r"contains (?:confidential information and )?trade secrets? of", 3),
+    ("all-rights-reserved", "no part of", r"no part of this (?:publication|book|work|document) may be reproduced", 2),
+    ("public-domain", "no known copyright", r"no known copyright restrictions", 2),
+)
+#: Substrings of which any text with a detection by name has one; the keywords of all other rules are added to them.
+GATE = ("licen", "spdx", "released", "distributed", "available", "published", "provided", "offered", "shared", "under the", "subject to", "governed", " only ", "or later", "later version")
 SCORES = {1: 1.0, 2: 0.7, 3: 0.4}
 
 
@@ -115,7 +174,7 @@ def rules() -> list[tuple[str, str, str, int]]:
         out += [(label, keyword, form.replace("{}", name), level) for form, level in FORMS]
         if keyword in TELLING:
             out.append((label, keyword, name, 3))
-    return out + list(OTHERS)
+    return out + list(OTHERS + SENTENCES)
 
 
 def keywords(label: str, keyword: str) -> tuple[str, ...]:
@@ -124,7 +183,9 @@ def keywords(label: str, keyword: str) -> tuple[str, ...]:
 
 
 def gate_words() -> tuple[str, ...]:
-    return (*GATE, *(k for k in dict.fromkeys(r[1] for r in rules()) if k in TELLING))
+    """Of which any text with a detection holds one: a form's own word, or the keyword of a rule that isn't a form."""
+    alone = [r[1] for r in OTHERS + SENTENCES] + [k for _, k, _ in NAMES + COMMONS + COMMONS_WORDS if k in TELLING]
+    return (*GATE, *(k for k in dict.fromkeys(alone) if not any(g in k for g in GATE)))
 
 
 def normal(text: Column) -> Column:
@@ -146,11 +207,12 @@ DETECTION = "array<struct<start:int,back:int,level:int,label:string>>"
 
 
 def _rule_table() -> Column:
-    """The rules by keywords: array of (keywords, rules of them)."""
+    """The rules by keywords, as one constant: array of (keywords, rules of them)."""
     groups: dict[tuple[str, ...], list] = {}
     for label, keyword, pattern, level in rules():
-        groups.setdefault(keywords(label, keyword), []).append(F.struct(F.lit(label).alias("label"), F.lit(_pattern(pattern)).alias("pattern"), F.lit(level).alias("level")))
-    return F.array(*[F.struct(F.array(*map(F.lit, k)).alias("keywords"), F.array(*v).alias("rules")) for k, v in groups.items()])
+        groups.setdefault(keywords(label, keyword), []).append({"label": label, "pattern": _pattern(pattern), "level": level})
+    table = json.dumps([{"keywords": k, "rules": v} for k, v in groups.items()])
+    return F.from_json(F.lit(table), "array<struct<keywords:array<string>,rules:array<struct<label:string,pattern:string,level:int>>>>")
 
 
 def detections(padded: Column) -> Column:

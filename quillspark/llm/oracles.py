@@ -74,13 +74,13 @@ def located(source: str, keep: str) -> str:
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {source})"""
 
 
-RULES = ", ".join(f"({quoted(label)}, {quoted(keyword)}, {quoted(doubled(pattern))}, {level})" for label, keyword, pattern, level in licenses.rules())
+RULES = ", ".join(f"({quoted(label)}, {quoted(keyword)}, {quoted(licenses.keywords(label, keyword)[-1])}, {quoted(doubled(pattern))}, {level})" for label, keyword, pattern, level in licenses.rules())
 PHRASES = ", ".join(f"({quoted(label)}, {quoted(doubled(phrase))})" for phrase, label in licenses.BASE)
 OP4 = rf"""
 WITH n AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS w FROM documents),
 t AS (SELECT doc_id, ' ' || w || ' ' AS single, ' ' || replace(w, ' ', '  ') || ' ' AS t, CASE WHEN w = '' THEN 0 ELSE length(w) - length(replace(w, ' ', '')) + 1 END AS n_words FROM n),
-rules(label, keyword, pattern, level) AS (VALUES {RULES}), phrases(label, pattern) AS (VALUES {PHRASES}),
-hit AS (SELECT doc_id, label, level, regexp_split_to_array(t, pattern) AS p, regexp_extract_all(t, pattern) AS m FROM t JOIN rules ON contains(single, keyword) WHERE regexp_matches(t, pattern)),
+rules(label, keyword, also, pattern, level) AS (VALUES {RULES}), phrases(label, pattern) AS (VALUES {PHRASES}),
+hit AS (SELECT doc_id, label, level, regexp_split_to_array(t, pattern) AS p, regexp_extract_all(t, pattern) AS m FROM t JOIN rules ON (contains(single, keyword) OR contains(single, also)) WHERE regexp_matches(t, pattern)),
 det AS ({located('hit', 'doc_id, label, level')}),
 alone AS (SELECT * FROM (SELECT *, max(last) OVER (PARTITION BY doc_id, level ORDER BY first, last DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM det) WHERE before IS NULL OR last > before),
 k1 AS (SELECT doc_id, label, level, first, last FROM alone WHERE level = 1),

@@ -201,7 +201,13 @@ def test_license_prefilters_let_every_form_pass(spark):
     for label, keyword, pattern, _ in (r for r in licenses.rules() if r[3] == 3):
         for example in examples(pattern):
             assert any(k in example for k in licenses.keywords(label, keyword)) and any(g in f" {example} " for g in gate), example
-    texts = {"licensed under the Expat license": "mit", "released under ASL 2.0": "apache-2", "MPL 2.0 or any later version": "mpl-2", "Apache 2 or any later version": "apache-2", "BSD or any later version": "bsd"}
+    for label, keyword, pattern, _ in licenses.SENTENCES:
+        for example in examples(re.sub(r"\(\?:\[\^ \]\+ \)\{1,12\}", "some body ", pattern).replace("[^ ]{1,3}", "un").replace("[^ ]+", "it")):
+            assert re.fullmatch(pattern, example), example
+            assert any(k in example for k in licenses.keywords(label, keyword)) and any(g in f" {example} " for g in gate), example
+    texts = {"licensed under the Expat license": "mit", "released under ASL 2.0": "apache-2", "MPL 2.0 or any later version": "mpl-2", "Apache 2 or any later version": "apache-2", "BSD or any later version": "bsd", "code under bsd 3 clause or any later version": "bsd-3-clause", "artistic 2 or any later version": "artistic-2"}
+    texts |= {"Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit", "see https://creativecommons.org/licenses/by-nc/4.0/": "cc-by-nc"}
+    texts |= {"Neither the name of Some Body nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause"}
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values()))
 
