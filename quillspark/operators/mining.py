@@ -45,7 +45,7 @@ def with_fallback(layout: DataFrame, plain: DataFrame) -> DataFrame:
 
 def tag_scope(citations: DataFrame, labels: DataFrame) -> DataFrame:
     """citations with a column kind. labels (doc_id, i, kind) come from an injected model; i counts a document's citations from 0."""
-    i = F.row_number().over(W.partitionBy("doc_id").orderBy("id")) - 1
+    i = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "seg_ord", "sent_ord", "pos")) - 1  # ids are text: c10000 sorts before c9999
     usable = labels.where(F.col("kind") == "non_checkable").select("doc_id", "i", "kind").distinct()
     return citations.withColumn("i", i).join(usable, ["doc_id", "i"], "left").withColumn("kind", F.coalesce("kind", F.lit("empirical"))).drop("i")
 

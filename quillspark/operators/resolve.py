@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -59,32 +60,64 @@ def likeness(a: str, b: str) -> float:
 
 
 def title_scores(refs: DataFrame, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """key, path, path_ord, score of the pairs from ``threshold`` on. Distinct titles are compared once.
+    """key, path, path_ord, score: of each reference, the two best files from ``threshold`` on (more where scores tie). Distinct titles are compared once.
 
-    Titles as like as that differ in length by a bounded factor, so pairs meet by bands of length (a band and its neighbours);
-    bands are few and so dealt over ``DEALT`` parts. Sharing too few characters rules a pair out before it is scored.
+    Titles as like as that differ in length by a bounded factor, so pairs meet by bands of length (a file's title goes to its band and
+    both neighbours), and references are dealt over ``DEALT`` parts of a band. Within a part, the characters that two titles share
+    bound their likeness; pairs are scored in falling order of the bound, until it is below the second best score.
     """
     step = (2 - threshold) / threshold
     band = F.floor(F.log(F.length("t")) / F.log(F.lit(step))).cast("int")
-    wanted = refs.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("a"), F.pmod(F.xxhash64("t"), F.lit(DEALT)).alias("part"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    have = files.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("b"), band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")).alias("part"))
-    pairs = wanted.join(have, ["band", "part"]).where(2 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b"))).select("a", "b")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                m = SequenceMatcher(None, a, b)
-                out.append(m.ratio() if m.quick_ratio() >= threshold else 0.0)
-            batch["score"] = out
-            yield batch[batch["score"] >= threshold]
-
-    scored = pairs.mapInPandas(score, "a string, b string, score double")
+    wanted = refs.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("a"), band.alias("band"), F.pmod(F.xxhash64("t"), F.lit(DEALT)).alias("part"))
+    have = files.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    have = have.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")))
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [(a, b, s) for a, found in zip(left["a"], best_two(left["a"].tolist(), right["b"].tolist(), threshold), strict=True) for b, s in found]
+        return pd.DataFrame(out, columns=["a", "b", "score"])
+
+    scored = wanted.groupBy("band", "part").cogroup(have.groupBy("band", "part")).applyInPandas(score, "a string, b string, score double")
     r = refs.where("title != ''").select("key", I.norm_title(F.col("title")).alias("a"))
     f = files.where("title != ''").select("path", "path_ord", I.norm_title(F.col("title")).alias("b"))
     return r.join(scored, "a").join(f, "b").select("key", "path", "path_ord", "score")
 
 
+def letters(titles: list[str]) -> np.ndarray:
+    """How often each of 64 kinds of character stands in each title."""
+    out = np.zeros((len(titles), 64), np.int16)
+    for i, t in enumerate(titles):
+        points = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
+        out[i] = np.bincount(points % 64, minlength=64)
+    return out
+
+
+def best_two(wanted: list[str], have: list[str], threshold: float) -> Iterator[list[tuple[str, float]]]:
+    """For each wanted title, the titles of its two highest scores, ties included, from ``threshold`` on."""
+    sizes, kinds = np.array([len(b) for b in have]), letters(have)
+    for a, own in zip(wanted, letters(wanted), strict=True):
+        found: list[tuple[str, float]] = []
+        if len(have):
+            bound = 2 * np.minimum(kinds, own).sum(1) / (sizes + len(a))
+            likely = np.flatnonzero(bound >= threshold)
+            least = threshold
+            for i in likely[np.argsort(-bound[likely], kind="stable")].tolist():
+                if bound[i] < least:
+                    break
+                matcher = SequenceMatcher(None, a, have[i])
+                if matcher.quick_ratio() >= least and (s := matcher.ratio()) >= least:
+                    found.append((have[i], s))
+                    if len(found) > 1:
+                        least = max(threshold, sorted((x for _, x in found), reverse=True)[1])
+                        found = [x for x in found if x[1] >= least]
+        yield found
+
+
+def last_by_key(refs: DataFrame) -> DataFrame:
+    """One reference for each key: of several, the last counts."""
+    rest = [c for c in refs.columns if c != "key"]
+    return refs.groupBy("key").agg(F.max_by(F.struct(*rest), "ref_ord").alias("r")).select("key", "r.*")
+
+
 def gate(scores: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """key, path, status: the best file, unless the next one is too close (ambiguous, no path)."""
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "path_ord"))
@@ -96,6 +129,7 @@ def gate(scores: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN
 
 def match_files(refs: DataFrame, files: DataFrame, titles: bool = True) -> DataFrame:
     """key, path, resolution of each reference. Titles are compared only for references that neither DOI nor name resolves."""
+    refs = last_by_key(refs)
     exact = by_doi(refs, files).select("key", F.col("path").alias("doi_path"))
     named = by_slug(refs, files).select("key", F.col("path").alias("slug_path"))
     known = refs.select("key").distinct().join(exact, "key", "left").join(named, "key", "left").withColumn("path", F.coalesce("doi_path", "slug_path"))

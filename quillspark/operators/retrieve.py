@@ -26,7 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))  # a zero vector is like nothing
 
 
 def top_in_source(claims: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -60,14 +60,26 @@ def highlights(passages: DataFrame, pages: DataFrame) -> DataFrame:
     """
     p = passages.select("passage_id", "source_id", "snippet", F.col("page").alias("asked"))
     both = p.join(pages, "source_id").withColumn("here", F.col("asked").isNull() | (F.col("asked") == F.col("page")))
-    whole = both.where("here").select("passage_id", "source_id", "page", F.lit(0).alias("tier"), (F.instr("text", F.col("snippet")) - 1).alias("start"), F.length("snippet").alias("length"))
+    whole = both.where("here").select("passage_id", "source_id", "page", "text", F.lit(0).alias("tier"), F.col("snippet").alias("f"))
     parts = both.select("passage_id", "source_id", "page", "text", F.when(F.col("here"), 1).otherwise(2).alias("tier"), F.explode(fragments(F.col("snippet"))).alias("f"))
-    parts = parts.select("passage_id", "source_id", "page", "tier", (F.instr("text", F.col("f")) - 1).alias("start"), F.length("f").alias("length"))
-    found = whole.unionByName(parts).where("start >= 0 and length > 0")
+    found = whole.unionByName(parts).where(F.col("f") != "").select("passage_id", "source_id", "page", "tier", F.explode(places(F.col("text"), F.col("f"))).alias("start"), F.length("f").alias("length"))
     best = F.min("tier").over(W.partitionBy("passage_id"))
     return found.withColumn("best", best).where("tier = best").select("passage_id", "source_id", "page", "start", "length")
 
 
+def places(text: Column, needle: Column) -> Column:
+    """Starts of all places of a string that isn't empty, from the left and not overlapping: what lies between them are the pieces of a split."""
+    literal = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    sizes = F.transform(F.split(text, literal, -1), F.length)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, size: Column) -> Column:
+        at = acc["at"] + size
+        return F.struct((at + F.length(needle)).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    return F.when(F.contains(text, needle), F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
+
+
 def target_page(first_found: Column, asked: Column, pages: Column) -> Column:
     """The page to show: where something was found, else the one asked for, else the first; within the document."""
     return F.least(F.greatest(F.coalesce(first_found, asked, F.lit(1)), F.lit(1)), pages)

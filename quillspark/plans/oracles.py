@@ -224,7 +224,7 @@ HOST_PARTS = r"""hst AS (SELECT page_id, base, lower(regexp_replace(regexp_extra
 oct AS (SELECT *, [TRY_CAST(o AS INT) FOR o IN string_split(host, '.')] AS o FROM hst)"""
 
 ORACLES: dict[str, str] = {
-    "coverage": f"WITH {CHECKS}, {REFS}, {FILES}, {BY_DOI}, {BY_SLUG}, {MATCH}, {FOUND} SELECT CASE WHEN found_key IS NULL THEN 'unresolved_marker' ELSE resolution END AS bucket, count(*) AS n FROM fnd LEFT JOIN mat ON found_key = mat.key GROUP BY 1",
+    "coverage_by_identifier": f"WITH {CHECKS}, {REFS}, {FILES}, {BY_DOI}, {BY_SLUG}, {MATCH}, {FOUND} SELECT CASE WHEN found_key IS NULL THEN 'unresolved_marker' ELSE resolution END AS bucket, count(*) AS n FROM fnd LEFT JOIN mat ON found_key = mat.key GROUP BY 1",
     "strip_line_numbers": f"WITH {PAGES} SELECT doc_id, page, md5({NO_NUMBERS.format('text')}) AS body FROM pages_of",
     "split_sentences": f"WITH {SENT} SELECT doc_id, CAST(i AS BIGINT) AS i, s FROM sent",
     "numeric_markers": f"WITH {MARKED}, m AS ({rows('marked', 'doc_id, i', f'regexp_extract_all(t, {NUM}, 1)', 'm', 'g')}) SELECT doc_id, CAST(i AS BIGINT) AS i, CAST(g AS BIGINT) AS g, array_to_string({number_keys('m')}, '|') AS keys FROM m",
@@ -273,7 +273,7 @@ ORACLES: dict[str, str] = {
     "unresolved_marker": f"WITH {CHECKS}, {REFS}, {FOUND} SELECT doc_id, count(*) AS checks, count(*) FILTER (WHERE found_key IS NULL) AS unresolved FROM fnd GROUP BY doc_id",
     "join_doi_exact": f"WITH {REFS}, {FILES}, {BY_DOI} SELECT key, path FROM bydoi",
     "join_doi_slug_prefix": f"WITH {REFS}, {FILES}, {BY_SLUG} SELECT key, path FROM byslug",
-    "match_files": f"WITH {REFS}, {FILES}, {BY_DOI}, {BY_SLUG}, {MATCH} SELECT * FROM mat",
+    "match_by_identifier": f"WITH {REFS}, {FILES}, {BY_DOI}, {BY_SLUG}, {MATCH} SELECT * FROM mat",
     "top2_margin": """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, (event_id * 37 % 1000)::DOUBLE / 1000 - CASE WHEN event_id % 40 = 0 THEN 0 ELSE 0.3::DOUBLE END AS score FROM events),
         r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, event_id) AS k FROM s WHERE score >= 0.62),
         t AS (SELECT a.key, a.event_id, coalesce(a.score - b.score < 0.08, false) AS close FROM r a LEFT JOIN r b ON a.key = b.key AND b.k = 2 WHERE a.k = 1)
@@ -298,11 +298,13 @@ ORACLES: dict[str, str] = {
         {R.pick('user_id', ('supported', 'partially', 'overstated', 'unsupported'))} AS said FROM events)
         SELECT CASE WHEN away THEN 'not_a_claim' WHEN resolution <> 'resolved' OR NOT has_path THEN resolution WHEN failed THEN 'unreadable_source' WHEN n = 0 THEN 'not_found' ELSE said END AS bucket, count(*) AS n FROM e GROUP BY 1""",
     "highlight_spans": f"""WITH pg AS (SELECT doc_id, 1 AS page, substr(text, 1, 1500) AS text FROM documents UNION ALL SELECT doc_id, 2, substr(text, 1501) FROM documents),
-        ps AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 40, 120) WHEN 1 THEN 'Not there. ' || substr(text, 60, 90) ELSE 'zq ' || substr(text, 1, 20) END AS snippet, CASE WHEN doc_id % 2 = 0 THEN 1 END AS asked FROM documents WHERE length(text) > 200),
+        ps AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 40, 120) WHEN 1 THEN 'Not there. ' || substr(text, 60, 90) ELSE 'zq ' || substr(text, 1, 20) END AS snippet, CASE WHEN doc_id % 2 = 0 THEN 1 END AS asked FROM documents WHERE text IS NOT NULL),
         b AS (SELECT ps.doc_id, page, text, snippet, asked IS NULL OR asked = page AS here FROM ps JOIN pg USING (doc_id)),
         f AS (SELECT DISTINCT doc_id, page, text, here, unnest({FRAGMENTS}[1:20]) AS f FROM b),
-        a AS (SELECT doc_id, page, 0 AS tier, strpos(text, snippet) - 1 AS start, length(snippet) AS length FROM b WHERE here UNION ALL SELECT doc_id, page, CASE WHEN here THEN 1 ELSE 2 END, strpos(text, f) - 1, length(f) FROM f),
-        g AS (SELECT *, min(tier) OVER (PARTITION BY doc_id) AS best FROM a WHERE start >= 0)
+        asked_for AS (SELECT doc_id, page, text, 0 AS tier, snippet AS f FROM b WHERE here UNION ALL SELECT doc_id, page, text, CASE WHEN here THEN 1 ELSE 2 END, f FROM f),
+        cut AS (SELECT doc_id, page, tier, f, string_split(text, f) AS p FROM asked_for WHERE f <> '' AND contains(text, f)),
+        a AS (SELECT doc_id, page, tier, length(f) AS length, CAST(list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * length(f) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(p))) AS i FROM cut)),
+        g AS (SELECT *, min(tier) OVER (PARTITION BY doc_id) AS best FROM a)
         SELECT doc_id AS passage_id, page, count(*) AS spans, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(length) AS BIGINT) AS lengths FROM g WHERE tier = best GROUP BY ALL""",
     "render_target_page": """SELECT event_id, CAST(least(greatest(coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 20 END, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 40 - 4 END, 1), 1), 1 + event_id % 12) AS INT) AS page FROM events""",
     "oa_response": f"WITH {LOOKUPS} SELECT key, u AS unpaywall, a AS openalex, found AS status, url AS pdf_url FROM loc",

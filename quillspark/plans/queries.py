@@ -32,14 +32,23 @@ def _joined(x, by: str = "|"):
 
 def _key_counts(spark, sf) -> DataFrame:
     """ref_key, n: keys with the number of checks that name them. Texts are mined once; resolving works on the keys, which are few."""
-    return D.checks(spark, sf).groupBy("ref_key").agg(F.count(F.lit(1)).alias("n")).persist()
+    return D.checks(spark, sf).groupBy("ref_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bucketed(found: DataFrame) -> DataFrame:
+    return found.groupBy(judge.bucket(F.lit("unchecked"), F.col("resolution")).alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 @query
 def coverage(spark, sf):
     """Citations of all documents by the bucket they end in."""
-    found = resolve.resolve(_key_counts(spark, sf), D.references(spark, sf), D.files(spark, sf), titles=False)
-    return found.groupBy(judge.bucket(F.lit("unchecked"), F.col("resolution")).alias("bucket")).agg(F.sum("n").alias("n"))
+    return _bucketed(resolve.resolve(_key_counts(spark, sf), D.references(spark, sf), D.files(spark, sf)))
+
+
+@query
+def coverage_by_identifier(spark, sf):
+    """The same without likeness of titles, which SQL can't express."""
+    return _bucketed(resolve.resolve(_key_counts(spark, sf), D.references(spark, sf), D.files(spark, sf), titles=False))
 
 
 @query
@@ -261,16 +270,21 @@ def join_doi_slug_prefix(spark, sf):
 
 @query
 def match_files(spark, sf):
+    """Every reference's file: by DOI, by name, or by title."""
+    return resolve.match_files(D.references(spark, sf), D.files(spark, sf))
+
+
+@query
+def match_by_identifier(spark, sf):
+    """The same by DOI and name alone, which SQL can express."""
     return resolve.match_files(D.references(spark, sf), D.files(spark, sf), titles=False)
 
 
 @query
 def join_title_fuzzy(spark, sf):
-    """Titles from benchmark items against variants of them."""
-    items = D.table(spark, sf, "benchmark")
-    refs = items.selectExpr("concat(item_id, '') AS key", "substring(text, 1, 60) AS title")
-    files = items.selectExpr("concat('refs/', item_id, '.pdf') AS path", "item_id AS path_ord", "CASE item_id % 4 WHEN 0 THEN upper(substring(text, 4, 60)) WHEN 1 THEN concat(substring(text, 1, 30), ' something else') WHEN 2 THEN NULL ELSE substring(text, 40, 60) END AS title")
-    gated = resolve.gate(resolve.title_scores(refs, files))
+    """Titles of all references against those of all files."""
+    refs = D.references(spark, sf)
+    gated = resolve.gate(resolve.title_scores(refs, D.files(spark, sf)))
     return refs.select("key").join(gated, "key", "left").select("key", "path", F.coalesce("status", F.lit("no_pdf")).alias("resolution"))
 
 
@@ -368,7 +382,7 @@ def check_pipeline(spark, sf):
 
 
 def _passages(spark, sf) -> DataFrame:
-    docs = D.table(spark, sf, "documents").where("length(text) > 200")
+    docs = D.table(spark, sf, "documents").where("text IS NOT NULL")
     return docs.selectExpr("doc_id AS passage_id", "doc_id AS source_id", "CASE doc_id % 3 WHEN 0 THEN substring(text, 40, 120) WHEN 1 THEN concat('Not there. ', substring(text, 60, 90)) ELSE concat('zq ', substring(text, 1, 20)) END AS snippet", "CASE WHEN doc_id % 2 = 0 THEN 1 ELSE NULL END AS page")
 
 

@@ -75,6 +75,8 @@ def test_chunks_and_top(spark):
     vec = spark.createDataFrame([("s", 0, [1.0, 0.0]), ("s", 1, [0.0, 1.0]), ("s", 2, [1.0, 0.0]), ("t", 0, [1.0, 0.0])], "source_id string, chunk_ord int, vector array<double>")
     claims = spark.createDataFrame([("q", "s", [1.0, 0.1])], "claim_id string, source_id string, vector array<double>")
     assert [(r.rank, r.chunk_ord) for r in retrieve.top_in_source(claims, vec, 2).orderBy("rank").collect()] == [(1, 0), (2, 2)]
+    nothing = claims.select("claim_id", "source_id", F.array(F.lit(0.0), F.lit(0.0)).alias("vector"))
+    assert [(r.chunk_ord, r.score) for r in retrieve.top_in_source(nothing, vec, 2).orderBy("rank").collect()] == [(0, 0.0), (1, 0.0)]
 
 
 def test_highlights(spark):
@@ -83,6 +85,11 @@ def test_highlights(spark):
     passages = spark.createDataFrame([("p1", "s", "whole snippet", 1), ("p2", "s", snippet, 2), ("p3", "s", snippet, 1), ("p4", "s", "absent", None)], "passage_id string, source_id string, snippet string, page int")
     got = sorted((r.passage_id, r.page, r.start, r.length) for r in retrieve.highlights(passages, pages).collect())
     assert got == [("p1", 1, 4, 13), ("p2", 2, 0, 36), ("p3", 2, 0, 36)]
+    pages = spark.createDataFrame([("s", 1, r"a.b \\E a.b aXb aaa"), ("s", 2, "a.b")], "source_id string, page int, text string")
+    asked = spark.createDataFrame([("q1", "s", "a.b", None), ("q2", "s", "aa", 1), ("q3", "s", r"\\E", 1), ("q4", "s", "", 1)], "passage_id string, source_id string, snippet string, page int")
+    got = sorted((r.passage_id, r.page, r.start, r.length) for r in retrieve.highlights(asked, pages).collect())
+    text = r"a.b \\E a.b aXb aaa"
+    assert got == [("q1", 1, 0, 3), ("q1", 1, text.rindex("a.b"), 3), ("q1", 2, 0, 3), ("q2", 1, text.index("aaa"), 2), ("q3", 1, text.index("\\"), len(r"\\E"))]
     many = " ".join(f"Fragment number {i} is long enough to count." for i in range(30))
     assert len(spark.createDataFrame([(many,)], "t string").select(retrieve.fragments(F.col("t"))).first()[0]) == 20
 
