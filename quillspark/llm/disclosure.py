@@ -19,6 +19,9 @@ other columns don't matter.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,9 @@ SECRET = "|".join(
         rf"(?:{_NAMES})[\"']?[\x20\x09]*[:=][\x20\x09]*[\"']?[!#-&(-~]{{8,}}",
     )
 )
+#: Every match has one of these, as it stands or in lower case; texts without are not searched.
+SECRET_MARKS = ("AKIA", "ASIA", "AROA", "AIDA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "AIza", "k_live_", "k_test_", "sk-", "eyJ", "PRIVATE KEY")
+SECRET_NAMES = ("passw", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key")
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
 #: Parameters of the sanitisation: characters looked at on either side of an entity, thresholds.
@@ -104,7 +110,9 @@ def identifiers(text: Column, kind: str) -> Column:
 
 def secrets(text: Column) -> Column:
     """Spans of keys, tokens and passwords."""
-    hits = F.when(text.rlike(SECRET), places(text, F.lit(SECRET))).otherwise(nowhere())
+    low = F.lower(text)
+    may = reduce(or_, [F.contains(text, F.lit(x)) for x in SECRET_MARKS] + [F.contains(low, F.lit(x)) for x in SECRET_NAMES])
+    hits = F.when(may, places(text, F.lit(SECRET))).otherwise(nowhere())
     telling = F.filter(hits, lambda h: h["found"].rlike("[0-9]|PRIVATE KEY"))
     return F.transform(telling, lambda h: F.struct(F.lit("secret").alias("kind"), h["start"].alias("start"), h["end"].alias("end"), h["found"].alias("found"))).cast(SPAN)
 
