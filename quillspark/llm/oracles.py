@@ -179,6 +179,42 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT A
 FROM w LEFT JOIN kept k USING (doc_id)
 """
 
+OP11 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, 1 AS m, unnest(w) AS p FROM w
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM w WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM w WHERE len(w) > 2),
+f AS (SELECT lang, m, p, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, m, p, a, string_split(p, ' ') AS w FROM f WHERE m > 1),
+cuts AS (
+  SELECT lang, m, p, a, 1 AS k, w[1] AS first, array_to_string(w[2:], ' ') AS rest FROM c
+  UNION ALL SELECT lang, m, p, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE m = 3),
+scored AS (
+  SELECT u.lang, u.m, u.p, u.a, x.a AS l, y.a AS r, (1000000::HUGEINT * u.a * u.a) // (x.a * y.a) AS score, u.k
+  FROM cuts u JOIN f x ON u.lang = x.lang AND u.first = x.p JOIN f y ON u.lang = y.lang AND u.rest = y.p),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_phrases AS (SELECT lang, w[1] || ' ' || w[2] AS p, a FROM c WHERE m = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE m = 3),
+free AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = low.lang AND i.p = low.p AND low.m = 2 AND 100 * i.a >= 50 * low.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM free)
+SELECT lang, rank::BIGINT AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+OP12 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+links AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT e.vec_id, coalesce(links.n, 0)::BIGINT AS n_links, coalesce(low.y, e.vec_id) AS component_id, e.vec_id = coalesce(low.y, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN links ON links.x = e.vec_id LEFT JOIN low ON low.x = e.vec_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_site_line_dedup": OP1,
     "op3_weighted_fair_mix": OP3,
@@ -187,4 +223,6 @@ ORACLES: dict[str, str] = {
     "op8_disclosure_sanitiser": OP8,
     "op9_jaccard_rtree_join": OP9,
     "op10_substring_dedup": OP10,
+    "op11_phrase_collocations": OP11,
+    "op12_near_vectors": OP12,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, boilerplate, disclosure, fairmix, fertility, lempel, licenses, packing, rtree, suffix
+from . import audio, boilerplate, disclosure, fairmix, fertility, lempel, licenses, packing, phrases, polytope, rtree, suffix
 from .oracles import ORACLES
 from .scratch import written
 
@@ -60,6 +60,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel.substring_dedup(documents(spark, sf_dir), with_text=False)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_line_dedup": op1_site_line_dedup,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_disclosure_sanitiser": op8_disclosure_sanitiser,
     "op9_jaccard_rtree_join": op9_jaccard_rtree_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_near_vectors": op12_near_vectors,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

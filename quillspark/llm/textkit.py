@@ -60,9 +60,9 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
             at = end
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the row it is in; words never cross rows."""
-    inside = ~SPACE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the row it is in; words never cross rows. space: which bytes part words."""
+    inside = ~space[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()

@@ -137,3 +137,64 @@ def key(row):
 
 def same(got, want):
     return sorted(map(key, got)) == sorted(map(key, want))
+
+
+def collocations11(rows, least=10, most=3, inside=50, top=2000):
+    """rows: (text, lang)."""
+    f, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOWER_TEXT)):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            n[lang] += len(w)
+            f[lang].update(tuple(w[i : i + m]) for m in range(1, most + 1) for i in range(len(w) - m + 1))
+    out = []
+    for lang, c in f.items():
+        candidates = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        longer = collections.Counter()
+        for p, a in candidates.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    longer[p[i : i + m]] = max(longer[p[i : i + m]], a)
+        found = []
+        for p, a in candidates.items():
+            if not longer[p] or 100 * longer[p] < inside * a:
+                score, k = min((1000000 * a * a // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out += [(lang, i, p.decode(), -a, l, r, n[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(found)[:top], 1)]
+    return out
+
+
+LOWER_TEXT = {c: c + 32 for c in range(65, 91)}
+
+
+def vectors12(rows, cosine=0.93):
+    """rows: (vec_id, vector, label); compares all pairs."""
+    import math
+
+    def unit(v, label):
+        if v is None or label is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        most = max(map(abs, v))
+        v = [x / most for x in v]
+        norm = math.sqrt(sum(x * x for x in v))
+        return [x / norm for x in v]
+
+    units = [unit(v, label) for _, v, label in rows]
+    links = [[] for _ in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if units[a] and units[b] and rows[a][2] == rows[b][2] and len(units[a]) == len(units[b]) and sum(x * y for x, y in zip(units[a], units[b])) >= cosine:
+                links[a].append(b)
+                links[b].append(a)
+    out = []
+    for a in range(len(rows)):
+        seen, queue = {a}, [a]
+        while queue:
+            for b in links[queue.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    queue.append(b)
+        least = min((rows[b][0] for b in seen if rows[b][0] is not None), default=None)
+        out.append((rows[a][0], len(links[a]), least, least == rows[a][0]))
+    return out
