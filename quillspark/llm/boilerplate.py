@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import free_name, written
 
 MAX_RATIO = 0.1
 MIN_PAGES = 2
@@ -66,18 +66,17 @@ def line_dedup(pages: DataFrame, host_col: str = "host", text_col: str = "text",
 
     Without ``copies``, equal texts of a host count as one page, so that lines repeated only by whole copies stay.
     """
-    site = F.struct(F.col(host_col).cast("string").alias("h"))
-    found = written(boilerplate(pages, host_col, text_col, max_ratio, min_pages, copies), "site-lines").select(F.col("site").alias("__site"), F.col("lines").alias("__drop"))
-    kept_names = pages.columns
-    joined = pages.withColumn("__key", site).join(found, F.col("__key") == F.col("__site"), "left")
+    own = free_name(pages.columns)
+    key, drop, text = f"{own}_key", f"{own}_drop", f"{own}_text"
+    found = written(boilerplate(pages, host_col, text_col, max_ratio, min_pages, copies), "site-lines").select(F.col("site").alias(f"{own}_site"), F.col("lines").alias(drop))
+    joined = pages.withColumn(key, F.struct(F.col(host_col).cast("string").alias("h"))).join(found, F.col(key) == F.col(f"{own}_site"), "left")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), _line(x)))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("__text", text)
-    shown = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept_names]
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(drop), _line(x)))
+    out = joined.withColumn(text, F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    shown = [F.col(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
     if not report:
         return out.select(*shown)
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n)
-    dropped = F.when(F.col("__drop").isNull() | F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
-    return out.select(*[c for c in shown], n_lines.alias("n_lines"), dropped.alias("n_dropped"))
+    dropped = F.when(F.col(drop).isNull() | F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    return out.select(*shown, n_lines.alias("n_lines"), dropped.alias("n_dropped"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from . import vocab
-from .scratch import written
+from .scratch import free_name, written
 
 #: Characters that count as symbols.
 SYMBOLS = np.zeros(256, bool)
@@ -209,9 +209,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def clean_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab_dir: str = vocab.VOCAB_DIR) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns. Rows are written once with their figures, and neither measured again nor shuffled."""
-    own = "__q"
-    while any(c.lower().startswith(own) for c in docs.columns):
-        own += "_"
+    own = free_name(docs.columns)
     needed = [("base_failed", "boolean"), *((k, "double") for k in STEPS), ("band", "string")]
 
     def run(batches):

@@ -1,46 +1,17 @@
-"""Tables that cut lineage, in the folder that driver and executors share."""
+"""What the operators here share with the engine: tables in the shared folder; and names for columns of their own."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from ..shared import discard, shared_dir, written
 
+__all__ = ["discard", "free_name", "shared_dir", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and one machine does all work."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster, it must name a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="quillspark-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit; nothing depends on this
-        pass
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: later losses of executors recompute nothing above it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing will read any more; only what is itself written may depend on it."""
-    _remove(table.sparkSession, table._written_to)
+def free_name(columns: Iterable[str], start: str = "__q") -> str:
+    """A prefix that no column has, whatever its case: columns that an operator adds to a user's rows begin with it."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(start) for c in taken):
+        start += "_"
+    return start
