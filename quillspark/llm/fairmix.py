@@ -9,7 +9,7 @@ whose number doesn't depend on the data) and of earlier documents in its bucket;
 slices of the one slice where the budget runs out. Only DataFrame functions are used.
 
 Defined results: null text has no words; null sources are one source, the last; a row with a null id is shuffled by its text; rows with equal id and size
-are interchangeable; sources without words have target 0; names of other columns don't matter.
+are interchangeable, and each counts; sources without words have target 0; names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import free_name, written
 
 #: Weights of the sources in order, repeating; and how often a document may be taken.
 WEIGHTS = (5, 2, 1)
@@ -66,10 +66,13 @@ def _before(df: DataFrame, keys: list[str], order: list[Column], value: str, buc
     return df.withColumn("__i", inside).join(sums, [*keys, bucket]).withColumn(name, F.col("__b") + F.col("__i")).drop("__b", "__i")
 
 
-def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, tkey (a hash of its text), source, size, source_size, target and taken (words, repeats counted)."""
-    doc = F.col(id_col).cast("long")
-    sized = docs.select(doc.alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), shuffled(doc, F.col(text_col), seed).alias("turn"))
+def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: str = "mix", row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, tkey (a hash of its text), source, size, source_size, target and taken (words, repeats counted).
+
+    row_col names a column that is returned as ``row``, by which the caller knows the rows again.
+    """
+    doc, row = F.col(id_col).cast("long"), ["row"] if row_col else []
+    sized = docs.select(*[F.col(row_col).alias(r) for r in row], doc.alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("tkey"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), shuffled(doc, F.col(text_col), seed).alias("turn"))
     sized = sized.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")))  # null has a key too, the last
     sized = written(sized, "mix-sizes")  # ids and sizes are needed three times, texts once
     per_source = sized.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
@@ -79,10 +82,10 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     timed = queued.join(goal, "src").withColumn("end", F.col("so_far") + F.col("size"))
     times = F.transform(F.sequence(F.lit(0), F.lit(most_times - 1)), lambda e: (e * F.col("source_size") + F.col("end")) / F.col("target"))
     timed = timed.withColumn("times", F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(F.array().cast("array<double>")))
-    timed = written(timed.select("doc_id", "tkey", "source", "size", "source_size", "target", "times"), "mix-timed")
+    timed = written(timed.select(*row, "doc_id", "tkey", "source", "size", "source_size", "target", "times"), "mix-timed")
     cut = F.lit(_cut(timed))
     taken = F.size(F.filter("times", lambda t: t <= cut)) * F.col("size")
-    return timed.select("doc_id", "tkey", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return timed.select(*row, "doc_id", "tkey", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _cut(timed: DataFrame) -> float:
@@ -114,11 +117,14 @@ def _cut(timed: DataFrame) -> float:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    found = fair_mix(docs, id_col, text_col, source_col, weights, most_times, seed).where("taken > 0")
-    # rows alike in id, text and source are alike in the mix, but for the cut
-    times = found.groupBy(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("source").alias("__source")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    keyed = docs.withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tkey")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
-    taken = keyed.join(times, same).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Rows are written with a number first: of rows alike in id, text and source, one may be taken more often than another.
+    """
+    own = free_name(docs.columns)
+    numbered = written(docs.withColumn(f"{own}_row", F.monotonically_increasing_id()), "mix-rows")
+    found = fair_mix(numbered, id_col, text_col, source_col, weights, most_times, seed, f"{own}_row").where("taken > 0")
+    times = found.select(F.col("row").alias(f"{own}_known"), (F.col("taken") / F.col("size")).cast("int").alias(f"{own}_times"))
+    taken = numbered.join(times, F.col(f"{own}_row") == F.col(f"{own}_known"))
+    turns = F.explode(F.sequence(F.lit(1), F.col(f"{own}_times"))).alias(f"{own}_turn")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], turns).drop(f"{own}_turn")
