@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .graphs import components
-from .scratch import discard, written
+from .scratch import discard, free_name, written
 
 GROUPS = 512
 #: Points of a leaf at most, and children of a node.
@@ -482,13 +482,23 @@ class Join:
             discard(table)
         return out
 
+    def same_id(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """Edges (x, y) between the classes of each id that has several: it is one document."""
+        sets = members.where("n > 0 and doc_id is not null").select("doc_id", "d1", "d2")
+        ends = sets.groupBy("doc_id").agg(F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")).where("a1 < b1 or a2 < b2")
+        ends = written(ends.select(F.col("doc_id").alias("of_id")), "join-ids")
+        nodes = sets.join(ends, F.col("doc_id") == F.col("of_id")).select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node")
+        nodes = written(nodes, "join-id-nodes")
+        least = nodes.groupBy(F.col("doc_id").alias("of_id")).agg(F.min("node").alias("x"))
+        return written(nodes.join(least, F.col("doc_id") == F.col("of_id")).where("x < node").select("x", F.col("node").alias("y")), "join-id-edges")
+
     def run(self) -> DataFrame:
         p = self.percent
         members, salted = self.members()
         classes = members.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("m"), F.min("n").alias("n"))
-        # a class goes by its smallest id; one that has none, by a number of its own
-        node = F.when(F.col("m.no_id"), F.xxhash64("d1", "d2")).otherwise(F.col("m.doc_id"))
-        classes = written(classes.select("d1", "d2", node.alias("node"), "n", "m.doc_id", "m.tkey"), "join-classes")
+        # a class goes by a number of its own: different sets may stand under one id
+        classes = written(classes.select("d1", "d2", F.monotonically_increasing_id().alias("node"), "n", "m.doc_id", "m.tkey"), "join-classes")
+        own = self.same_id(members, classes)
         first = members.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key"), "point", "prefix")
         lead = classes.join(first, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("tkey") == F.col("e_key")) & F.col("doc_id").eqNullSafe(F.col("e_id")))
         hashes = lead.select(F.explode("prefix").alias("h"), "n", "node").join(F.broadcast(salted), "h", "left")
@@ -501,8 +511,7 @@ class Join:
         stars = shared.select("node", F.explode(F.array_distinct(F.array(*PROBED[4:]))).alias("x")).where("x != node").select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
         stars = self._with_points(written(stars, "join-pairs"), point)
         tried = written(stars.mapInArrow(K.trimmed(_bounded(p)), "x long, y long"), "join-stars")
-        linked = self.verify(tried, classes)
-        roots = written(components(linked), "join-roots")
+        roots = written(components(self.verify(tried, classes).unionByName(own)), "join-roots")
 
         # the likeliest pairs of each two components first, then, over the components that makes, all pairs that are left
         for best in (True, False):
@@ -548,12 +557,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that lead their component, with all their columns; rows without words stay. Of rows alike in id and text one stays."""
+    own = free_name(docs.columns)
+    doc, tkey, key, times, n_sets = (f"{own}_{x}" for x in ("id", "tkey", "key", "times", "n"))
     found = Join(docs, id_col, text_col, n, percent).run()
-    leaders = found.where("leads").groupBy(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey")).agg(F.count(F.lit(1)).alias("__times"), F.max("n_shingles").alias("__n"))
+    leaders = found.where("leads").groupBy(F.col("doc_id").alias(doc), F.col("tkey").alias(tkey)).agg(F.count(F.lit(1)).alias(times), F.max("n_shingles").alias(n_sets))
     leaders = written(leaders, "join-leaders")
-    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = keyed.join(leaders, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tkey")))
-    if not leaders.where("__times > 1 and __n > 0").isEmpty():
-        alike = kept.where("__times > 1 and __n > 0").dropDuplicates(["__id", "__tkey"])
-        kept = kept.where("__times = 1 or __n = 0").unionByName(alike)
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = keyed.join(leaders, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(tkey)))
+    several = (F.col(times) > 1) & (F.col(n_sets) > 0)
+    if not leaders.where(several).isEmpty():
+        kept = kept.where(~several).unionByName(kept.where(several).dropDuplicates([doc, tkey]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from quillspark.llm import boilerplate, graphs, lempel, rtree, suffix, textkit
+from quillspark.llm import boilerplate, fairmix, graphs, lempel, rtree, suffix, textkit
 
 from . import plain
 
@@ -181,3 +181,51 @@ def test_empty_tables(docs):
     none = docs.limit(0)
     for df in (lempel.substring_dedup(none), suffix.suffix_dedup(none), rtree.jaccard_join(none), rtree.one_of_each(none)):
         assert df.count() == 0
+
+
+def clashing(df):
+    """With columns named as operators used to name their own, and as they name them now."""
+    from pyspark.sql import functions as F
+
+    names = ["__key", "__text", "__own", "__turn", "__drop", "__site", "__id", "__times", "__tkey", "__q", "__q_row", "__Q_Key", "__q__id"]
+    return df.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names]), names
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    """40 ids with two texts each; every text has a near copy under an id of its own."""
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(40):
+        for k in range(2):
+            w = [f"w{x}" for x in r.integers(0, 10**6, 80)]
+            rows += [(i, " ".join(w)), (1000 + 2 * i + k, " ".join([*w[:40], "changed", *w[41:]]))]
+    rows += [(500, "one two three"), (500, "four five six seven"), (500, "four five six seven"), (501, "four five six seven"), (None, rows[0][1]), (None, "one two three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(x) for x in rtree.jaccard_join(df).collect()]
+    assert plain.same(got, plain.jaccard9(rows))
+    assert all(c < 40 for i, _, c in got if i is not None and i >= 1000)
+    kept = rtree.one_of_each(df).collect()
+    assert sorted(x.doc_id for x in kept) == [*range(40), 500]
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    rows = [(i, f"line {i % 7}\nown line number {i} of many\nfooter", f"s{i % 2}") for i in range(30)]
+    df, names = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for out in (boilerplate.line_dedup(df, "source", report=False), fairmix.mixed(df), rtree.one_of_each(df)):
+        assert out.columns == df.columns
+        found = out.collect()
+        assert found and all(x[n] == f"{n}:{x.doc_id}" for x in found for n in names)
+    assert all("footer" not in x.text for x in boilerplate.line_dedup(df, "source").collect())
+
+
+def test_equal_rows_of_a_mix_count_each(spark):
+    """500 equal rows of one source: the mix takes as many words as fair_mix says, though not each row as often."""
+    rows = [(7, "three words here", "a", k) for k in range(500)] + [(8 + i, "one two " * (i % 5), "b", 0) for i in range(40)] + [(None, "no id", "c", k) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k int").repartition(5)
+    taken = fairmix.fair_mix(df).collect()
+    mixed = fairmix.mixed(df).collect()
+    for source in "abc":
+        want, got = sum(x.taken for x in taken if x.source == source), sum(len(x.text.split()) for x in mixed if x.source == source)
+        assert want == got
+        assert abs(got - next(x.target for x in taken if x.source == source)) <= 30
+    assert max(sum(x.k == k and x.doc_id == 7 for x in mixed) for k in range(500)) <= 3
