@@ -35,7 +35,7 @@ FILTER_BITS = 1 << 25
 #: Different pointers of a prefix beyond which its subtrees are dealt apart.
 LARGE_PREFIX = 256
 #: Items that a task merges at once.
-HELD = 1 << 21
+HELD = 1 << 20
 
 ENDS, GAPS = np.zeros(256, bool), np.zeros(256, bool)
 ENDS[[ord(c) for c in PIECE_ENDS]] = True
