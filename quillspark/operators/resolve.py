@@ -11,32 +11,45 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
+from ..shared import written
 
 #: Least likeness of titles, and how far the best must be ahead of the next.
 THRESHOLD, MARGIN = 0.62, 0.08
-#: Parts that a band of title lengths is dealt over.
-DEALT = 32
+#: Titles of references and of files that one task compares at a time, whatever their number.
+REFERENCES, FILES = 1024, 8192
+NAMED = r"^(.+?)\s+((?:19|20)\d{2})$"
 
 
-def find_references(checks: DataFrame, refs: DataFrame) -> DataFrame:
-    """checks (with ref_key) and the key of the reference they name, found_key: by key, else the first with the year and the surname in its first author.
+def _surname_year(key: Column) -> tuple[Column, Column]:
+    return F.lower(F.regexp_extract(key, NAMED, 1)), F.regexp_extract(key, NAMED, 2).try_cast("int")
+
+
+def _first_authors(refs: DataFrame) -> DataFrame:
+    return refs.where(F.size("authors") > 0).select(F.col("year").alias("of_year"), F.lower(F.get("authors", F.lit(0))).alias("author"), "ref_ord", F.col("key").alias("author_key"))
+
 
-    checks are read twice, for their distinct keys and for the result: pass a table that is written, persisted or cheap.
+def references_of_keys(keys: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds found_key to a table that has each ref_key once: the reference of that key, else the first with the year and the surname in its first author.
+
+    ``keys`` is read once, so it may be as costly as a count over all texts.
     """
-    keys = refs.select(F.col("key").alias("found_key")).distinct()
-    by_key = checks.select("ref_key").distinct().join(keys, F.col("ref_key") == F.col("found_key"), "left")
-    named = by_key.where("found_key is null").select(
-        "ref_key", F.lower(F.regexp_extract("ref_key", r"^(.+?)\s+((?:19|20)\d{2})$", 1)).alias("surname"), F.regexp_extract("ref_key", r"^(.+?)\s+((?:19|20)\d{2})$", 2).try_cast("int").alias("year")
-    ).where("surname != ''")
-    authors = refs.where(F.size("authors") > 0).select(F.col("year"), F.lower(F.get("authors", F.lit(0))).alias("author"), "ref_ord", F.col("key").alias("author_key"))
-    by_author = named.join(authors, "year").where(F.contains("author", F.col("surname"))).groupBy("ref_key").agg(F.min_by("author_key", "ref_ord").alias("author_key"))
-    found = by_key.join(by_author, "ref_key", "left").select("ref_key", F.coalesce("found_key", "author_key").alias("found_key"))
-    return checks.join(found, "ref_key", "left")
+    known = refs.select(F.col("key").alias("found_key")).distinct()
+    surname, year = _surname_year(F.col("ref_key"))
+    by_key = keys.join(known, F.col("ref_key") == F.col("found_key"), "left").withColumns({"surname": surname, "year": F.when(F.col("found_key").isNull() & (surname != ""), year)})
+    authors = _first_authors(refs)
+    both = by_key.join(authors, (F.col("year") == F.col("of_year")) & F.contains("author", F.col("surname")), "left")
+    first = both.groupBy(*keys.columns, "found_key").agg(F.min_by("author_key", "ref_ord").alias("author_key"))
+    return first.select(*keys.columns, F.coalesce("found_key", "author_key").alias("found_key"))
+
+
+def find_references(checks: DataFrame, refs: DataFrame) -> DataFrame:
+    """The same for checks, whose ref_key repeats. They are read twice, for their distinct keys and for the result: pass a table that is written or cheap."""
+    return checks.join(references_of_keys(checks.select("ref_key").distinct(), refs), "ref_key", "left")
 
 
 def by_doi(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -63,20 +76,33 @@ def title_scores(refs: DataFrame, files: DataFrame, threshold: float = THRESHOLD
     """key, path, path_ord, score: of each reference, the two best files from ``threshold`` on (more where scores tie). Distinct titles are compared once.
 
     Titles as like as that differ in length by a bounded factor, so pairs meet by bands of length (a file's title goes to its band and
-    both neighbours), and references are dealt over ``DEALT`` parts of a band. Within a part, the characters that two titles share
-    bound their likeness; pairs are scored in falling order of the bound, until it is below the second best score.
+    both neighbours). A band's titles are dealt into blocks of about ``REFERENCES`` and ``FILES``, and every two of them meet in a group of their
+    own, so a task holds two blocks however many titles a band has. There, the characters that two titles share bound their likeness;
+    pairs are scored in falling order of the bound, until it is below the second best score. That bound is the only one that loses no pair:
+    titles may be as like as ``threshold`` without two neighbouring characters in common.
     """
     step = (2 - threshold) / threshold
     band = F.floor(F.log(F.length("t")) / F.log(F.lit(step))).cast("int")
-    wanted = refs.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("a"), band.alias("band"), F.pmod(F.xxhash64("t"), F.lit(DEALT)).alias("part"))
-    have = files.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct().select(F.col("t").alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    have = have.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")))
+    titles = lambda df: df.where("title != ''").select(I.norm_title(F.col("title")).alias("t")).where("t != ''").distinct()
+    wanted = titles(refs).select(F.col("t").alias("a"), band.alias("band"))
+    have = titles(files).select(F.col("t").alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    # a few rows: bands are logarithms of lengths
+    sizes = lambda df, most: F.broadcast(df.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks")))
+    of_refs, of_files = sizes(wanted, REFERENCES), sizes(have, FILES)
+    rows, columns = of_refs.withColumnRenamed("blocks", "rows"), of_files.withColumnRenamed("blocks", "columns")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda t, n: F.pmod(F.xxhash64(t), F.col(n)).cast("int")
+    left = wanted.join(rows, "band").join(columns, "band").select("a", "band", place("a", "rows").alias("row"), every("columns").alias("column"))
+    right = have.join(columns, "band").join(rows, "band").select("b", "band", place("b", "columns").alias("column"), every("rows").alias("row"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [(a, b, s) for a, found in zip(left["a"], best_two(left["a"].tolist(), right["b"].tolist(), threshold), strict=True) for b, s in found]
         return pd.DataFrame(out, columns=["a", "b", "score"])
 
-    scored = wanted.groupBy("band", "part").cogroup(have.groupBy("band", "part")).applyInPandas(score, "a string, b string, score double")
+    block = ("band", "row", "column")
+    scored = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(score, "a string, b string, score double")
+    # a block's best two may be no title's best two; ties stay
+    scored = scored.withColumn("nth", F.dense_rank().over(W.partitionBy("a").orderBy(F.desc("score")))).where("nth <= 2").drop("nth")
     r = refs.where("title != ''").select("key", I.norm_title(F.col("title")).alias("a"))
     f = files.where("title != ''").select("path", "path_ord", I.norm_title(F.col("title")).alias("b"))
     return r.join(scored, "a").join(f, "b").select("key", "path", "path_ord", "score")
@@ -128,22 +154,23 @@ def gate(scores: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN
 
 
 def match_files(refs: DataFrame, files: DataFrame, titles: bool = True) -> DataFrame:
-    """key, path, resolution of each reference. Titles are compared only for references that neither DOI nor name resolves."""
+    """key, path, resolution of each reference. Titles are compared only for references that neither DOI nor name resolves; their scores are written first."""
     refs = last_by_key(refs)
     exact = by_doi(refs, files).select("key", F.col("path").alias("doi_path"))
     named = by_slug(refs, files).select("key", F.col("path").alias("slug_path"))
     known = refs.select("key").distinct().join(exact, "key", "left").join(named, "key", "left").withColumn("path", F.coalesce("doi_path", "slug_path"))
     if titles:
         left = refs.join(known.where("path is not null"), "key", "left_anti")
-        gated = gate(title_scores(left, files)).select("key", F.col("path").alias("title_path"), "status")
+        gated = gate(written(title_scores(left, files), "title-scores")).select("key", F.col("path").alias("title_path"), "status")
         known = known.join(gated, "key", "left")
     else:
         known = known.withColumn("title_path", F.lit(None).cast("string")).withColumn("status", F.lit(None).cast("string"))
     return known.select("key", F.coalesce("path", "title_path").alias("path"), F.when(F.col("path").isNotNull(), "resolved").otherwise(F.coalesce("status", F.lit("no_pdf"))).alias("resolution"))
 
 
-def resolve(checks: DataFrame, refs: DataFrame, files: DataFrame, titles: bool = True) -> DataFrame:
-    """checks with found_key, source_path and resolution; a check whose marker names no reference stays, as unresolved_marker."""
+def resolve(checks: DataFrame, refs: DataFrame, files: DataFrame, titles: bool = True, keys_once: bool = False) -> DataFrame:
+    """checks with found_key, source_path and resolution; a check whose marker names no reference stays, as unresolved_marker. keys_once: no ref_key repeats."""
     matched = match_files(refs, files, titles).select(F.col("key").alias("found_key"), F.col("path").alias("source_path"), "resolution")
-    joined = find_references(checks, refs).join(matched, "found_key", "left")
+    found = references_of_keys(checks, refs) if keys_once else find_references(checks, refs)
+    joined = found.join(matched, "found_key", "left")
     return joined.withColumn("resolution", F.when(F.col("found_key").isNull(), "unresolved_marker").otherwise(F.col("resolution")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import identifiers as I
 from ..operators import acquire, audit, bibliography, judge, layout, mining, report, resolve, retrieve
+from ..shared import written
 from . import derive as D
 from . import recipes as R
 
@@ -42,13 +43,13 @@ def _bucketed(found: DataFrame) -> DataFrame:
 @query
 def coverage(spark, sf):
     """Citations of all documents by the bucket they end in."""
-    return _bucketed(resolve.resolve(_key_counts(spark, sf), D.references(spark, sf), D.files(spark, sf)))
+    return _bucketed(resolve.resolve(_key_counts(spark, sf), D.references(spark, sf), D.files(spark, sf), keys_once=True))
 
 
 @query
 def coverage_by_identifier(spark, sf):
     """The same without likeness of titles, which SQL can't express."""
-    return _bucketed(resolve.resolve(_key_counts(spark, sf), D.references(spark, sf), D.files(spark, sf), titles=False))
+    return _bucketed(resolve.resolve(_key_counts(spark, sf), D.references(spark, sf), D.files(spark, sf), titles=False, keys_once=True))
 
 
 @query
@@ -238,24 +239,24 @@ def clean_pages(spark, sf):
 # ---- resolution
 
 
-def _found(spark, sf) -> DataFrame:
-    return resolve.find_references(D.checks(spark, sf), D.references(spark, sf))
-
-
 @query
 def join_ref_by_key(spark, sf):
-    refs = D.references(spark, sf).select(F.col("key").alias("ref_key"), "title", "year")
+    """Of references that share a key, the last counts."""
+    refs = resolve.last_by_key(D.references(spark, sf)).select(F.col("key").alias("ref_key"), "title", "year")
     return _key_counts(spark, sf).join(refs, "ref_key", "left").select("ref_key", "title", "year", F.col("n").alias("checks"))
 
 
 @query
 def join_ref_author_year(spark, sf):
-    return resolve.find_references(_key_counts(spark, sf), D.references(spark, sf)).select("ref_key", "found_key", F.col("n").alias("checks"))
+    return resolve.references_of_keys(_key_counts(spark, sf), D.references(spark, sf)).select("ref_key", "found_key", F.col("n").alias("checks"))
 
 
 @query
 def unresolved_marker(spark, sf):
-    return _found(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("found_key").isNull()).alias("unresolved"))
+    """Counts of a document's keys are written, as they are read for the keys and for the result."""
+    counts = written(D.checks(spark, sf).groupBy("doc_id", "ref_key").agg(F.count(F.lit(1)).alias("n")), "keys-of-documents")
+    found = resolve.find_references(counts, D.references(spark, sf))
+    return found.groupBy("doc_id").agg(F.sum("n").alias("checks"), F.sum(F.when(F.col("found_key").isNull(), F.col("n")).otherwise(0)).alias("unresolved"))
 
 
 @query

@@ -56,3 +56,16 @@ def test_plans_push_down_and_stay_in_the_jvm(spark):
     plan = QUERIES["coverage"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the tables are not here")
+@pytest.mark.parametrize("name", ["coverage", "coverage_by_identifier", "join_ref_author_year", "unresolved_marker"])
+def test_texts_are_read_once(spark, name):
+    import re
+
+    from quillspark.plans.queries import QUERIES
+
+    df = QUERIES[name](spark, str(DATA))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[doc_id#\d+L,text#", plan)) <= 1

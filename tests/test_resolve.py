@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from quillspark.functions import identifiers as I
 from quillspark.operators import resolve
@@ -34,9 +35,12 @@ def test_likeness_depends_on_order():
     assert resolve.likeness("tide", "diet") == 0.25 and resolve.likeness("diet", "tide") == 0.5
 
 
-def test_title_scores_lose_no_pair(spark):
+@pytest.mark.parametrize("blocks", [(1024, 8192), (2, 1)])
+def test_title_scores_lose_no_pair(spark, monkeypatch, blocks):
     import itertools
 
+    monkeypatch.setattr(resolve, "REFERENCES", blocks[0])
+    monkeypatch.setattr(resolve, "FILES", blocks[1])
     titles = ["rivers", "river", "rivers of the north", "the north", "north rivers of", "a", "ab", "rivers of the north and the far south beyond the sea"]
     r = spark.createDataFrame([(t, t) for t in titles], "key string, title string")
     f = spark.createDataFrame([(t, i, t) for i, t in enumerate(titles)], "path string, path_ord int, title string")
@@ -113,3 +117,13 @@ def test_local_hosts_on_both_sides(spark):
 
     assert values(spark, LOCAL + AWAY + [None], I.is_local_host) == [True] * len(LOCAL) + [False] * (len(AWAY) + 1)
     assert [config.is_local_host(x) for x in LOCAL + AWAY] == [True] * len(LOCAL) + [False] * len(AWAY)
+
+
+def test_keys_once_and_checks_find_the_same(spark):
+    refs = spark.createDataFrame([ref("7", "t", authors=["Garcia B."], year=2001), ref("8", "u", authors=["Del Garcia"], year=2001), ref("9", "v", authors=[], year=2001), ref("10", "w", authors=["Meyer"], year=None)], "key string, title string, doi string, authors array<string>, year int").withColumn("ref_ord", F.monotonically_increasing_id())
+    checks = spark.createDataFrame([("7",), ("7",), ("Garcia 2001",), ("garcia 2001",), ("Del 2001",), ("Meyer 2001",), ("", ), (None,), (" 2001",), ("Novak 1999",)], "ref_key string")
+    found = {r.ref_key: r.found_key for r in resolve.find_references(checks.where("ref_key is not null"), refs).collect()}
+    assert found == {"7": "7", "Garcia 2001": "7", "garcia 2001": "7", "Del 2001": "8", "Meyer 2001": None, "": None, " 2001": None, "Novak 1999": None}
+    counts = checks.groupBy("ref_key").agg(F.count(F.lit(1)).alias("n"))
+    once = {r.ref_key: (r.n, r.found_key) for r in resolve.references_of_keys(counts, refs).collect()}
+    assert once == {k: (2 if k == "7" else 1, v) for k, v in found.items()} | {None: (1, None)}
