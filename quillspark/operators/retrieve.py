@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.citations import page_of_name
 from ..functions.regex import stripped
+from ..shared import new_folder
+from . import index
 
 #: Characters in a chunk, most overlap; fragment length and number for highlighting.
 CHUNK, OVERLAP = 1500, 150
@@ -22,22 +24,12 @@ def chunks(docs: DataFrame, size: int = CHUNK, doc_col: str = "doc_id", text_col
     return cut.select("source_id", "chunk_ord", F.substring("t", F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))  # a zero vector is like nothing
-
-
 def top_in_source(claims: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """claim_id, source_id, chunk_ord, score, rank: the k nearest chunks of the cited source alone.
+    """claim_id, source_id, chunk_ord, score, rank: the k nearest chunks of the cited source alone, by an index that is built for this call.
 
-    claims: claim_id, source_id, vector. vectors: source_id, chunk_ord, vector. The rank limit is applied before the shuffle's sort.
+    claims: claim_id, source_id, vector. vectors: source_id, chunk_ord, vector. See ``operators.index`` for one that is kept.
     """
-    near = claims.select("claim_id", "source_id", F.col("vector").alias("q")).join(vectors.select("source_id", "chunk_ord", F.col("vector").alias("v")), "source_id")
-    scored = near.select("claim_id", "source_id", "chunk_ord", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy("claim_id").orderBy(F.desc("score"), "chunk_ord"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return index.top_in_source(claims, index.build_index(vectors, new_folder(vectors.sparkSession, "passage-index")), k)
 
 
 def evidence(contexts: DataFrame) -> DataFrame:

@@ -79,3 +79,16 @@ def blocks_of_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 3
     body = F.when(kind == 0, F.array_join(numbered, "\n")).when(kind == 1, F.array_join(by_author, "\n")).otherwise(F.array_join("lines", "\n"))
     return lines.select("doc_id", body.alias("block"))
+
+
+def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, text: the pages, and a last one with the bibliography."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(R.ENTRIES - 1))).alias("k"))
+    lines = docs.selectExpr("doc_id", "k", f"{R.BIB_LINE} AS line").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return pages(spark, sf_dir).unionByName(lines.select("doc_id", F.lit(1_000_000).cast("long").alias("page"), F.concat(F.lit("References\n"), "body").alias("text")))
+
+
+def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, path_ord, doi, title, text, error of each source that has a file."""
+    docs = table(spark, sf_dir, "documents").where(R.SOURCE_FILE).selectExpr(f"{R.SOURCE_PATH} AS path", f"{R.SOURCE_ERROR} AS error", "text")
+    return docs.select("path", F.col("path").alias("path_ord"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("title"), F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")

@@ -223,7 +223,34 @@ HOST_PARTS = r"""hst AS (SELECT page_id, base, lower(regexp_replace(regexp_extra
   '^[^:/?#]+://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#\[\]@]+)(?::[0-9]*)?(?:[/?#]|$)', 1), '^\[|\]$', '', 'g')) AS host FROM (SELECT page_id, """ + R.ADDRESS + r""" AS base FROM pages)),
 oct AS (SELECT *, [TRY_CAST(o AS INT) FOR o IN string_split(host, '.')] AS o FROM hst)"""
 
+BIB = f"""bib AS (SELECT doc_id, k, CAST(k AS VARCHAR) AS key, {R.pick('k', R.SURNAMES)} AS surname, 1990 + k % 30 AS year, {R.CITED} AS cited FROM documents, range({R.ENTRIES}) r(k) WHERE NOT ({R.UNREAD_ENTRY}))"""
+
+
+def counts(x: str) -> str:
+    return f"[length({x})::DOUBLE, " + ", ".join(f"(length({x}) - length(replace({x}, {quoted(c)}, '')))::DOUBLE" for c in R.COUNTED) + "]"
+
+
+#: The longest question's parts besides claim and passages; 400 characters in a passage, 350 from one to the next, three passages.
+WHOLE_CHECK = f"""WITH {MINED}, {BIB},
+chk AS ({rows('cit', 'doc_id, id, claim', 'keys', 'ref_key', 'key_ord')}),
+byauthor AS (SELECT c.doc_id, c.ref_key, min(b.k) AS k FROM (SELECT DISTINCT doc_id, ref_key FROM chk) c JOIN bib b ON b.doc_id = c.doc_id AND b.year = TRY_CAST(regexp_extract(c.ref_key, {AYKEY}, 2) AS INT) AND contains(lower(b.surname || ' A.'), lower(regexp_extract(c.ref_key, {AYKEY}, 1)))
+  WHERE regexp_matches(c.ref_key, {AYKEY}) GROUP BY ALL),
+fnd AS (SELECT c.*, coalesce(b.cited, a.cited) AS cited FROM chk c LEFT JOIN bib b ON b.doc_id = c.doc_id AND b.key = c.ref_key LEFT JOIN byauthor y ON y.doc_id = c.doc_id AND y.ref_key = c.ref_key LEFT JOIN bib a ON a.doc_id = y.doc_id AND a.k = y.k),
+src AS (SELECT doc_id AS cited, {R.SOURCE_PATH} AS path, {R.SOURCE_ERROR} AS error, CASE WHEN {R.SOURCE_ERROR} IS NULL THEN text END AS text FROM documents WHERE {R.SOURCE_FILE}),
+psg AS (SELECT cited, start // 350 AS o, substr(text, start + 1, 400) AS chunk FROM (SELECT *, unnest(range(0, greatest(length(text), 1), 350)) AS start FROM src WHERE length(text) > 0)),
+vec AS (SELECT cited, o, length(chunk) AS n, {counts('chunk')} AS v FROM psg),
+pair AS (SELECT DISTINCT claim, cited FROM fnd WHERE cited IS NOT NULL),
+top AS (SELECT claim, cited, count(*) AS passages, sum(n) AS chars FROM (
+  SELECT p.claim, p.cited, v.n, row_number() OVER (PARTITION BY p.claim, p.cited ORDER BY round(coalesce(list_dot_product({counts('p.claim')}, v.v) / nullif(sqrt(list_dot_product({counts('p.claim')}, {counts('p.claim')}) * list_dot_product(v.v, v.v)), 0), 0), 6) DESC, o) AS r FROM pair p JOIN vec v USING (cited)) WHERE r <= 3 GROUP BY ALL)
+SELECT f.doc_id, f.id, CAST(f.key_ord AS BIGINT) AS key_ord, f.ref_key, s.path AS source_path,
+  CASE WHEN f.cited IS NULL THEN 'unresolved_marker' WHEN s.path IS NULL THEN 'no_pdf' WHEN s.text IS NULL THEN 'unreadable_source' WHEN t.passages IS NULL THEN 'not_found'
+    ELSE {R.pick(f"({len(''.join(judge.ASKED))} + length(f.claim) + t.chars + 3 * t.passages - 1)", judge.VERDICTS)} END AS bucket,
+  CAST(coalesce(t.passages, 0) AS BIGINT) AS passages, CASE WHEN t.passages IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence
+FROM fnd f LEFT JOIN src s USING (cited) LEFT JOIN top t ON t.cited = f.cited AND t.claim = f.claim"""
+
 ORACLES: dict[str, str] = {
+    "parse_references": f"WITH {BIB} SELECT doc_id, key, 'Study of matter ' || cited AS title, '10.1234/s.' || cited AS doi, surname || ' A.' AS authors, CAST(year AS INT) AS year FROM bib",
+    "whole_check": WHOLE_CHECK,
     "coverage_by_identifier": f"WITH {CHECKS}, {REFS}, {FILES}, {BY_DOI}, {BY_SLUG}, {MATCH}, {FOUND} SELECT CASE WHEN found_key IS NULL THEN 'unresolved_marker' ELSE resolution END AS bucket, count(*) AS n FROM fnd LEFT JOIN mat ON found_key = mat.key GROUP BY 1",
     "strip_line_numbers": f"WITH {PAGES} SELECT doc_id, page, md5({NO_NUMBERS.format('text')}) AS body FROM pages_of",
     "split_sentences": f"WITH {SENT} SELECT doc_id, CAST(i AS BIGINT) AS i, s FROM sent",

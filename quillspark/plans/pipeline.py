@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Settings, assert_local_only
 from ..functions import citations as C
 from ..operators import audit, bibliography, judge, layout, mining, resolve, retrieve
+from ..shared import written
 
 
 @dataclass(frozen=True)
@@ -60,32 +61,40 @@ def parse_references(pages: DataFrame, parts: Parts, budget: int) -> DataFrame:
 def check(pages: DataFrame, blocks: DataFrame, files: DataFrame, sources: DataFrame, settings: Settings, parts: Parts, labels: DataFrame | None = None) -> DataFrame:
     """One row per check with passages, verdict, resolution and bucket. Refuses to run with anything that isn't local.
 
-    pages: doc_id, page, text. blocks: layout blocks. files: path, path_ord, doi, title. sources: path, text. labels: see ``tag_scope``.
+    pages: doc_id, page, text. blocks: layout blocks. files: path, path_ord, doi, title. sources: path, text, and error where decoding failed (a
+    column that may be missing): a source without text is unreadable, which spoils its own checks alone. labels: see ``tag_scope``.
+    What a model or an embedding has answered is written before it is used, so that no answer is asked for twice.
     """
     assert_local_only(settings)
     pages = pages.withColumn("doc_id", F.col("doc_id").cast("string"))
     blocks = blocks.withColumn("doc_id", F.col("doc_id").cast("string"))
-    refs = parse_references(pages, parts, settings.bibliography_budget)
+    refs = written(parse_references(pages, parts, settings.bibliography_budget), "check-references")
     cited = mining.with_fallback(mining.mine(layout.clean_pages(blocks)), mining.mine_pages(pages))
     tagged = mining.tag_scope(cited, labels) if labels is not None else cited.withColumn("kind", F.lit("empirical"))
     checks = mining.explode_checks(tagged).withColumn("check_id", F.concat_ws(":", "doc_id", "id", "key_ord"))
+    checks = written(checks, "check-citations")
     # keys of different manuscripts are kept apart by their document
     scoped = refs.select(F.concat_ws("\x1f", "doc_id", "key").alias("key"), F.col("ord").alias("ref_ord"), "title", "doi", "authors", "year", "doc_id")
     found = _references_by_document(checks, scoped)
     matched = resolve.match_files(scoped, files).select(F.col("key").alias("found_key"), F.col("path").alias("source_path"), "resolution")
     resolved = found.join(matched, "found_key", "left").withColumn("resolution", F.when(F.col("found_key").isNull(), "unresolved_marker").otherwise(F.col("resolution")))
+    resolved = written(resolved, "check-resolved")
+    failed = F.col("error").isNotNull() if "error" in sources.columns else F.lit(False)
+    read = sources.select("path", F.when(~failed, F.col("text")).alias("text"))
     judged = resolved.where("resolution = 'resolved' AND kind <> 'non_checkable'")
     wanted = judged.select("source_path").distinct()
-    cut = retrieve.chunks(sources.join(wanted, sources.path == wanted.source_path, "left_semi"), settings.chunk_chars, "path", "text")
-    vectors = parts.embed(cut, "chunk")
-    claims = parts.embed(judged.select(F.col("check_id").alias("claim_id"), F.col("source_path").alias("source_id"), "claim"), "claim")
-    top = retrieve.top_in_source(claims, vectors, settings.passages_per_claim).join(cut, ["source_id", "chunk_ord"])
-    passages = top.groupBy(F.col("claim_id").alias("check_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda p: p["chunk"]).alias("snippets"))
+    cut = written(retrieve.chunks(read.join(wanted, read.path == wanted.source_path, "left_semi"), settings.chunk_chars, "path", "text"), "check-passages")
+    claims = written(parts.embed(judged.select(F.col("check_id").alias("claim_id"), F.col("source_path").alias("source_id"), "claim"), "claim"), "check-claims")
+    top = retrieve.top_in_source(claims, parts.embed(cut, "chunk"), settings.passages_per_claim).join(cut, ["source_id", "chunk_ord"])
+    passages = written(top.groupBy(F.col("claim_id").alias("check_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda p: p["chunk"]).alias("snippets")), "check-snippets")
     asked = judged.select("check_id", "claim").join(passages, "check_id")
-    said = judge.parse_verdicts(judge.judge(asked, parts.make_model, parts.judge_prompt)).drop("raw")
-    out = resolved.join(passages, "check_id", "left").join(said, "check_id", "left")
-    verdict, outcome = judge.settle(F.col("kind"), F.col("resolution"), F.col("source_path").isNotNull(), F.coalesce("failed", F.lit(False)), F.coalesce(F.size("snippets"), F.lit(0)), F.col("verdict"))
-    return out.withColumns({"verdict": verdict, "resolution": outcome, "bucket": judge.bucket(verdict, outcome), "rationale": F.coalesce("rationale", F.when(verdict == "not_found", judge.NO_PASSAGE), F.lit("")), "confidence": F.coalesce("confidence", F.lit(0.0))}).drop("failed")
+    said = written(judge.parse_verdicts(judge.judge(asked, parts.make_model, parts.judge_prompt)).drop("raw"), "check-answers")
+    unreadable = read.where("text is null").select(F.col("path").alias("source_path"), F.lit(True).alias("unreadable")).distinct()
+    out = resolved.join(passages, "check_id", "left").join(said, "check_id", "left").join(unreadable, "source_path", "left")
+    spoilt = F.coalesce("failed", "unreadable", F.lit(False))
+    verdict, outcome = judge.settle(F.col("kind"), F.col("resolution"), F.col("source_path").isNotNull(), spoilt, F.coalesce(F.size("snippets"), F.lit(0)), F.col("verdict"))
+    out = out.withColumns({"verdict": verdict, "resolution": outcome, "bucket": judge.bucket(verdict, outcome), "rationale": F.coalesce("rationale", F.when(verdict == "not_found", judge.NO_PASSAGE), F.lit("")), "confidence": F.coalesce("confidence", F.lit(0.0))})
+    return out.drop("failed", "unreadable")
 
 
 def _references_by_document(checks: DataFrame, scoped: DataFrame) -> DataFrame:

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import identifiers as I
-from ..operators import acquire, audit, bibliography, judge, layout, mining, report, resolve, retrieve
-from ..shared import written
+from ..operators import acquire, audit, bibliography, index, judge, layout, mining, report, resolve, retrieve
+from ..shared import new_folder, written
+from ..config import Settings
+from ..sources import schemas
 from . import derive as D
+from . import pipeline
 from . import recipes as R
+from .doubles import RuleModel, counted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -330,11 +334,12 @@ def source_index(spark, sf):
 
 @query
 def topk_in_source(spark, sf):
-    """Every vector as a claim, against the others of its label."""
+    """Every vector as a claim, against the stored index of its label's; the index is built once and serves two batches of claims."""
     vectors = D.table(spark, sf, "embeddings")
     claims = vectors.select(F.col("vec_id").alias("claim_id"), F.col("label").alias("source_id"), F.col("embedding").alias("vector"))
     held = vectors.select(F.col("label").alias("source_id"), F.col("vec_id").alias("chunk_ord"), F.col("embedding").alias("vector"))
-    top = retrieve.top_in_source(claims, held, 4).where("claim_id <> chunk_ord")
+    stored = index.build_index(held, new_folder(spark, "passage-index"))
+    top = index.top_in_source(claims.where("claim_id % 2 = 0"), stored, 4).unionByName(index.top_in_source(claims.where("claim_id % 2 = 1"), stored, 4)).where("claim_id <> chunk_ord")
     return top.select("claim_id", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -370,6 +375,30 @@ def judge_claims(spark, sf):
     return both.select("check_id", F.when(none, "not_found").otherwise(F.col("verdict")).alias("verdict"), F.when(none, judge.NO_PASSAGE).otherwise(F.col("rationale")).alias("rationale"), F.when(none, 0.0).otherwise(F.col("confidence")).alias("confidence"))
 
 
+#: Few passages and small bibliography chunks, so that there is something to choose from and several chunks each.
+CHECK_SETTINGS = Settings(passages_per_claim=3, bibliography_budget=1000, chunk_chars=400)
+
+
+def _parts() -> pipeline.Parts:
+    return pipeline.Parts(RuleModel, counted, "judge", "references")
+
+
+@query
+def parse_references(spark, sf):
+    """The bibliography of every manuscript, by a stand-in for the model."""
+    refs = pipeline.parse_references(D.manuscripts(spark, sf), _parts(), CHECK_SETTINGS.bibliography_budget)
+    return refs.select(F.col("doc_id").cast("long").alias("doc_id"), "key", "title", "doi", _joined(F.col("authors")).alias("authors"), "year")
+
+
+@query
+def whole_check(spark, sf):
+    """Every check of every manuscript from its pages to its bucket, with stand-ins for the model and the embedding."""
+    sources = D.cited_sources(spark, sf)
+    blocks = spark.createDataFrame([], schemas.BLOCK)
+    out = pipeline.check(D.manuscripts(spark, sf), blocks, sources.select("path", "path_ord", "doi", "title"), sources.select("path", "text", "error"), CHECK_SETTINGS, _parts())
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "id", F.col("key_ord").cast("long").alias("key_ord"), "ref_key", "source_path", "bucket", F.coalesce(F.size("snippets"), F.lit(0)).cast("long").alias("passages"), "confidence")
+
+
 @query
 def check_pipeline(spark, sf):
     """Where checks end, given what each step said."""

@@ -110,3 +110,16 @@ ADDRESS = """CASE CAST(page_id AS BIGINT) % 14 WHEN 0 THEN 'http://127.0.0.1:114
 
 def columns(recipe: dict[str, str]) -> list[str]:
     return [f"{expression} AS {name}" for name, expression in recipe.items()]
+
+#: The whole check: entry k of document d's bibliography names source (7 d + 13 k) modulo 500, by a DOI; a source is the document of that number.
+ENTRIES = 60
+CITED = "(7 * doc_id + 13 * k) % 500"
+BIB_LINE = "concat('[', k, '] ', " + pick("k", SURNAMES) + f", ' A. (', 1990 + k % 30, ') Study of matter ', {CITED}, '. 10.1234/s.', {CITED})"
+#: One source in four has no file, and one file in ten can't be read.
+SOURCE_FILE = "doc_id < 500 AND doc_id % 4 <> 3"
+SOURCE_PATH = "concat('refs/10.1234_s.', doc_id, '__x.pdf')"
+SOURCE_ERROR = "CASE WHEN doc_id % 10 = 9 THEN 'ValueError: no text layer' ELSE NULL END"
+#: Entries that the stand-in for a model gives no readable answer for.
+UNREAD_ENTRY = "k % 17 = 5"
+#: What the stand-in for an embedding counts in a text.
+COUNTED = ("e", "a", "n", " ")
