@@ -496,8 +496,9 @@ class Join:
         p = self.percent
         members, salted = self.members()
         classes = members.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("m"), F.min("n").alias("n"))
-        # a class goes by a number of its own: different sets may stand under one id
-        classes = written(classes.select("d1", "d2", F.monotonically_increasing_id().alias("node"), "n", "m.doc_id", "m.tkey"), "join-classes")
+        # a class goes by a number of its own, in the order of ids: different sets may stand under one id, and the first ones of a group are tried first
+        classes = classes.orderBy("m.no_id", "m.doc_id", "m.tkey", "d1").select("d1", "d2", F.monotonically_increasing_id().alias("node"), "n", "m.doc_id", "m.tkey")
+        classes = written(classes, "join-classes")
         own = self.same_id(members, classes)
         first = members.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key"), "point", "prefix")
         lead = classes.join(first, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("tkey") == F.col("e_key")) & F.col("doc_id").eqNullSafe(F.col("e_id")))
