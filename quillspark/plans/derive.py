@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import identifiers as I
 from ..operators import mining
+from ..shared import new_folder
 from . import recipes as R
 
 
@@ -92,3 +93,23 @@ def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, path_ord, doi, title, text, error of each source that has a file."""
     docs = table(spark, sf_dir, "documents").where(R.SOURCE_FILE).selectExpr(f"{R.SOURCE_PATH} AS path", f"{R.SOURCE_ERROR} AS error", "text")
     return docs.select("path", F.col("path").alias("path_ord"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("title"), F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+
+
+def written_files(df: DataFrame, label: str) -> str:
+    """A folder in the shared one with a text file for each row (doc_id, text), in a folder named by its document."""
+    path = new_folder(df.sparkSession, label)
+    df.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    return path
+
+
+def document_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"doc_id=(\d+)/", 1).cast("long")
+
+
+def page_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: each document's layout blocks as a decoder's pages, in JSON."""
+    span = F.struct("text", "size", F.when(F.col("bold"), 16).otherwise(0).alias("flags"))
+    block = F.struct("ord", F.array("x0", "y0", "x1", "y1").alias("bbox"), F.array(F.struct(F.array(span).alias("spans"))).alias("lines"))
+    by_page = blocks(spark, sf_dir).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"), F.max("page_height").alias("height"))
+    by_doc = by_page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "height", "blocks"))).alias("pages"))
+    return by_doc.select("doc_id", F.to_json("pages").alias("text"))

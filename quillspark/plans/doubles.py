@@ -37,3 +37,8 @@ def counted(df: DataFrame, column: str) -> DataFrame:
     """A vector for each text: its length and how often some characters stand in it."""
     size = F.length(column)
     return df.withColumn("vector", F.array(size.cast("double"), *[(size - F.length(F.replace(F.col(column), F.lit(c), F.lit("")))).cast("double") for c in COUNTED]))
+
+
+def json_pages(content: bytes) -> list[dict]:
+    """Decodes files that hold a decoder's pages as JSON; others fail, as a file does that is no PDF."""
+    return [p | {"text": ""} for p in json.loads(content)]

@@ -251,6 +251,11 @@ FROM fnd f LEFT JOIN src s USING (cited) LEFT JOIN top t ON t.cited = f.cited AN
 ORACLES: dict[str, str] = {
     "parse_references": f"WITH {BIB} SELECT doc_id, key, 'Study of matter ' || cited AS title, '10.1234/s.' || cited AS doi, surname || ' A.' AS authors, CAST(year AS INT) AS year FROM bib",
     "whole_check": WHOLE_CHECK,
+    "text_scan": f"SELECT doc_id, CAST(p + 1 AS BIGINT) AS page, md5(text) AS text FROM ({rows('(SELECT doc_id, substr(text, 1, 1000) || chr(12) || substr(text, 1001) || chr(10) AS t FROM documents WHERE text IS NOT NULL)', 'doc_id', 'string_split(t, chr(12))', 'text', 'p')})",
+    "layout_scan": f"WITH {BLOCKS} SELECT doc_id, page, x0, y0, x1, size, bold, md5({NO_NUMBERS.format(strip('text'))}) AS text FROM blk WHERE {strip(NO_NUMBERS.format(strip('text')))} <> '' AND doc_id % 11 <> 10",
+    "refs_folder": "SELECT doc_id, CAST(octet_length(encode(text)) + 8 + 1 AS BIGINT) AS length FROM documents WHERE doc_id % 3 = 0 AND octet_length(encode(text)) + 8 + 1 <= 2000",
+    "report_round_trip": f"""WITH {CHECK_ROWS} SELECT manuscript, CASE WHEN ok THEN checks END AS checks, CASE WHEN ok THEN reviewed END AS reviewed, CASE WHEN ok THEN chars END AS chars, CASE WHEN ok THEN sources END AS sources, CASE WHEN ok THEN passages END AS passages, ok AS readable
+      FROM (SELECT manuscript, manuscript % 9 <> 4 AS ok, count(*) AS checks, count(*) FILTER (WHERE reviewed) AS reviewed, CAST(sum(length(claim)) AS BIGINT) AS chars, count(source_path) AS sources, count(snippet) AS passages FROM chks GROUP BY manuscript)""",
     "coverage_by_identifier": f"WITH {CHECKS}, {REFS}, {FILES}, {BY_DOI}, {BY_SLUG}, {MATCH}, {FOUND} SELECT CASE WHEN found_key IS NULL THEN 'unresolved_marker' ELSE resolution END AS bucket, count(*) AS n FROM fnd LEFT JOIN mat ON found_key = mat.key GROUP BY 1",
     "strip_line_numbers": f"WITH {PAGES} SELECT doc_id, page, md5({NO_NUMBERS.format('text')}) AS body FROM pages_of",
     "split_sentences": f"WITH {SENT} SELECT doc_id, CAST(i AS BIGINT) AS i, s FROM sent",

@@ -13,11 +13,11 @@ from ..functions import identifiers as I
 from ..operators import acquire, audit, bibliography, index, judge, layout, mining, report, resolve, retrieve
 from ..shared import new_folder, written
 from ..config import Settings
-from ..sources import schemas
+from ..sources import readers, schemas
 from . import derive as D
 from . import pipeline
 from . import recipes as R
-from .doubles import RuleModel, counted
+from .doubles import RuleModel, counted, json_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -610,3 +610,50 @@ def pdf_magic(spark, sf):
     """Downloads that are held to be PDFs: their first bytes and size."""
     rows = D.table(spark, sf, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN concat('%PDF-1.7', text) ELSE text END AS text", "n_chars * 20000 AS size")
     return rows.where(acquire.is_pdf(F.encode("text", "UTF-8"), F.col("size"))).select("doc_id")
+
+
+# ---- files: written from the tables, and read as a folder of them
+
+
+@query
+def text_scan(spark, sf):
+    """Pages of a folder of text files; a file's pages are parted by form feeds."""
+    docs = D.table(spark, sf, "documents").where("text IS NOT NULL").selectExpr("doc_id", "concat(substr(text, 1, 1000), chr(12), substr(text, 1001)) AS text")
+    files = readers.text_folder(spark, D.written_files(docs, "text-files")).select(D.document_of(F.col("path")).alias("doc_id"), "text")
+    return readers.text_pages(files).select("doc_id", F.col("page").cast("long").alias("page"), F.md5("text").alias("text"))
+
+
+@query
+def layout_scan(spark, sf):
+    """Layout blocks of a folder of files, by a decoder that stands in for that of PDFs; one document in eleven can't be decoded."""
+    docs = D.page_dicts(spark, sf).withColumn("text", F.when(F.col("doc_id") % 11 == 10, F.substring("text", F.lit(1), F.length("text") - 3)).otherwise(F.col("text")))
+    files = readers.pdf_folder(spark, D.written_files(docs, "layout-files"), names="*.txt")
+    found = readers.pdf_blocks(files, json_pages).select(D.document_of(F.col("doc_id")).alias("doc_id"), F.col("page").cast("long").alias("page"), "x0", "y0", "x1", "size", "bold", F.md5("text").alias("text"))
+    return found
+
+
+@query
+def refs_folder(spark, sf):
+    """Files of a folder that are PDFs by their first bytes and small enough; larger ones aren't opened."""
+    docs = D.table(spark, sf, "documents").where("text IS NOT NULL").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN concat('%PDF-1.7', text) ELSE text END AS text")
+    found = readers.bounded_pdfs(spark, D.written_files(docs, "refs-files"), 2000, "*.txt")
+    return found.select(D.document_of(F.col("path")).alias("doc_id"), "length")
+
+
+@query
+def report_round_trip(spark, sf):
+    """Reports of all manuscripts written as nested JSON and read back by one schema; one line in nine is cut off, and told apart."""
+    checks = D.audit_checks(spark, sf)
+    citation = F.struct(F.concat(F.lit("c"), "check_id").alias("id"), "claim", F.array("ref_key").alias("ref_keys"), "section", F.lit(1).alias("manuscript_page"), F.lit("empirical").alias("kind"))
+    passages = F.when(F.col("snippet").isNotNull(), F.array(F.struct(F.concat(F.lit("p"), "check_id").alias("id"), "snippet", F.lit(0.5).alias("score"))))
+    row = F.struct("check_id", citation.alias("citation"), "ref_key", F.col("source_path").alias("source_pdf"), passages.alias("passages"), F.col("status").alias("verdict"), "rationale", "reviewed", "note")
+    nested = checks.groupBy(F.col("manuscript").cast("string").alias("manuscript")).agg(F.array_sort(F.collect_list(row)).alias("checks"), F.count(F.lit(1)).cast("int").alias("n"))
+    reports = nested.select("manuscript", "checks", F.create_map(F.lit("checks"), "n").alias("coverage"))
+    path = new_folder(spark, "reports")
+    line = F.to_json(F.struct(*reports.columns))
+    reports.select(F.when(F.col("manuscript").cast("long") % 9 == 4, F.left(line, F.length(line) - 5)).otherwise(line).alias("value")).write.text(path)
+    good, bad = readers.report_lines(spark, path)
+    c = readers.checks_of(good)
+    read = c.groupBy("manuscript").agg(F.count(F.lit(1)).alias("checks"), F.count_if("reviewed").alias("reviewed"), F.sum(F.length("citation.claim")).cast("long").alias("chars"), F.count("source_pdf").alias("sources"), F.sum(F.coalesce(F.size("passages"), F.lit(0))).cast("long").alias("passages"))
+    unread = bad.select(F.regexp_extract("line", '"manuscript":"([^"]*)"', 1).alias("manuscript"), *[F.lit(None).cast("long").alias(x) for x in ("checks", "reviewed", "chars", "sources", "passages")])
+    return read.unionByName(unread).select(F.col("manuscript").cast("long").alias("manuscript"), "checks", "reviewed", "chars", "sources", "passages", F.col("checks").isNotNull().alias("readable"))

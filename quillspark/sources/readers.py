@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.citations import strip_line_numbers
 from ..functions.regex import stripped
+from ..operators.acquire import MOST_BYTES, is_pdf
 from . import schemas
 
 
@@ -19,12 +20,27 @@ def text_pages(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", p
     return df.select(F.col(doc_col).alias("doc_id"), F.posexplode(F.split(text_col, page_break)).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page"), "text")
 
 
-def pdf_folder(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
+def text_folder(spark: SparkSession, path: str, names: str = "*.txt") -> DataFrame:
+    """path, text of all text files under a folder, each whole."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+PDF_NAMES = "*.[pP][dD][fF]"
+
+
+def pdf_folder(spark: SparkSession, path: str, with_content: bool = True, names: str = PDF_NAMES) -> DataFrame:
     """path, length and, if asked for, content of all PDFs under a folder, whatever the case of their suffix. Without content no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
     return files if with_content else files.select("path", "modificationTime", "length")
 
 
+def bounded_pdfs(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES, names: str = PDF_NAMES) -> DataFrame:
+    """path, length of the files under a folder that are PDFs of at most ``most_bytes``. The scan takes the limit, so a larger file is never opened."""
+    files = pdf_folder(spark, path, names=names).where(F.col("length") <= most_bytes)
+    return files.where(is_pdf(F.col("content"), F.col("length"))).select("path", "length")
+
+
 Decoder = Callable[[bytes], list[dict[str, Any]]]
 
 
@@ -104,6 +120,13 @@ def report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REPORT).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+def report_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Reports as ``sinks.write_json`` leaves them, one in a line: those that fit the declared schema, and the lines that don't (line, path)."""
+    lines = spark.read.text(path).where("value != ''").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+    rows = lines.withColumn("r", F.from_json("line", f"{schemas.REPORT}, unread string", {"columnNameOfCorruptRecord": "unread"}))
+    return rows.where("r.unread is null").select("r.*").drop("unread"), rows.where("r.unread is not null").select("line", "path")
+
+
 def checks_of(reports: DataFrame) -> DataFrame:
     """manuscript, check_ord and the check's fields, with the defaults of fields that older files lack."""
     rows = reports.select("manuscript", F.posexplode("checks").alias("check_ord", "c")).select("manuscript", "check_ord", "c.*")
