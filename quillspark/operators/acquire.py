@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import pdf_name
 
 #: Fixed value: the most bytes of a download.
 MOST_BYTES = 50_000_000
+# What a result says of a lookup that failed, one without a link, and a download that failed.
+LOOKUP_FAILED, NO_LOCATION, DOWNLOAD_FAILED = "locate failed", "oa lookup returned no location", "download failed"
+#: Days after which an answer is asked for again, by its status; a file that is open stays open. A lookup that failed is due at once.
+GOOD_FOR = {"oa": None, "closed": 30, "unresolved": 7}
 
 
 def unpaywall(status: Column, body: Column) -> Column:
@@ -57,5 +64,36 @@ def classify(refs: DataFrame, files: DataFrame, lookups: DataFrame, downloads: D
     return rows.select("ref_key", "name", status.alias("status"), F.when(located & ~have, F.col("pdf_url")).alias("source_url"), detail.alias("detail"))
 
 
+def due(wanted: DataFrame, answers: DataFrame, today: Column) -> DataFrame:
+    """The wanted keys that nobody has asked for, or whose last answer is no longer good.
+
+    wanted: key. answers: key, status (null: the lookup failed), day: a table to which every run appends. today: a date.
+    """
+    last = answers.groupBy(F.col("key").alias("of")).agg(F.max_by("status", "day").alias("status"), F.max("day").alias("day"))
+    days = F.lit(0)
+    for status, n in GOOD_FOR.items():
+        days = F.when(F.col("status") == status, F.lit(n)).otherwise(days)
+    fresh = last.where(days.isNull() | (F.datediff(today, "day") < days))
+    return wanted.select("key").distinct().join(fresh, F.col("key") == F.col("of"), "left_anti")
+
+
+def ask_and_keep(wanted: DataFrame, lookup: Callable[[DataFrame], DataFrame], path: str, today: Column) -> int:
+    """Asks for what is due and appends the answers to the table at ``path``; returns how many were asked for. lookup: key to key, status, pdf_url."""
+    spark = wanted.sparkSession
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], ANSWER)
+    seen = Observation()
+    asked = lookup(due(wanted, known, today)).select("key", "status", "pdf_url", today.cast("date").alias("day"))
+    asked.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+ANSWER = "key string, status string, pdf_url string, day date"
+
+
 def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.citations import AUTHOR_YEAR, NUMERIC, SURNAME_YEAR
-from ..operators import audit, judge
+from ..operators import acquire, audit, display, judge
 from . import recipes as R
 
 
@@ -204,7 +204,7 @@ LOOKUPS = f"""{ACQ_ROWS}, look AS (SELECT *, CASE WHEN unpaywall IS NULL THEN NU
     coalesce(nullif(json_extract_string(openalex, '$.results[0].best_oa_location.pdf_url'), ''), CASE WHEN lower(json_extract_string(openalex, '$.results[0].open_access.oa_url')) LIKE '%.pdf' THEN json_extract_string(openalex, '$.results[0].open_access.oa_url') END) AS a_url FROM acq)),
 loc AS (SELECT *, CASE WHEN u <> 'unresolved' THEN u ELSE coalesce(a, 'unresolved') END AS found, CASE WHEN u <> 'unresolved' THEN CASE WHEN u = 'oa' THEN u_url END WHEN a = 'oa' THEN a_url END AS url, {pdf_name('doi', 'key')} AS name FROM look)"""
 ACQUIRED = f"""{LOOKUPS}, got AS (SELECT *, CASE WHEN present THEN 'already_present' WHEN found = 'unresolved' THEN 'not_found' WHEN found = 'closed' THEN 'paywalled' WHEN url IS NOT NULL AND download_ok THEN 'fetched' ELSE 'error' END AS status FROM loc)"""
-GOT_DETAIL = "CASE WHEN status <> 'error' THEN '' ELSE 'download failed' END"
+GOT_DETAIL = f"CASE WHEN status <> 'error' THEN '' ELSE {quoted(acquire.DOWNLOAD_FAILED)} END"
 LINE_HEAD = "'- [' || status || '] **' || key || '**'"
 OVERRIDE_ROWS = "ov AS (SELECT * FROM (SELECT " + ", ".join(R.columns(R.OVERRIDE)) + f" FROM events) WHERE clear OR verdict IS NULL OR verdict IN {among(audit.OVERRIDES)})"
 
@@ -248,9 +248,20 @@ SELECT f.doc_id, f.id, CAST(f.key_ord AS BIGINT) AS key_ord, f.ref_key, s.path A
   CAST(coalesce(t.passages, 0) AS BIGINT) AS passages, CASE WHEN t.passages IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence
 FROM fnd f LEFT JOIN src s USING (cited) LEFT JOIN top t ON t.cited = f.cited AND t.claim = f.claim"""
 
+HEADED = f"headed AS (SELECT doc_id AS check_id, lang, {R.pick('doc_id', R.STATUSES)} AS status, regexp_replace(substr(text, 1, 60), '[^\\p{{L}} ]', '', 'g') AS claim FROM documents WHERE text IS NOT NULL)"
+
 ORACLES: dict[str, str] = {
     "parse_references": f"WITH {BIB} SELECT doc_id, key, 'Study of matter ' || cited AS title, '10.1234/s.' || cited AS doi, surname || ' A.' AS authors, CAST(year AS INT) AS year FROM bib",
     "whole_check": WHOLE_CHECK,
+    "lookup_cache": f"""WITH {LOOKUPS}, a AS (SELECT key, CASE WHEN o_orderkey % 9 <> 0 THEN found END AS status, o_orderkey FROM loc JOIN (SELECT o_orderkey, {R.ACQ['key']} AS key FROM orders) USING (key))
+        SELECT key, 1 + CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN status IS NULL THEN 2 WHEN status = 'unresolved' THEN 1 ELSE 0 END ELSE CASE WHEN status IS NULL THEN 1 ELSE 0 END END AS asked FROM a""",
+    "passage_text": f"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'e ', 'e-' || chr(10) || ' ') ELSE text END, ''), {quoted('([A-Za-z])-' + display.GAP + '([A-Za-z])')}, '\\1-\\2', 'g'), {quoted(display.GAP)}, ' ', 'g'), ' ')) AS text FROM documents""",
+    "highlight_colour": f"WITH {CHECK_ROWS} SELECT check_id, status, CASE status " + " ".join(f"WHEN '{k}' THEN '{' '.join(f'{x:.2f}' for x in v)}'" for k, v in display.COLOURS.items()) + " END AS colour FROM chks",
+    "reference_card": f"""SELECT p_partkey AS ord, coalesce(CASE WHEN p_partkey % 3 <> 0 THEN {R.REF_TITLE} END, CASE WHEN p_partkey % 6 <> 0 THEN p_name || ' raw' END, '—') AS title,
+        CASE WHEN p_partkey % 4 = 0 THEN '' ELSE {R.REF_AUTHOR} || ' et al.' END AS line FROM part""",
+    "passage_neighbours": "SELECT event_id, CASE WHEN n < 2 THEN i ELSE greatest(0, least(i - 1, n - 1)) END AS previous, CASE WHEN n < 2 THEN i ELSE greatest(0, least(i + 1, n - 1)) END AS following FROM (SELECT event_id, event_id % 5 AS n, user_id % 5 AS i FROM events) WHERE i < greatest(n, 1)",
+    "reading_order": f"WITH {HEADED} SELECT check_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {rank('status')}, claim COLLATE en, check_id) AS place FROM headed",
+    "search_any_case": f"WITH {HEADED} SELECT check_id FROM headed WHERE contains(lower(claim), 'ä')",
     "text_scan": f"SELECT doc_id, CAST(p + 1 AS BIGINT) AS page, md5(text) AS text FROM ({rows('(SELECT doc_id, substr(text, 1, 1000) || chr(12) || substr(text, 1001) || chr(10) AS t FROM documents WHERE text IS NOT NULL)', 'doc_id', 'string_split(t, chr(12))', 'text', 'p')})",
     "layout_scan": f"WITH {BLOCKS} SELECT doc_id, page, x0, y0, x1, size, bold, md5({NO_NUMBERS.format(strip('text'))}) AS text FROM blk WHERE {strip(NO_NUMBERS.format(strip('text')))} <> '' AND doc_id % 11 <> 10",
     "refs_folder": "SELECT doc_id, CAST(octet_length(encode(text)) + 8 + 1 AS BIGINT) AS length FROM documents WHERE doc_id % 3 = 0 AND octet_length(encode(text)) + 8 + 1 <= 2000",

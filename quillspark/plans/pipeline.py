@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import Settings, assert_local_only
@@ -58,37 +58,46 @@ def parse_references(pages: DataFrame, parts: Parts, budget: int) -> DataFrame:
     return bibliography.dedupe_richest(bibliography.to_reference(entries), ("doc_id",))
 
 
-def check(pages: DataFrame, blocks: DataFrame, files: DataFrame, sources: DataFrame, settings: Settings, parts: Parts, labels: DataFrame | None = None) -> DataFrame:
+def check(pages: DataFrame, blocks: DataFrame, files: DataFrame, sources: DataFrame, settings: Settings, parts: Parts, labels: DataFrame | None = None, on_progress: Callable[[str, int], None] | None = None) -> DataFrame:
     """One row per check with passages, verdict, resolution and bucket. Refuses to run with anything that isn't local.
 
     pages: doc_id, page, text. blocks: layout blocks. files: path, path_ord, doi, title. sources: path, text, and error where decoding failed (a
     column that may be missing): a source without text is unreadable, which spoils its own checks alone. labels: see ``tag_scope``.
-    What a model or an embedding has answered is written before it is used, so that no answer is asked for twice.
+    What a model or an embedding has answered is written before it is used, so that no answer is asked for twice. on_progress is told each
+    step's name and how many rows it wrote, when it has; the rows are counted as they are written.
     """
     assert_local_only(settings)
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        seen = Observation()
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), f"check-{name}")
+        if on_progress is not None:
+            on_progress(name, seen.get["n"])
+        return out
+
     pages = pages.withColumn("doc_id", F.col("doc_id").cast("string"))
     blocks = blocks.withColumn("doc_id", F.col("doc_id").cast("string"))
-    refs = written(parse_references(pages, parts, settings.bibliography_budget), "check-references")
+    refs = step(parse_references(pages, parts, settings.bibliography_budget), "references")
     cited = mining.with_fallback(mining.mine(layout.clean_pages(blocks)), mining.mine_pages(pages))
     tagged = mining.tag_scope(cited, labels) if labels is not None else cited.withColumn("kind", F.lit("empirical"))
     checks = mining.explode_checks(tagged).withColumn("check_id", F.concat_ws(":", "doc_id", "id", "key_ord"))
-    checks = written(checks, "check-citations")
+    checks = step(checks, "citations")
     # keys of different manuscripts are kept apart by their document
     scoped = refs.select(F.concat_ws("\x1f", "doc_id", "key").alias("key"), F.col("ord").alias("ref_ord"), "title", "doi", "authors", "year", "doc_id")
     found = _references_by_document(checks, scoped)
     matched = resolve.match_files(scoped, files).select(F.col("key").alias("found_key"), F.col("path").alias("source_path"), "resolution")
     resolved = found.join(matched, "found_key", "left").withColumn("resolution", F.when(F.col("found_key").isNull(), "unresolved_marker").otherwise(F.col("resolution")))
-    resolved = written(resolved, "check-resolved")
+    resolved = step(resolved, "resolved")
     failed = F.col("error").isNotNull() if "error" in sources.columns else F.lit(False)
     read = sources.select("path", F.when(~failed, F.col("text")).alias("text"))
     judged = resolved.where("resolution = 'resolved' AND kind <> 'non_checkable'")
     wanted = judged.select("source_path").distinct()
-    cut = written(retrieve.chunks(read.join(wanted, read.path == wanted.source_path, "left_semi"), settings.chunk_chars, "path", "text"), "check-passages")
-    claims = written(parts.embed(judged.select(F.col("check_id").alias("claim_id"), F.col("source_path").alias("source_id"), "claim"), "claim"), "check-claims")
+    cut = step(retrieve.chunks(read.join(wanted, read.path == wanted.source_path, "left_semi"), settings.chunk_chars, "path", "text"), "passages")
+    claims = step(parts.embed(judged.select(F.col("check_id").alias("claim_id"), F.col("source_path").alias("source_id"), "claim"), "claim"), "claims")
     top = retrieve.top_in_source(claims, parts.embed(cut, "chunk"), settings.passages_per_claim).join(cut, ["source_id", "chunk_ord"])
-    passages = written(top.groupBy(F.col("claim_id").alias("check_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda p: p["chunk"]).alias("snippets")), "check-snippets")
+    passages = step(top.groupBy(F.col("claim_id").alias("check_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda p: p["chunk"]).alias("snippets")), "snippets")
     asked = judged.select("check_id", "claim").join(passages, "check_id")
-    said = written(judge.parse_verdicts(judge.judge(asked, parts.make_model, parts.judge_prompt)).drop("raw"), "check-answers")
+    said = step(judge.parse_verdicts(judge.judge(asked, parts.make_model, parts.judge_prompt)).drop("raw"), "answers")
     unreadable = read.where("text is null").select(F.col("path").alias("source_path"), F.lit(True).alias("unreadable")).distinct()
     out = resolved.join(passages, "check_id", "left").join(said, "check_id", "left").join(unreadable, "source_path", "left")
     spoilt = F.coalesce("failed", "unreadable", F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import identifiers as I
-from ..operators import acquire, audit, bibliography, index, judge, layout, mining, report, resolve, retrieve
+from ..operators import acquire, audit, bibliography, display, index, judge, layout, mining, report, resolve, retrieve
 from ..shared import new_folder, written
 from ..config import Settings
 from ..sources import readers, schemas
@@ -441,7 +441,8 @@ def _lookups(spark, sf) -> DataFrame:
 
 
 def _acquired(spark, sf) -> DataFrame:
-    rows = _lookups(spark, sf)
+    """Answers are read once and written: files, lookups and downloads are all parts of their rows."""
+    rows = written(_lookups(spark, sf).select("key", "doi", "present", "download_ok", "found"), "lookups")
     files = rows.where("present").select(I.pdf_name(F.col("doi"), F.col("key")).alias("name"), F.lit(True).alias("valid"))
     downloads = rows.where("found.pdf_url IS NOT NULL").select(F.col("found.pdf_url").alias("url"), F.col("download_ok").alias("ok")).distinct()
     return acquire.classify(rows.select("key", "doi"), files, rows.select("key", "found.status", "found.pdf_url"), downloads)
@@ -457,6 +458,17 @@ def classify_acquisition(spark, sf):
     return _acquired(spark, sf).select("ref_key", "status", "source_url", "detail")
 
 
+@query
+def lookup_cache(spark, sf):
+    """How often three runs ask for each key: half of the keys on the first day, all of them a week later and once more the day after; one lookup in nine fails."""
+    path = new_folder(spark, "answers")
+    rows = written(_lookups(spark, sf).select("key", F.split("key", " ")[1].cast("long").alias("n"), "found.status", "found.pdf_url"), "lookups")
+    answer = lambda due: due.join(rows, "key").select("key", F.when(F.col("n") % 9 != 0, F.col("status")).alias("status"), "pdf_url")
+    for day, wanted in (("2024-01-01", rows.where("n % 2 = 0")), ("2024-01-08", rows), ("2024-01-09", rows)):
+        acquire.ask_and_keep(wanted, answer, path, F.lit(day).cast("date"))
+    return spark.read.parquet(path).groupBy("key").agg(F.count(F.lit(1)).alias("asked"))
+
+
 @query
 def existing_files(spark, sf):
     """Wanted names that are there, whatever their case, and hold a PDF."""
@@ -657,3 +669,48 @@ def report_round_trip(spark, sf):
     read = c.groupBy("manuscript").agg(F.count(F.lit(1)).alias("checks"), F.count_if("reviewed").alias("reviewed"), F.sum(F.length("citation.claim")).cast("long").alias("chars"), F.count("source_pdf").alias("sources"), F.sum(F.coalesce(F.size("passages"), F.lit(0))).cast("long").alias("passages"))
     unread = bad.select(F.regexp_extract("line", '"manuscript":"([^"]*)"', 1).alias("manuscript"), *[F.lit(None).cast("long").alias(x) for x in ("checks", "reviewed", "chars", "sources", "passages")])
     return read.unionByName(unread).select(F.col("manuscript").cast("long").alias("manuscript"), "checks", "reviewed", "chars", "sources", "passages", F.col("checks").isNotNull().alias("readable"))
+
+
+# ---- what a reviewer is shown
+
+
+@query
+def passage_text(spark, sf):
+    """Documents as flowing text; every space of their words is a line end after a hyphen, in some."""
+    rows = D.table(spark, sf, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 2 = 0 THEN replace(text, 'e ', 'e-\n ') ELSE text END AS text")
+    return rows.select("doc_id", F.md5(display.flowing(F.col("text"))).alias("text"))
+
+
+@query
+def highlight_colour(spark, sf):
+    return D.audit_checks(spark, sf).select("check_id", "status", F.array_join(F.transform(display.colour(F.col("status")), lambda x: F.format_string("%.2f", x)), " ").alias("colour"))
+
+
+@query
+def reference_card(spark, sf):
+    refs = _raw_entries(spark, sf).selectExpr("ord", "title", "raw", "filter(authors, a -> a <> '') AS authors", "try_cast(year AS int) AS year")
+    card = display.reference_line(F.col("title"), F.when(F.col("ord") % 6 == 0, F.lit("")).otherwise(F.col("raw")), F.col("authors"), F.col("year"))
+    return refs.select("ord", card.alias("c")).select("ord", "c.title", "c.line")
+
+
+@query
+def passage_neighbours(spark, sf):
+    rows = D.table(spark, sf, "events").selectExpr("event_id", "CAST(event_id % 5 AS INT) AS n", "CAST(user_id % 5 AS INT) AS i").where("i < greatest(n, 1)")
+    moves = display.passage_neighbours(F.col("i"), F.slice(F.array(*map(F.lit, range(5))), F.lit(1), F.col("n")))
+    return rows.select("event_id", moves.alias("m")).select("event_id", F.col("m.previous").cast("long").alias("previous"), F.col("m.following").cast("long").alias("following"))
+
+
+def _headed(spark, sf) -> DataFrame:
+    """Checks whose claims are documents' words, in four languages."""
+    return D.table(spark, sf, "documents").where("text IS NOT NULL").selectExpr("doc_id AS check_id", "lang", f"{R.pick('doc_id', R.STATUSES)} AS status", "regexp_replace(substr(text, 1, 60), '[^\\\\p{L} ]', '') AS claim")
+
+
+@query
+def reading_order(spark, sf):
+    """Problems first, then by letters as readers order them."""
+    return display.in_reading_order(_headed(spark, sf), "lang", "claim").select("check_id", "lang", "place")
+
+
+@query
+def search_any_case(spark, sf):
+    return display.holding(_headed(spark, sf), "claim", "Ä").select("check_id")

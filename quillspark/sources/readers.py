@@ -21,7 +21,7 @@ def text_pages(df: DataFrame, doc_col: str = "doc_id", text_col: str = "text", p
 
 
 def text_folder(spark: SparkSession, path: str, names: str = "*.txt") -> DataFrame:
-    """path, text of all text files under a folder, each whole."""
+    """path, text of all text files under a folder, each whole; an empty file gives no row."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
