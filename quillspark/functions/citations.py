@@ -61,8 +61,8 @@ def author_year_markers(text: Column) -> Column:
 
 def find_markers(text: Column) -> Column:
     """array<pos, keys> of all markers that give keys, in order. Both kinds are looked for apart, so one may lie within the other."""
-    by_number = F.transform(found_at(text, NUMERIC, 1), lambda m: F.struct(m["pos"].alias("pos"), numeric_keys(m["found"]).alias("keys")))
-    by_author = F.transform(found_at(text, AUTHOR_YEAR, 1), lambda m: F.struct(m["pos"].alias("pos"), author_year_keys(m["found"]).alias("keys")))
+    by_number = F.transform(found_at(text, NUMERIC, 1, "["), lambda m: F.struct(m["pos"].alias("pos"), numeric_keys(m["found"]).alias("keys")))
+    by_author = F.transform(found_at(text, AUTHOR_YEAR, 1, "("), lambda m: F.struct(m["pos"].alias("pos"), author_year_keys(m["found"]).alias("keys")))
     return F.array_sort(F.filter(F.concat(by_number, by_author), lambda m: F.size(m["keys"]) > 0))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import identifiers as I
 from ..operators import mining
-from ..shared import new_folder
+from ..shared import new_folder, spread
 from . import recipes as R
 
 
@@ -16,9 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, i, s: the documents' own sentences."""
-    return mining.sentences(table(spark, sf_dir, "documents")).select("doc_id", F.col("sent_ord").alias("i"), F.col("sentence").alias("s"))
+    return mining.sentences(texts(spark, sf_dir)).select("doc_id", F.col("sent_ord").alias("i"), F.col("sentence").alias("s"))
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
     return lines.selectExpr(
         "doc_id", f"{R.BLOCK_PAGE} AS page", "ord", f"{R.BLOCK_TEXT} AS text", f"CAST({R.BLOCK_X0} AS DOUBLE) AS x0", f"{R.BLOCK_Y0} AS y0", f"CAST({R.BLOCK_X1} AS DOUBLE) AS x1",
         f"{R.BLOCK_Y0} + 10 AS y1", f"CAST({R.BLOCK_SIZE} AS DOUBLE) AS size", f"{R.BLOCK_BOLD} AS bold", "CAST(800 AS DOUBLE) AS page_height",
@@ -74,7 +78,7 @@ def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks_of_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, block: a bibliography for every document: numbered and wrapped, by author with blank lines, or bare lines."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = texts(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"))
     numbered = F.flatten(F.transform("lines", lambda x, i: F.array(F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x), F.lit("2020. wrapped"))))
     by_author = F.transform("lines", lambda x, i: F.concat(x, F.when(i % 3 == 2, F.lit("")).otherwise(F.concat(F.lit(" ("), (2000 + i % 20).cast("string"), F.lit(")"))), F.lit("\n")))
     kind = F.col("doc_id") % 3

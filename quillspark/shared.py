@@ -47,3 +47,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def discard(table: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing will read any more; only what is itself written may depend on it."""
     remove(table.sparkSession, table._written_to)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt evenly over as many tasks as shuffles have: for work that costs far more than sending its rows.
+
+    Texts are mined at about a megabyte a second; a file of one row group, or a few very long texts, would leave most cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
