@@ -21,7 +21,9 @@ from ..shared import written
 #: Least likeness of titles, and how far the best must be ahead of the next.
 THRESHOLD, MARGIN = 0.62, 0.08
 #: Titles of references and of files that one task compares at a time, whatever their number.
-REFERENCES, FILES = 1024, 8192
+REFERENCES, FILES = 256, 32768
+#: Titles of files whose places of letters a task keeps for the next comparison.
+KEPT = 4096
 NAMED = r"^(.+?)\s+((?:19|20)\d{2})$"
 
 
@@ -100,6 +102,9 @@ def title_scores(refs: DataFrame, files: DataFrame, threshold: float = THRESHOLD
         return pd.DataFrame(out, columns=["a", "b", "score"])
 
     block = ("band", "row", "column")
+    # titles are few bytes and much work: partitions that were merged by their size would leave most cores idle
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, *block), right.repartition(tasks, *block)
     scored = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(score, "a string, b string, score double")
     # a block's best two may be no title's best two; ties stay
     scored = scored.withColumn("nth", F.dense_rank().over(W.partitionBy("a").orderBy(F.desc("score")))).where("nth <= 2").drop("nth")
@@ -108,18 +113,23 @@ def title_scores(refs: DataFrame, files: DataFrame, threshold: float = THRESHOLD
     return r.join(scored, "a").join(f, "b").select("key", "path", "path_ord", "score")
 
 
+#: A column for each character of a normalised title, and some for all others.
+KINDS = np.array([ord(c) - 48 if c in "0123456789" else ord(c) - 87 if "a" <= c <= "z" else 36 if c == " " else 37 + i % 3 for i, c in enumerate(map(chr, range(128)))])
+
+
 def letters(titles: list[str]) -> np.ndarray:
-    """How often each of 64 kinds of character stands in each title."""
-    out = np.zeros((len(titles), 64), np.int16)
+    """How often each character stands in each title."""
+    out = np.zeros((len(titles), 40), np.int16)
     for i, t in enumerate(titles):
         points = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
-        out[i] = np.bincount(points % 64, minlength=64)
+        out[i] = np.bincount(KINDS[points % 128], minlength=40)
     return out
 
 
 def best_two(wanted: list[str], have: list[str], threshold: float) -> Iterator[list[tuple[str, float]]]:
     """For each wanted title, the titles of its two highest scores, ties included, from ``threshold`` on."""
     sizes, kinds = np.array([len(b) for b in have]), letters(have)
+    matchers: dict[int, SequenceMatcher] = {}  # each knows where the letters of its title stand
     for a, own in zip(wanted, letters(wanted), strict=True):
         found: list[tuple[str, float]] = []
         if len(have):
@@ -129,8 +139,14 @@ def best_two(wanted: list[str], have: list[str], threshold: float) -> Iterator[l
             for i in likely[np.argsort(-bound[likely], kind="stable")].tolist():
                 if bound[i] < least:
                     break
-                matcher = SequenceMatcher(None, a, have[i])
-                if matcher.quick_ratio() >= least and (s := matcher.ratio()) >= least:
+                matcher = matchers.get(i)
+                if matcher is None:
+                    if len(matchers) >= KEPT:
+                        matchers.clear()
+                    matcher = matchers[i] = SequenceMatcher(None, "", have[i])
+                matcher.set_seq1(a)
+                s = matcher.ratio()
+                if s >= least:
                     found.append((have[i], s))
                     if len(found) > 1:
                         least = max(threshold, sorted((x for _, x in found), reverse=True)[1])

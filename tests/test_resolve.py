@@ -35,7 +35,7 @@ def test_likeness_depends_on_order():
     assert resolve.likeness("tide", "diet") == 0.25 and resolve.likeness("diet", "tide") == 0.5
 
 
-@pytest.mark.parametrize("blocks", [(1024, 8192), (2, 1)])
+@pytest.mark.parametrize("blocks", [(256, 32768), (2, 1)])
 def test_title_scores_lose_no_pair(spark, monkeypatch, blocks):
     import itertools
 
