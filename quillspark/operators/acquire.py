@@ -55,7 +55,10 @@ def classify(refs: DataFrame, files: DataFrame, lookups: DataFrame, downloads: D
     """
     named = refs.select(F.col("key").alias("ref_key"), pdf_name(F.col("doi"), F.col("key")).alias("name"))
     there = files.where("valid").select(F.lower("name").alias("lower_name")).distinct()
-    rows = named.join(there, F.lower("name") == F.col("lower_name"), "left").join(lookups.select(F.col("key").alias("ref_key"), F.col("status").alias("found"), "pdf_url"), "ref_key", "left").join(downloads.select(F.col("url").alias("pdf_url"), "ok"), "pdf_url", "left")
+    # each side grows with the references, and compresses so well that its size alone would send it whole through the driver
+    rows = named.join(there.hint("merge"), F.lower("name") == F.col("lower_name"), "left")
+    rows = rows.join(lookups.select(F.col("key").alias("ref_key"), F.col("status").alias("found"), "pdf_url").hint("merge"), "ref_key", "left")
+    rows = rows.join(downloads.select(F.col("url").alias("pdf_url"), "ok").hint("merge"), "pdf_url", "left")
     fetched = F.coalesce("ok", F.lit(False))
     have = F.col("lower_name").isNotNull()
     located = (F.col("found") == "oa") & F.col("pdf_url").isNotNull()

@@ -289,7 +289,7 @@ def match_by_identifier(spark, sf):
 def join_title_fuzzy(spark, sf):
     """Titles of all references against those of all files."""
     refs = D.references(spark, sf)
-    gated = resolve.gate(resolve.title_scores(refs, D.files(spark, sf)))
+    gated = resolve.by_title(refs, D.files(spark, sf))
     return refs.select("key").join(gated, "key", "left").select("key", "path", F.coalesce("status", F.lit("no_pdf")).alias("resolution"))
 
 
@@ -501,7 +501,7 @@ def acquisition_order(spark, sf):
 
 @query
 def acquisition_manifest(spark, sf):
-    a = _acquired(spark, sf).join(D.acquisitions(spark, sf).select(F.col("key").alias("ref_key"), "title", "doi"), "ref_key").withColumn("pdf_path", F.concat(F.lit("refs/"), "name")).withColumn("ord", F.col("ref_key"))
+    a = _acquired(spark, sf).join(D.acquisitions(spark, sf).select(F.col("key").alias("ref_key"), "title", "doi").hint("merge"), "ref_key").withColumn("pdf_path", F.concat(F.lit("refs/"), "name")).withColumn("ord", F.col("ref_key"))
     return report.acquisition_lines(a).select("section", F.col("rank").cast("long").alias("rank"), "ord", "line")
 
 
