@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,17 +34,24 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(flat, SENTENCE_GAP), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def numeric_keys(inside: Column) -> Column:
     """Keys of the inside of one numeric marker; ranges too wide or reversed give none."""
 
-    def one(part: Column) -> Column:
-        p = stripped(part)
-        a, b = (F.regexp_extract(p, r"^(\d+)\s*[–-]\s*(\d+)$", g).try_cast("long") for g in (1, 2))
+    def spread(ends: Column) -> Column:
+        a, b = ends["a"], ends["b"]
         fits = (b >= a) & (b - a < MOST_IN_RANGE)
-        spread = F.when(fits, F.transform(F.sequence(a, F.when(fits, b).otherwise(a)), lambda x: x.cast("string")))
-        return F.when(p.rlike(r"^\d+$"), F.array(p)).otherwise(F.coalesce(spread, F.array().cast(KEYS)))
+        return F.coalesce(F.when(fits, F.transform(F.sequence(a, F.when(fits, b).otherwise(a)), lambda x: x.cast("string"))), F.array().cast(KEYS))
 
-    return F.flatten(F.transform(F.split(inside, ","), one))
+    def one(p: Column) -> Column:
+        a, b = (F.regexp_extract(p, r"^(\d+)\s*[–-]\s*(\d+)$", g).try_cast("long") for g in (1, 2))
+        return F.when(p.rlike(r"^\d+$"), F.array(p)).otherwise(_once(F.struct(a.alias("a"), b.alias("b")), spread))
+
+    return F.flatten(F.transform(F.transform(F.split(inside, ","), stripped), one))
 
 
 def author_year_keys(inside: Column) -> Column:
@@ -92,8 +101,8 @@ def page_of_name(name: Column) -> Column:
 
 def entry_number(line: Column) -> Column:
     """The number that opens a bibliography line, or null."""
-    groups = [F.nullif(F.regexp_extract(line, ENTRY_NUMBER, g), F.lit("")) for g in (1, 2, 3)]
-    return F.coalesce(*groups).try_cast("long")
+    # all that a match holds but its number is brackets, stops and spaces
+    return F.regexp_replace(F.regexp_extract(line, ENTRY_NUMBER, 0), r"\D", "").try_cast("long")
 
 
 def blank(x: Column) -> Column:
@@ -102,18 +111,21 @@ def blank(x: Column) -> Column:
 
 def looks_numbered(lines: Column) -> Column:
     """Whether enough lines open with numbers, and enough of those ascend."""
-    numbers = F.filter(F.transform(lines, entry_number), lambda n: n.isNotNull())
-    pairs = F.size(numbers) - 1
-    rises = F.size(F.filter(F.zip_with(F.slice(numbers, F.lit(1), pairs), F.slice(numbers, F.lit(2), pairs), lambda a, b: b > a), lambda up: up))
-    return F.when(F.size(numbers) < NUMBERED_LINES, F.lit(False)).otherwise(rises >= NUMBERED_SHARE * pairs)
+
+    def ascend(numbers: Column) -> Column:
+        pairs = F.size(numbers) - 1
+        rises = F.size(F.filter(F.zip_with(F.slice(numbers, F.lit(1), pairs), F.slice(numbers, F.lit(2), pairs), lambda a, b: b > a), lambda up: up))
+        return F.when(F.size(numbers) < NUMBERED_LINES, F.lit(False)).otherwise(rises >= NUMBERED_SHARE * pairs)
+
+    return _once(F.filter(F.transform(lines, entry_number), lambda n: n.isNotNull()), ascend)
 
 
 def entries_by_marker(lines: Column) -> Column:
     """Lines joined into entries. A line opens one if its number follows the last accepted one (the first number is free)."""
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(KEYS).alias("done"), F.lit(None).cast("string").alias("open"))
 
-    def step(acc: Column, line: Column) -> Column:
-        n = entry_number(line)
+    def step(acc: Column, numbered: Column) -> Column:
+        line, n = numbered["line"], numbered["n"]
         opens = n.isNotNull() & (acc["last"].isNull() | (n == acc["last"] + 1))
         closes = opens & acc["open"].isNotNull()
         return F.struct(
@@ -122,7 +134,8 @@ def entries_by_marker(lines: Column) -> Column:
             F.when(opens | acc["open"].isNull(), line).otherwise(F.concat_ws("\n", acc["open"], line)).alias("open"),
         )
 
-    whole = F.aggregate(lines, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    numbered = F.transform(lines, lambda x: F.struct(x.alias("line"), entry_number(x).alias("n")))
+    whole = F.aggregate(numbered, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
     return F.filter(whole, lambda e: ~blank(e))
 
 
