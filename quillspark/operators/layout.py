@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions.regex import stripped
+from ..shared import spread
 
 # Shapes of captions, numbered headings, mathematics and page numbers.
 CAPTION = r"(?i)^\s*(?:figure|fig|table|tbl|scheme)\s*\d+\s*[.:]"
@@ -42,13 +43,25 @@ def body_size(blocks: DataFrame) -> DataFrame:
     return sizes.groupBy("doc_id").agg(F.max_by("body_size", "weight").alias("body_size"))
 
 
+def _with_body_size(placed: DataFrame) -> DataFrame:
+    """Adds the ``body_size`` of the blocks' document, 0 without text; of equal ones the first in reading order."""
+    rows = placed.withColumn("chars", F.length(stripped(F.col("text")))).withColumn("rounded", F.round("size", 1))
+    solid, alike, document = F.col("chars") > 0, W.partitionBy("doc_id", "rounded"), W.partitionBy("doc_id")
+    weight = F.struct(F.sum(F.when(solid, F.col("chars"))).over(alike).alias("chars"), (-F.min(F.when(solid, F.col("page") * (1 << 20) + F.col("place"))).over(alike)).alias("early"))
+    best = F.max(F.when(solid & F.col("doc_id").isNotNull(), F.struct("weight", "rounded"))).over(document)
+    return rows.withColumn("weight", weight).withColumn("body_size", F.coalesce(best["rounded"], F.lit(0.0))).drop("chars", "rounded", "weight")
+
+
 def drop_margins(blocks: DataFrame) -> DataFrame:
     """Without page numbers and running heads: margin blocks shaped like a page number, or with one text on two pages."""
-    flagged = blocks.withColumn("margin", in_margin() & ~C.blank(F.col("text"))).withColumn("norm", norm_repeat(F.col("text")))
-    again = flagged.where("margin").groupBy("doc_id", "norm").agg(F.count_distinct("page").alias("pages")).where("pages >= 2").select("doc_id", "norm", F.lit(True).alias("again"))
-    joined = flagged.join(again, ["doc_id", "norm"], "left")
-    drop = F.col("margin") & (is_page_number(F.col("text")) | F.coalesce("again", F.lit(False)))
-    return joined.where(~drop).select(*blocks.columns)
+    margin = in_margin() & ~C.blank(F.col("text"))
+    # only texts of margins are compared; all other rows of a document have none
+    flagged = blocks.withColumn("margin", margin).withColumn("norm", F.when(F.col("margin"), norm_repeat(F.col("text"))))
+    alike = W.partitionBy("doc_id", "norm")
+    paged = F.when(F.col("norm").isNotNull(), F.col("page"))
+    again = F.coalesce(F.min(paged).over(alike) < F.max(paged).over(alike), F.lit(False)) & F.col("doc_id").isNotNull()
+    drop = F.col("margin") & (is_page_number(F.col("text")) | F.col("again"))
+    return flagged.withColumn("again", again).where(~drop).select(*blocks.columns)
 
 
 def classify(text: Column, size: Column, bold: Column, body: Column) -> Column:
@@ -100,7 +113,7 @@ def segments(placed: DataFrame) -> DataFrame:
 
 def clean_pages(blocks: DataFrame) -> DataFrame:
     """Body segments up to the first block with a heading of a reference list; the body size is measured on what stands before it."""
-    placed = ordered(drop_margins(blocks))
+    placed = ordered(drop_margins(spread(blocks, "doc_id")))
     reading = W.partitionBy("doc_id").orderBy("page", "place").rowsBetween(W.unboundedPreceding, W.currentRow)
     kept = placed.withColumn("past", F.max(F.col("text").rlike(C.REFERENCES_HEADING).cast("int")).over(reading)).where("past = 0").drop("past")
-    return segments(kept.join(body_size(kept.withColumn("ord", F.col("place"))), "doc_id", "left").withColumn("body_size", F.coalesce("body_size", F.lit(0.0))))
+    return segments(_with_body_size(kept))
