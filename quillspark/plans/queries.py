@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import identifiers as I
 from ..operators import acquire, audit, bibliography, display, index, judge, layout, mining, report, resolve, retrieve
-from ..shared import new_folder, written
+from ..shared import discard, new_folder, written
 from ..config import Settings
 from ..sources import readers, schemas
 from . import derive as D
@@ -395,7 +395,9 @@ def whole_check(spark, sf):
     """Every check of every manuscript from its pages to its bucket, with stand-ins for the model and the embedding."""
     sources = D.cited_sources(spark, sf)
     blocks = spark.createDataFrame([], schemas.BLOCK)
-    out = pipeline.check(D.manuscripts(spark, sf), blocks, sources.select("path", "path_ord", "doi", "title"), sources.select("path", "text", "error"), CHECK_SETTINGS, _parts())
+    pages = written(D.manuscripts(spark, sf), "manuscripts")
+    out = pipeline.check(pages, blocks, sources.select("path", "path_ord", "doi", "title"), sources.select("path", "text", "error"), CHECK_SETTINGS, _parts())
+    discard(pages)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "id", F.col("key_ord").cast("long").alias("key_ord"), "ref_key", "source_path", "bucket", F.coalesce(F.size("snippets"), F.lit(0)).cast("long").alias("passages"), "confidence")
 
 

@@ -36,3 +36,27 @@ def test_entry_numbers(spark):
     lines = ["[12] x", " ( 3 ) y", "4. z", "5) z", "6 z", "[7]x", "", "99999999999999999999. z"]
     rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string").select("i", C.entry_number(F.col("t")).alias("n")).orderBy("i").collect()
     assert [r.n for r in rows] == [12, 3, 4, 5, None, None, None, None]
+
+
+def test_whole_check_keeps_claims_once(spark):
+    """What is written and sent for each check has no claim in it, and steps that nothing reads again are gone."""
+    from pathlib import Path
+
+    from quillspark import config
+    from quillspark.plans import doubles
+    from quillspark.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    bib = "References\n[1] Smith A. (2001) Study of one. 10.1/a\n[2] Smith A. (2002) Study of two. 10.1/b"
+    pages = spark.createDataFrame([(d, 1, "One holds [1, 2]. Two holds (Smith et al., 2002). None [9].") for d in "mn"] + [(d, 2, bib) for d in "mn"], "doc_id string, page int, text string")
+    sources = spark.createDataFrame([("r/10.1_a.pdf", "text " * 100), ("r/10.1_b.pdf", "word " * 100)], "path string, text string")
+    files = sources.select("path", F.col("path").alias("path_ord"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("title"))
+    out = pipeline.check(pages, spark.createDataFrame([], schemas.BLOCK), files, sources, config.Settings(), pipeline.Parts(doubles.RuleModel, doubles.counted, "judge", "references"))
+    new = {p.name.rsplit("-", 1)[0]: p for p in set(folder.iterdir()) - before if p.name.startswith("check-")}
+    assert sorted(new) == ["check-answers", "check-citations", "check-resolved", "check-snippets"]
+    assert "claim" not in spark.read.parquet(f"file:{new['check-resolved']}").columns
+    assert spark.read.parquet(f"file:{new['check-citations']}").count() == 6
+    got = sorted((r.doc_id, r.claim, r.ref_key, r.source_path or "") for r in out.collect())
+    own = [("None.", "9", ""), ("One holds.", "1", "r/10.1_a.pdf"), ("One holds.", "2", "r/10.1_b.pdf"), ("Two holds.", "Smith 2002", "r/10.1_b.pdf")]
+    assert got == [(d, *x) for d in "mn" for x in own]
