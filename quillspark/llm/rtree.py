@@ -21,6 +21,7 @@ rows with equal ids are one document; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,12 @@ MOST_FREQUENT = 1 << 17
 FREQUENT, HOT = 8, 10_000
 #: Rows of one hash that are looked at together; a longer run is cut, and its pieces meet in the R-tree.
 RUN_ROWS = 1 << 18
-#: Documents whose texts are looked up by a broadcast of their keys; more are joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: Times a set is asked for (about twice for each set) up to which texts are looked up by a broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 400_000
+#: Times a set is sent after one look-up, or so; one that is asked for more often is looked up several times.
+ASKS = 256
+#: Bytes of sets that a task sends at once.
+SENT_BYTES = 1 << 24
 
 
 def sets_of(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -78,6 +83,18 @@ def counts(own: np.ndarray) -> np.ndarray:
     return (found if len(own) < 1 << 16 else np.full(GROUPS, 65535)).astype(np.uint16)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A point as it is stored and sent: low bytes, then high ones, Huffman-coded; counts are small, so that is an eighth (LZ4 alone: a half)."""
+    coder = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+    return coder.compress(point.view(np.uint8).reshape(-1, 2).T.tobytes()) + coder.flush()
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The points of a column, one in each row."""
+    planes = np.frombuffer(b"".join(zlib.decompress(p, -15) for p in column.to_pylist()), np.uint8).reshape(-1, 2, GROUPS)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint16).reshape(-1, GROUPS)
+
+
 def needed(a, b, percent: int):
     """What two sets of these sizes must share for a Jaccard index of ``percent`` in a hundred."""
     return -(-(percent * (a + b)) // (100 + percent))
@@ -222,7 +239,7 @@ def _points(n: int, percent: int, frequent):
                     common = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(size, bool)
                     head = own
                 prefix = np.concatenate([head[~common], head[common]])[:length]
-                rows.append((size, d1, d2, counts(own).tobytes(), prefix.view(np.int64)))
+                rows.append((size, d1, d2, packed(counts(own)), prefix.view(np.int64)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(list(cols[4]), pa.list_(pa.int64()))],
@@ -308,7 +325,7 @@ def _bounded(percent: int):
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(at, AT_ONCE)
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (4, 5))
+                a, b = (unpacked(batch.column(i)) for i in (4, 5))
                 nx, ny = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
                 ok = (np.minimum(a, b).sum(1, dtype=np.int64) >= needed(nx, ny, percent)) | (np.maximum(nx, ny) >= 1 << 16)
                 yield batch.select(["x", "y"]).filter(pa.array(ok))
@@ -374,23 +391,33 @@ def _likeliest(pairs: list[np.ndarray], most: int = 4) -> np.ndarray:
     return t[:, at - np.maximum.accumulate(np.where(first, at, 0)) < most]
 
 
+#: What a shard gives out: pairs (x, y), and, with no pair, itself (h, i, j) if it held some back.
+SEARCHED = "x long, y long, h long, i int, j int"
+
+
+def _searched(x: list | np.ndarray, y: list | np.ndarray, shard: tuple | None = None) -> pa.RecordBatch:
+    h, i, j = shard or (None, None, None)
+    columns = [(x, pa.int64()), (y, pa.int64()), ([h] * len(x), pa.int64()), ([i] * len(x), pa.int32()), ([j] * len(x), pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["x", "y", "h", "i", "j"])
+
+
 def _shard_search(percent: int, best: bool):
     """From rows (h, i, j, n, node, root, block, point) sorted by shard to the pairs across components that a shard's R-tree can't exclude.
 
-    best: of the pairs of the same two components, only the likeliest few, for a first round.
+    best: of the pairs of the same two components, only the likeliest few, for a first round; a shard that has more says so, others are done.
     """
 
     def run(batches):
         for table in _runs(batches, 3):
             edges = _edges(table, 3)
-            i, j, n, node, root, block = (table.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
-            points = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS)
+            h, i, j, n, node, root, block = (table.column(k).to_numpy() for k in range(7))
+            points = unpacked(table.column(7))
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
                 tree = Tree(points[lo:hi], n[lo:hi], root[lo:hi])
                 two = i[lo] != j[lo]  # two blocks: the pairs within each are another task's
-                held, size = [], 0
+                held, size, back = [], 0, False
                 for x, y, shared in tree.pairs(percent):
                     x, y = x + lo, y + lo
                     if two:
@@ -399,34 +426,61 @@ def _shard_search(percent: int, best: bool):
                     first, second = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
                     if not best:
                         if len(x):
-                            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second)], names=["x", "y"])
+                            yield _searched(first, second)
                         continue
                     score = (shared << 32) // (n[x] + n[y])
                     held.append(np.stack([first, second, np.minimum(root[x], root[y]), np.maximum(root[x], root[y]), score]))
                     size += len(x)
                     if size > HELD:
                         held = [_likeliest(held)]
+                        back |= held[0].shape[1] < size
                         size = held[0].shape[1]
                         if size > HELD // 2:  # very many components: what is known goes out
-                            yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["x", "y"])
+                            yield _searched(held[0][0], held[0][1])
                             held, size = [], 0
                 if size:
                     chosen = _likeliest(held)
-                    yield pa.RecordBatch.from_arrays([pa.array(chosen[0]), pa.array(chosen[1])], names=["x", "y"])
+                    back |= chosen.shape[1] < size
+                    yield _searched(chosen[0], chosen[1])
+                if back:
+                    yield _searched([None], [None], (int(h[lo]), int(i[lo]), int(j[lo])))
 
     return run
 
 
-def _sets(n: int):
-    """From rows (node, text) to (node, own): the set as bytes of sorted hashes."""
+def _sent(n: int):
+    """From rows (node, some, text, asks) to (x, part, role, node, own) for each ask: the set as bytes of sorted hashes.
+
+    A row that is repeated gives its set once in a task; what several tasks repeat does no harm.
+    """
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in K.slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.tobytes() for own in sets_of(K.texts(batch), n)], pa.binary())], names=["node", "own"])
+            out, size = [], 0
+            asks = batch.column(batch.schema.get_field_index("asks")).to_pylist()
+            for node, some, asked, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), asks, sets_of(K.texts(batch), n), strict=True):
+                if (node, some) in seen:
+                    continue
+                seen.add((node, some))
+                content = own.tobytes()
+                for ask in asked:
+                    out.append((ask["x"], ask["part"], ask["role"], node, content))
+                    size += len(content)
+                    if size > SENT_BYTES:
+                        yield _ask_rows(out)
+                        out, size = [], 0
+            if out:
+                yield _ask_rows(out)
 
     return run
 
 
+def _ask_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["x", "part", "role", "node", "own"])
+
+
 def _verified(percent: int):
     """From rows (x, part, role, node, own), the set of x itself first, to the pairs that are similar."""
 
@@ -472,13 +526,16 @@ class Join:
         dealt = pairs.join(per, "x").select("x", F.pmod(F.xxhash64("y"), F.ceil(F.col("c") / 256)).cast("int").alias("part"), "y")
         asked = dealt.select("x", "part", F.lit(0).alias("role"), F.col("x").alias("node")).distinct().unionByName(dealt.select("x", "part", F.lit(1).alias("role"), F.col("y").alias("node")))
         asked = written(asked, "join-asked")
-        keys = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node").select("node", F.col("doc_id").alias("r_id"), F.col("tkey").alias("r_key")), "join-keys")
-        side = F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
-        texts = self.docs.join(side, self.docs.doc_id.eqNullSafe(F.col("r_id")) & (self.docs.tkey == F.col("r_key"))).select("node", "text")
-        sets = written(texts.mapInArrow(K.trimmed(_sets(self.n)), "node long, own binary").dropDuplicates(["node"]), "join-sets")
-        rows = asked.join(sets, "node").select("x", "part", "role", "node", "own").repartition("x", "part").sortWithinPartitions("x", "part", "role")
+        # each set goes from its document's text to all that ask for it, in one shuffle
+        times = asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / ASKS).alias("parts"))
+        some = asked.join(times, "node").select("node", F.pmod(F.xxhash64("x", "part"), F.col("parts")).cast("int").alias("some"), F.struct("x", "part", "role").alias("ask"))
+        lists = some.groupBy("node", "some").agg(F.collect_list("ask").alias("asks"))
+        keys = written(lists.join(classes, "node").select("node", "some", F.col("doc_id").alias("r_id"), F.col("tkey").alias("r_key"), "asks"), "join-keys")
+        side = F.broadcast(keys) if asked.count() <= MOST_BROADCAST else keys
+        texts = self.docs.join(side, self.docs.doc_id.eqNullSafe(F.col("r_id")) & (self.docs.tkey == F.col("r_key"))).select("node", "some", "text", "asks")
+        rows = texts.mapInArrow(K.trimmed(_sent(self.n)), "x long, part int, role int, node long, own binary").repartition("x", "part").sortWithinPartitions("x", "part", "role")
         out = written(rows.mapInArrow(K.trimmed(_verified(self.percent)), "x long, y long"), "join-links")
-        for table in (per, asked, keys, sets):
+        for table in (per, asked, keys):
             discard(table)
         return out
 
@@ -494,33 +551,41 @@ class Join:
 
     def run(self) -> DataFrame:
         p = self.percent
-        members, salted = self.members()
+        points, salted = self.members()
+        members = written(points.select("doc_id", "tkey", "n", "d1", "d2"), "join-members")
         classes = members.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("m"), F.min("n").alias("n"))
         # a class goes by a number of its own, in the order of ids: different sets may stand under one id, and the first ones of a group are tried first
         classes = classes.orderBy("m.no_id", "m.doc_id", "m.tkey", "d1").select("d1", "d2", F.monotonically_increasing_id().alias("node"), "n", "m.doc_id", "m.tkey")
         classes = written(classes, "join-classes")
         own = self.same_id(members, classes)
-        first = members.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key"), "point", "prefix")
-        lead = classes.join(first, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("tkey") == F.col("e_key")) & F.col("doc_id").eqNullSafe(F.col("e_id")))
-        hashes = lead.select(F.explode("prefix").alias("h"), "n", "node").join(F.broadcast(salted), "h", "left")
+        first = points.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("doc_id").alias("e_id"), F.col("tkey").alias("e_key"), "point", "prefix")
+        leads = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("tkey") == F.col("e_key")) & F.col("doc_id").eqNullSafe(F.col("e_id"))
+        hashes = classes.join(first, leads).select(F.explode("prefix").alias("h"), "n", "node").join(F.broadcast(salted), "h", "left")
         hashes = hashes.select("h", "n", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0)).alias("salt"), F.coalesce("salts", F.lit(1)).alias("salts"))
         hashes = hashes.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "node")
         shared = written(hashes.mapInArrow(K.trimmed(_shared_hashes(p, self.run_rows)), ", ".join(f"{x} long" for x in PROBED)), "join-shared")
         wanted = written(shared.select("node").distinct(), "join-wanted")
-        point = written(lead.select("node", F.col("n").cast("long").alias("n"), "point").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "join-nodes")
+        point = classes.join(wanted, "node", "left_semi").join(first, leads).select("node", F.col("n").cast("long").alias("n"), "point")
+        point = written(point.dropDuplicates(["node"]), "join-nodes")
+        discard(points)
 
         stars = shared.select("node", F.explode(F.array_distinct(F.array(*PROBED[4:]))).alias("x")).where("x != node").select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
         stars = self._with_points(written(stars, "join-pairs"), point)
         tried = written(stars.mapInArrow(K.trimmed(_bounded(p)), "x long, y long"), "join-stars")
         roots = written(components(self.verify(tried, classes).unionByName(own)), "join-roots")
 
-        # the likeliest pairs of each two components first, then, over the components that makes, all pairs that are left
+        # the likeliest pairs of each two components first, then, over the components that makes, all pairs that are left, in the shards that held some back
+        left = None
         for best in (True, False):
-            found = written(self._across(shared, roots, point, best).join(tried, ["x", "y"], "left_anti"), "join-found")
+            searched = written(self._across(shared, roots, point, best, left), "join-searched")
+            found = written(searched.where("x is not null").select("x", "y").join(tried, ["x", "y"], "left_anti"), "join-found")
             late = self.verify(found, classes)
             tried = tried.unionByName(found)
             if not late.isEmpty():
                 roots = written(components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(late)), "join-roots")
+            left = written(searched.where("x is null").select("h", "i", "j"), "join-left")
+            if left.isEmpty():
+                break
         for table in (shared, wanted, point):
             discard(table)
         first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
@@ -531,19 +596,22 @@ class Join:
         lead = (F.col("n_shingles") == 0) | (F.col("tkey").eqNullSafe(F.col("best.tkey")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
         return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), lead.alias("leads"))
 
-    def _across(self, shared: DataFrame, roots: DataFrame, point: DataFrame, best: bool) -> DataFrame:
-        """Pairs (x, y) across components that no shard's R-tree excludes."""
+    def _across(self, shared: DataFrame, roots: DataFrame, point: DataFrame, best: bool, left: DataFrame | None = None) -> DataFrame:
+        """SEARCHED: pairs across components that no shard's R-tree excludes. left: the shards (h, i, j) to search; None: all."""
         p = self.percent
-        of = shared.where(F.col("sets") > BACK + 1).select("h", "n", "node").join(roots, "node", "left").select("h", "n", "node", F.coalesce("root", "node").alias("root"))
+        of = shared.where(F.col("sets") > BACK + 1).select("h", "n", "node")
+        of = of if left is None else of.join(left.select("h").distinct(), "h", "left_semi")  # all rows of a hash, so that it has the same blocks
+        of = of.join(roots, "node", "left").select("h", "n", "node", F.coalesce("root", "node").alias("root"))
         of = written(of, "join-of")
         blocks = F.when(F.col("c") > self.shard_points, F.ceil(F.col("c") / (self.shard_points / 2))).otherwise(1).cast("int")
         mixed = written(of.groupBy("h").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.count(F.lit(1)).alias("c")).where("u != v").select("h", blocks.alias("blocks")), "join-mixed")
         rows = of.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "node", "root", "block")
+        rows = rows if left is None else rows.join(left, ["h", "i", "j"], "left_semi")
         names = "h long, i int, j int, n long, node long, root long, block int"
         rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(K.trimmed(_crossing(p)), names)
         full = rows.join(point.select("node", "point"), "node").select("h", "i", "j", "n", "node", "root", "block", "point")
-        return full.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(K.trimmed(_shard_search(p, best)), "x long, y long").distinct()
+        return full.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(K.trimmed(_shard_search(p, best)), SEARCHED).distinct()
 
     def _with_points(self, pairs: DataFrame, point: DataFrame) -> DataFrame:
         x = point.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("point").alias("px"))
