@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from . import textkit as K
 from .graphs import components
 from .scratch import discard, free_name, written
@@ -611,7 +612,8 @@ class Join:
         names = "h long, i int, j int, n long, node long, root long, block int"
         rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(K.trimmed(_crossing(p)), names)
         full = rows.join(point.select("node", "point"), "node").select("h", "i", "j", "n", "node", "root", "block", "point")
-        return full.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(K.trimmed(_shard_search(p, best)), SEARCHED).distinct()
+        # a row costs far more to search than to send
+        return spread(full, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node").mapInArrow(K.trimmed(_shard_search(p, best)), SEARCHED).distinct()
 
     def _with_points(self, pairs: DataFrame, point: DataFrame) -> DataFrame:
         x = point.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("point").alias("px"))
