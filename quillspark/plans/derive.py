@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import identifiers as I
 from ..operators import mining
-from ..shared import new_folder, spread
+from ..shared import new_folder, on_disk, spread
 from . import recipes as R
 
 
@@ -99,15 +107,40 @@ def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("path", F.col("path").alias("path_ord"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("title"), F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
 
 
-#: For each file and each folder that Hadoop makes on a local disk it starts a process that sets permissions, which costs more than the file: without the
-#: checksum beside a file there are fewer. Other stores don't look at these.
+#: Without the checksum beside a file there are fewer. Other stores don't look at these.
 PLAIN_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def written_files(df: DataFrame, label: str) -> str:
-    """A folder in the shared one with a text file for each row (doc_id, text), in a folder named by its document."""
+    """A folder in the shared one with a text file for each row (doc_id, text), in a folder named by its document.
+
+    On a disk that all tasks share, tasks make folders and files themselves: for each of them Hadoop starts a process that sets permissions, which
+    costs far more than the file. Other stores get them from Spark's writer, which puts rows of one doc_id into one file.
+    """
     path = new_folder(df.sparkSession, label)
-    df.repartition("doc_id").write.options(**PLAIN_LOCAL).partitionBy("doc_id").text(path)
+    folder = on_disk(df.sparkSession, path)
+    if folder is None:
+        df.repartition("doc_id").write.options(**PLAIN_LOCAL).partitionBy("doc_id").text(path)
+        return path
+    os.makedirs(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                text = (text or b"") + b"\n"
+                # a name that another attempt of the task repeats, in whatever order its rows come
+                digest = hashlib.md5(text).hexdigest()
+                seen[doc, digest] += 1
+                own = f"{folder}/doc_id={doc}"
+                os.makedirs(own, exist_ok=True)
+                draft = f"{own}/.{part}-{uuid.uuid4().hex}"
+                with open(draft, "wb", buffering=0) as f:
+                    f.write(text)
+                os.replace(draft, f"{own}/part-{part:05d}-{digest}-{seen[doc, digest]}.txt")
+        yield from ()
+
+    df.select("doc_id", "text").mapInArrow(run, "doc_id long").write.format("noop").mode("append").save()
     return path
 
 
