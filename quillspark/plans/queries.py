@@ -629,29 +629,39 @@ def pdf_magic(spark, sf):
 # ---- files: written from the tables, and read as a folder of them
 
 
+def _through_files(spark, sf, docs: DataFrame, label: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    return D.through_files(docs, D.table(spark, sf, "documents").count(), label, read)
+
+
 @query
 def text_scan(spark, sf):
-    """Pages of a folder of text files; a file's pages are parted by form feeds."""
+    """Pages of folders of text files; a file's pages are parted by form feeds."""
     docs = D.table(spark, sf, "documents").where("text IS NOT NULL").selectExpr("doc_id", "concat(substr(text, 1, 1000), chr(12), substr(text, 1001)) AS text")
-    files = readers.text_folder(spark, D.written_files(docs, "text-files")).select(D.document_of(F.col("path")).alias("doc_id"), "text")
-    return readers.text_pages(files).select("doc_id", F.col("page").cast("long").alias("page"), F.md5("text").alias("text"))
+
+    def read(path: str) -> DataFrame:
+        files = readers.text_folder(spark, path).select(D.document_of(F.col("path")).alias("doc_id"), "text")
+        return readers.text_pages(files).select("doc_id", F.col("page").cast("long").alias("page"), F.md5("text").alias("text"))
+
+    return _through_files(spark, sf, docs, "text-files", read)
 
 
 @query
 def layout_scan(spark, sf):
-    """Layout blocks of a folder of files, by a decoder that stands in for that of PDFs; one document in eleven can't be decoded."""
+    """Layout blocks of folders of files, by a decoder that stands in for that of PDFs; one document in eleven can't be decoded."""
     docs = D.page_dicts(spark, sf).withColumn("text", F.when(F.col("doc_id") % 11 == 10, F.substring("text", F.lit(1), F.length("text") - 3)).otherwise(F.col("text")))
-    files = readers.pdf_folder(spark, D.written_files(docs, "layout-files"), names="*.txt")
-    found = readers.pdf_blocks(files, json_pages).select(D.document_of(F.col("doc_id")).alias("doc_id"), F.col("page").cast("long").alias("page"), "x0", "y0", "x1", "size", "bold", F.md5("text").alias("text"))
-    return found
+
+    def read(path: str) -> DataFrame:
+        found = readers.pdf_blocks(readers.pdf_folder(spark, path, names="*.txt"), json_pages)
+        return found.select(D.document_of(F.col("doc_id")).alias("doc_id"), F.col("page").cast("long").alias("page"), "x0", "y0", "x1", "size", "bold", F.md5("text").alias("text"))
+
+    return _through_files(spark, sf, docs, "layout-files", read)
 
 
 @query
 def refs_folder(spark, sf):
-    """Files of a folder that are PDFs by their first bytes and small enough; larger ones aren't opened."""
+    """Files of folders that are PDFs by their first bytes and small enough; larger ones aren't opened."""
     docs = D.table(spark, sf, "documents").where("text IS NOT NULL").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN concat('%PDF-1.7', text) ELSE text END AS text")
-    found = readers.bounded_pdfs(spark, D.written_files(docs, "refs-files"), 2000, "*.txt")
-    return found.select(D.document_of(F.col("path")).alias("doc_id"), "length")
+    return _through_files(spark, sf, docs, "refs-files", lambda path: readers.bounded_pdfs(spark, path, 2000, "*.txt").select(D.document_of(F.col("path")).alias("doc_id"), "length"))
 
 
 @query

@@ -61,3 +61,20 @@ def test_each_row_has_its_file(spark):
     assert names[0] == names[1]
     path = derive.written_files(spark.createDataFrame([], "doc_id long, text string"), "test-files")
     assert readers.text_folder(spark, path).count() == readers.pdf_folder(spark, path).count() == 0
+
+
+def test_folders_of_some_files_at_a_time(spark, monkeypatch):
+    """Each folder holds some of the documents, goes when it is read, and all rows are there."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(derive, "FILES_AT_ONCE", 20)
+    sizes, paths = [], []
+
+    def read(path):
+        paths.append(Path(path.removeprefix("file:")))
+        sizes.append(len(list(paths[-1].rglob("*.txt"))))
+        return readers.text_folder(spark, path).select(derive.document_of(F.col("path")).alias("doc_id"), "text")
+
+    got = derive.through_files(rows, 60, "test-files", read)
+    assert len(sizes) == 3 and sum(sizes) == 60 and max(sizes) < 40
+    assert not any(p.exists() for p in paths)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(i, f"text {i}\n") for i in range(60)]
