@@ -398,7 +398,7 @@ def whole_check(spark, sf):
     pages = written(D.manuscripts(spark, sf), "manuscripts")
     out = pipeline.check(pages, blocks, sources.select("path", "path_ord", "doi", "title"), sources.select("path", "text", "error"), CHECK_SETTINGS, _parts())
     discard(pages)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "id", F.col("key_ord").cast("long").alias("key_ord"), "ref_key", "source_path", "bucket", F.coalesce(F.size("snippets"), F.lit(0)).cast("long").alias("passages"), "confidence")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "id", F.col("key_ord").cast("long").alias("key_ord"), "ref_key", "source_path", "bucket", F.col("n_passages").cast("long").alias("passages"), "confidence")
 
 
 @query

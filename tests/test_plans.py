@@ -60,3 +60,28 @@ def test_whole_check_keeps_claims_once(spark):
     got = sorted((r.doc_id, r.claim, r.ref_key, r.source_path or "") for r in out.collect())
     own = [("None.", "9", ""), ("One holds.", "1", "r/10.1_a.pdf"), ("One holds.", "2", "r/10.1_b.pdf"), ("Two holds.", "Smith 2002", "r/10.1_b.pdf")]
     assert got == [(d, *x) for d in "mn" for x in own]
+
+
+def test_whole_check_reads_passages_once(spark):
+    """Passages meet their claim where they are written; who asks only for their number doesn't read them. They stand by rank."""
+    from quillspark import config
+    from quillspark.plans import doubles
+
+    pages = spark.createDataFrame([("m", 1, "One holds [1]. Two holds (Smith et al., 2001).\nReferences\n[1] Smith A. (2001) Study of one. 10.1/a")], "doc_id string, page int, text string")
+    sources = spark.createDataFrame([("r/10.1_a.pdf", "".join(f"part {i} " + "eanz"[i % 4] * 3 for i in range(200)))], "path string, text string")
+    files = sources.select("path", F.col("path").alias("path_ord"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("title"))
+    out = pipeline.check(pages, spark.createDataFrame([], schemas.BLOCK), files, sources, config.Settings(chunk_chars=60, passages_per_claim=4), pipeline.Parts(doubles.RuleModel, doubles.counted, "judge", "references"))
+    few = out.select("check_id", "n_passages")._jdf.queryExecution().sparkPlan().toString()
+    assert "n_passages:int" in few and "snippets:array" not in few
+    rows = out.collect()
+    assert [r.n_passages for r in rows] == [len(r.snippets) for r in rows] == [4, 4]
+    text = sources.first().text
+    chunks = [text[i : i + 60] for i in range(0, len(text) - 1, 53)]
+
+    def counts(x):
+        v = [len(x), *[x.count(c) for c in "ean "]]
+        return [y / sum(z * z for z in v) ** 0.5 for y in v]
+
+    for r in rows:
+        likest = sorted(range(len(chunks)), key=lambda i: (-round(sum(a * b for a, b in zip(counts(r.claim), counts(chunks[i]), strict=True)), 6), i))[:4]
+        assert r.snippets == [chunks[i] for i in likest]
